@@ -1,0 +1 @@
+"""Segments of unsigned 32-bit ids as Spark tables: membership, exact counts, set algebra, maintenance."""
