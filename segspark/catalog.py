@@ -545,8 +545,8 @@ def _type_day(spark: SparkSession, d: str) -> DataFrame:
     return x.join(y, ["day", "id"], "left_semi").groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
-_WORKLOAD = """SELECT c_custkey AS k, c_custkey * 1048576.0 AS size_bytes, (c_custkey % 50) / 10.0 AS reads_per_sec, (c_custkey % 40) * 1.0 AS writes_per_sec,
-  (c_custkey % 4) / 4.0 AS hit_rate, (c_custkey % 16) + 1.0 AS item_kib, (c_custkey % 30) * 1.0 AS compactions, (c_custkey % 5) * 1.0 AS dirty_per_compaction FROM customer"""
+_WORKLOAD = """SELECT c_custkey AS k, c_custkey * 1048576::DOUBLE AS size_bytes, (c_custkey % 50)::DOUBLE / 10 AS reads_per_sec, (c_custkey % 40)::DOUBLE AS writes_per_sec,
+  (c_custkey % 4)::DOUBLE / 4 AS hit_rate, (c_custkey % 16 + 1)::DOUBLE AS item_kib, (c_custkey % 30)::DOUBLE AS compactions, (c_custkey % 5)::DOUBLE AS dirty_per_compaction FROM customer"""
 
 
 def _workload(spark: SparkSession, d: str) -> DataFrame:
@@ -557,14 +557,14 @@ def _workload(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_COST = f"""SELECT k, reads_per_sec * 2628000 * (1 - hit_rate) * rr AS reads, writes_per_sec * 2628000 * wr AS writes, size_bytes / 1073741824 * 0.023 AS storage,
-  compactions * (ceil(size_bytes / (item_kib * 1024)) * 0.0000004 + 0.000005) + compactions * dirty_per_compaction * (rr + wr) AS compaction FROM (
-  SELECT *, greatest(1, ceil(item_kib / 4)) * 0.000000125 AS rr, greatest(1, ceil(item_kib)) * 0.000000625 AS wr FROM ({_WORKLOAD}))"""
+_COST = f"""SELECT k, reads_per_sec * 2628000 * (1 - hit_rate) * rr AS reads, writes_per_sec * 2628000 * wr AS writes, size_bytes / 1073741824 * 0.023::DOUBLE AS storage,
+  compactions * (ceil(size_bytes / (item_kib * 1024)) * (0.4::DOUBLE / 1e6) + 5.0::DOUBLE / 1e6) + compactions * dirty_per_compaction * (rr + wr) AS compaction FROM (
+  SELECT *, greatest(1, ceil(item_kib / 4)) * (0.125::DOUBLE / 1e6) AS rr, greatest(1, ceil(item_kib)) * (0.625::DOUBLE / 1e6) AS wr FROM ({_WORKLOAD}))"""
 
 
-@query("cost_fleet", f"SELECT k, round(reads, 6) AS reads, round(writes, 6) AS writes, round(storage, 6) AS storage, round(compaction, 6) AS compaction FROM ({_COST})")
+@query("cost_fleet", f"SELECT k, round(reads, 9) AS reads, round(writes, 9) AS writes, round(storage, 9) AS storage, round(compaction, 9) AS compaction FROM ({_COST})")
 def _cost(spark: SparkSession, d: str) -> DataFrame:
-    return fleet_cost(_workload(spark, d), "B").select("k", *[F.round(c, 6).alias(c) for c in ("reads", "writes", "storage", "compaction")])
+    return fleet_cost(_workload(spark, d), "B").select("k", *[F.round(c, 9).alias(c) for c in ("reads", "writes", "storage", "compaction")])
 
 
 @query("cost_verdict", f"SELECT CASE WHEN t <= 34.6 THEN 'win-big' WHEN t < 346 THEN 'win' ELSE 'lose-zone' END AS verdict, count(*) AS n FROM (SELECT reads + writes + storage + compaction AS t FROM ({_COST})) GROUP BY 1")
