@@ -1,22 +1,56 @@
 """Token ids of whole texts with the tokenizers library, by a bounded memory of units already encoded.
 
-Where a single space stands between two characters that aren't white space, byte-level BPE starts a new token
-at the space, whatever the words are. So a text is cut there, each unit (a space and what follows) is encoded
-once by the library, and a text's ids are its units' ids one after another. Texts in which a space touches
-other white space are encoded whole.
+Byte-level BPE cuts a text into words before it looks at them: at runs of letters, digits, white space or other
+characters, a single space going with what follows. So where a lone space stands between two characters that
+aren't white space, a token starts whatever the words are; likewise on both sides of a lone newline, and
+before a full stop or comma that follows a letter or digit and comes before a letter, digit or white space. A
+text is cut at such places, each unit is encoded once by the library, and a text's ids are its units' ids one
+after another. Texts in which a stop or comma touches other signs are cut at spaces only; those in which
+spaces touch other white space are encoded whole.
 """
 
 from __future__ import annotations
 
+import array
 import os
 import re
 from itertools import chain
 
 import numpy as np
 
-_TOUCHES = re.compile(r"\s | \s")
-#: Units kept, and the longest that is; beyond the first, the memory starts anew.
-MAX_UNITS, MAX_UNIT = 400_000, 64
+#: Units kept, how many of these in the first, small memory that stays in the processor's cache, and the longest unit
+#: that is kept. Frequent units come early, so a full memory stays as it is; it starts anew where too few hit it.
+MAX_UNITS, FIRST_UNITS, MAX_UNIT, LEAST_HITS = 700_000, 20_000, 48, 0.75
+
+_SPACES = re.compile(r"\s | \s")
+_SIGNS = re.compile(r"(?:\A|[\W_])[.,]|[.,](?:[^\w\s]|_)|\s\n|\n\s|\A\n|\n\Z")
+
+
+def _kind(b: int) -> int:
+    """0 letters and digits, 1 stop and comma, 2 space, 3 newline, 4 other ASCII signs, 5 bytes that need a closer look.
+    Bytes of the block under C3 are Latin letters but for the times and division signs, 97 and B7."""
+    if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b == 0xC3 or (0x80 <= b < 0xC0 and b not in (0x97, 0xB7)):
+        return 0
+    if b < 0x80:
+        return {46: 1, 44: 1, 32: 2, 10: 3}.get(b, 4 if 33 <= b < 127 else 5)
+    return 5
+
+
+_KINDS = bytes(map(_kind, range(256)))
+#: Neighbours (8 times the first's kind plus the second's) beside which some cut may not hold.
+_PAIRS = {(2, 1), (3, 1), (1, 1), (4, 1), (1, 4), (3, 3), (2, 3), (3, 2), (2, 2)} | {p for k in range(6) for p in ((5, k), (k, 5))}
+_BAD = bytes((b >> 3, b & 7) in _PAIRS for b in range(256))
+
+
+def _how(text: str) -> int:
+    """0: all cuts hold; 1: those at spaces do; 2: none."""
+    kinds = text.encode().translate(_KINDS)
+    k = np.frombuffer(kinds, np.uint8)
+    if kinds[:1] not in (b"\1", b"\3", b"\5") and kinds[-1:] != b"\3" and b"\1" not in ((k[:-1] << 3) | k[1:]).tobytes().translate(_BAD):
+        return 0
+    if _SPACES.search(text):
+        return 2
+    return 1 if "\0" in text or _SIGNS.search(text) else 0
 
 
 class Encoder:
@@ -30,38 +64,49 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() < 1 << 16 else 4
         self.kind = f"<u{self.width}"
+        self._code = "H" if self.width == 2 else "I"
+        self.first: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        kind = self.kind
-        return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code, make = self._code, array.array
+        return [make(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cut(self, text: str, how: int) -> list[str]:
+        if how == 0:
+            return text.replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        if how == 1:
+            first, *rest = text.split(" ")
+            return [first, *(" " + r for r in rest)]
+        return [text]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids."""
-        out: list[bytes | None] = [None] * len(texts)
-        firsts: list[tuple[int, str, list[str]]] = []
-        whole: list[int] = []
-        for i, t in enumerate(texts):
-            if _TOUCHES.search(t):
-                whole.append(i)
-            else:
-                first, *rest = t.split(" ")
-                firsts.append((i, first, rest))
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        units = self.units
-        new = list(set(chain.from_iterable(r for _, _, r in firsts)).difference(units))
-        if len(units) + len(new) > MAX_UNITS:
-            units.clear()
-            new = list(set(chain.from_iterable(r for _, _, r in firsts)))
-        for at in range(0, len(new), 1 << 16):
-            some = new[at : at + (1 << 16)]
-            units.update(zip(some, self._encode([" " + u for u in some]), strict=True))
-        heads = self._encode([f for _, f, _ in firsts])
-        for (i, _, rest), head in zip(firsts, heads, strict=True):
-            out[i] = head + b"".join(map(units.__getitem__, rest))
-        for u in [u for u in new if len(u) > MAX_UNIT]:
-            del units[u]
+        cut = [self._cut(t, _how(t)) for t in texts]
+        flat = list(chain.from_iterable(cut))
+        ids: list[bytes | None] = list(map(self.first.get, flat))
+        rest = [i for i, x in enumerate(ids) if x is None]
+        more = list(map(self.units.get, [flat[i] for i in rest]))
+        gone = [i for i, x in zip(rest, more, strict=True) if x is None]
+        for i, x in zip(rest, more, strict=True):
+            ids[i] = x
+        new = list({flat[i] for i in gone})
+        if len(self.units) >= MAX_UNITS and len(gone) > (1 - LEAST_HITS) * len(flat):
+            self.first.clear()
+            self.units.clear()
+        made: dict[str, bytes] = {}
+        for at in range(0, len(new), 1 << 15):
+            some = new[at : at + (1 << 15)]
+            made.update(zip(some, self._encode(some), strict=True))
+        for i in gone:
+            ids[i] = made[flat[i]]
+        if len(self.units) < MAX_UNITS:
+            into = self.first if len(self.first) < FIRST_UNITS else self.units
+            into.update((u, x) for u, x in made.items() if len(u) <= MAX_UNIT)
+        out, at = [], 0
+        for c in cut:
+            out.append(b"".join(ids[at : at + len(c)]))
+            at += len(c)
         return out
 
 

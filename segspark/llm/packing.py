@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -179,25 +180,44 @@ def _tokenise(path: str, end_id: int, window: int):
     return run
 
 
-def _place(sent, window: int, full_from: int):
-    """Rows with rank to pieces: a rest by the plan, a full window as a sequence of its own."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = sent.value
-        by = {n: table[table[:, 0] == n] for n in np.unique(table[:, 0]).tolist()}
-        for f in frames:
-            rows = []
-            for key, start, length, tokens, rank, ids in f[["doc_id", "start", "length", "doc_tokens", "rank", "ids"]].itertuples(index=False):
-                w = len(ids) // length
-                parts = [(0, length, full_from + rank, 0)]
-                if length < window:
-                    t = by[length]
-                    t = t[(t[:, 3] <= rank) & (rank < t[:, 4])]
-                    parts = [(o, s, q + rank - lo, p) for _, o, s, lo, _, q, p in t.tolist()]
-                for offset, size, sequence, place in parts:
-                    own = np.frombuffer(ids, f"<u{w}", size, offset * w).astype("<u4").tobytes()
-                    rows.append((key, start + offset, size, own, tokens, sequence, place))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+def _place(sent, window: int, full_from: int, width: int):
+    """Rows with rank to pieces: a rest by the plan, a full window as a sequence of its own. A batch's ids stay
+    one array: pieces of a rest come in order of their places in it, so only the bounds between them are new."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, starts = sent.value
+        for b in batches:
+            doc, start, length, tokens, rank = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+            ids = pa.concat_arrays([b.column(5)])
+            full = length == window
+            # A length's rows of the plan are together, by offset and then by rank; each of its cuts is found by search.
+            lo, hi = starts[np.minimum(length, window - 1)], starts[np.minimum(length, window - 1) + 1]
+            row, piece = [np.zeros(int(full.sum()), np.int64) - 1], [np.flatnonzero(full)]
+            for n in np.unique(length[~full]):
+                own = np.flatnonzero(length == n)
+                t = table[lo[own[0]] : hi[own[0]]]
+                for offset in np.unique(t[:, 1]):
+                    at = np.flatnonzero(t[:, 1] == offset)
+                    i = np.searchsorted(t[at, 3], rank[own], "right") - 1
+                    ok = (i >= 0) & (rank[own] < t[at[np.maximum(i, 0)], 4])
+                    row.append(lo[own[0]] + at[i[ok]])
+                    piece.append(own[ok])
+            row, piece = np.concatenate(row), np.concatenate(piece)
+            offset = np.where(row < 0, 0, table[row, 1])
+            order = np.lexsort((offset, piece))
+            row, piece, offset = row[order], piece[order], offset[order]
+            size = np.where(row < 0, window, table[row, 2])
+            sequence = np.where(row < 0, full_from + rank[piece], table[row, 5] + rank[piece] - table[row, 3])
+            place = np.where(row < 0, 0, table[row, 6])
+            raw = np.frombuffer(ids.buffers()[2], f"<u{width}") if len(ids) and ids.buffers()[2] is not None else np.zeros(0, "<u4")
+            first = np.frombuffer(ids.buffers()[1], "<i4", len(ids) + 1, 4 * ids.offset)[[0, -1]] // width if len(ids) else (0, 0)
+            bounds = np.concatenate([[0], np.cumsum(size)]) * 4
+            data = raw[first[0] : first[1]].astype("<u4")
+            if bounds[-1] != data.nbytes:
+                raise ValueError("the plan doesn't cover the pieces")
+            out = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds.astype("<i4").tobytes()), pa.py_buffer(data)])
+            columns = [pa.array(doc[piece]), pa.array(start[piece] + offset), pa.array(size), out, pa.array(tokens[piece]), pa.array(sequence), pa.array(place)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     return run
 
@@ -210,8 +230,8 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, window: int
     Null and empty texts are the end id alone. Rows that share an id are packed each for itself. No documents
     give no rows.
     """
-    spark = docs.sparkSession
-    pieces = documents(docs).mapInPandas(_tokenise(path or default_path(), end_id, window), "doc_id long, start long, length int, doc_tokens long, ids binary")
+    spark, path = docs.sparkSession, path or default_path()
+    pieces = documents(docs).mapInPandas(_tokenise(path, end_id, window), "doc_id long, start long, length int, doc_tokens long, ids binary")
     # Written once: ids are made by the slow step, and places must not change when a task is repeated.
     pieces = stored(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     lengths = pieces.groupBy("length").agg(F.count("*").alias("n"))
@@ -226,7 +246,9 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, window: int
     ranks = own.withColumn("at", F.row_number().over(within) - 1).join(sums, ["length", "block"]).select("piece", (F.col("base") + F.col("at")).alias("rank"))
     placed = pieces.join(ranks, "piece").select("doc_id", "start", "length", "doc_tokens", "rank", "ids")
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return placed.mapInPandas(_place(spark.sparkContext.broadcast(rows), window, sequences), schema)
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 1], rows[:, 0]))] if len(rows) else np.zeros((1, 7), np.int64)
+    starts = np.searchsorted(rows[:, 0], np.arange(window + 1))
+    return placed.mapInArrow(_place(spark.sparkContext.broadcast((rows, starts)), window, sequences, encoder(path).width), schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
