@@ -2,8 +2,8 @@
 
 The lexicon is the terms whose document frequency over all texts lies in a band: at least MIN_DOCS documents,
 at most MAX_SHARE of them. A term is a lower-cased run of letters and digits, known by its 64-bit hash. The
-lexicon is split at random, at LEVELS rates: at level j into PARTS * 4**j parts, of which the first PARTS are
-subsets, so each level has PARTS disjoint subsets that hold 4**-j of it together. A text's fingerprint lists,
+lexicon is split at random, at LEVELS rates: level j keeps 4**-j of it, by bits of the terms' hashes, and splits
+that into PARTS disjoint subsets by other bits. A text's fingerprint lists,
 for each subset with terms of the text, the subset and a hash over the text's sorted distinct terms in it.
 Two fingerprints are as like as the share of their entries that are the same. Dense subsets tell apart long
 texts that differ in a word; sparse ones still agree where half the text was replaced. A text without a
@@ -20,30 +20,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from segspark.llm.common import cut, documents, read
+from segspark.llm.common import cut, documents, read, stored
 
 MIN_DOCS, MAX_SHARE, MAX_FREQUENT = 2, 0.05, 20_000
-LEVELS, PARTS = 8, 16
+LEVELS, PARTS = 7, 16
 _SUBSET_BITS, _TERM_BITS = 12, 52
 
 
 def terms(text: Column) -> Column:
     """Distinct term hashes."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))  # noqa: PLW0108
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))  # noqa: PLW0108
 
 
-def subset_codes(ts: Column) -> Column:
-    """Sorted longs: the subset's number above the term's bits, one for each level whose subsets hold the term."""
+def with_codes(df: DataFrame, ts: str, to: str) -> DataFrame:
+    """Adds the sorted codes of the terms in column ts: longs with the subset's number above the term's bits.
+
+    A term is in a subset of level j if the 2j lowest bits of its hash are 0; which one, four higher bits say,
+    others at each level. So each level looks only at what the one before kept. Each step is a column, as an
+    expression that is used twice within one would be computed twice.
+    """
     low = (1 << _TERM_BITS) - 1
+    names = [f"_level{j}" for j in range(LEVELS)]
+    df = df.withColumn(names[0], F.col(ts))
+
+    def kept(j: int) -> Column:
+        return F.filter(names[j - 1], lambda t: t.bitwiseAND(F.lit((1 << 2 * j) - 1)) == 0)
+
+    for j in range(1, LEVELS):
+        df = df.withColumn(names[j], kept(j))
 
-    def at(j: int):
-        parts = PARTS << (2 * j)
-        # Each level reads other bits of the term's hash, mixed with the level's number.
-        part = lambda t: F.pmod(F.xxhash64(F.lit(j), t), F.lit(parts))
-        return F.transform(F.filter(ts, lambda t: part(t) < PARTS), lambda t: F.shiftleft(part(t) + j * PARTS, _TERM_BITS).bitwiseOR(t.bitwiseAND(F.lit(low))))
+    def codes(j: int) -> Column:
+        part = lambda t: F.shiftrightunsigned(t, 60 - 4 * j).bitwiseAND(F.lit(PARTS - 1))
+        return F.transform(names[j], lambda t: F.shiftleft(part(t) + j * PARTS, _TERM_BITS).bitwiseOR(t.bitwiseAND(F.lit(low))))
 
-    return F.array_sort(F.concat(*[at(j) for j in range(LEVELS)]))
+    return df.withColumn(to, F.array_sort(F.concat(*[codes(j) for j in range(LEVELS)]))).drop(*names)
 
 
 def entries(codes: Column) -> Column:
@@ -61,15 +72,17 @@ def entries(codes: Column) -> Column:
     return F.aggregate(codes, start, step, lambda a: F.when(a["s"] < 0, "").otherwise(F.concat(a["o"], first(a["s"]), digest(a["h"]))))
 
 
-def fingerprint(ts: Column, out: list[Column], text: Column) -> Column:
-    """ts without the terms of the arrays in out; where none is left ts itself, where there are none the text."""
-    kept = ts
+def with_fingerprint(df: DataFrame, text: str, out: list[Column], to: str) -> DataFrame:
+    """Adds the fingerprint of a text without the terms of the arrays in out; where none is left of all its terms,
+    where there are none of the text itself. It is never empty, as level 0 has all terms."""
+    kept = F.col("_terms")
     for o in out:
         kept = F.array_except(kept, o)
-    chosen = F.when(F.size(kept) > 0, kept).otherwise(F.when(F.size(ts) > 0, ts).otherwise(F.array(F.xxhash64(F.lit("text"), text))))
-    fp = entries(subset_codes(chosen))
-    # Tens of terms at least fall into a subset of level 0, so it is never empty.
-    return fp
+    df = df.withColumn("_terms", terms(F.col(text))).withColumn("_kept", kept)
+    whole = F.when(F.size("_terms") > 0, F.col("_terms")).otherwise(F.array(F.xxhash64(F.lit("text"), text)))
+    df = df.withColumn("_chosen", F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(whole))
+    df = with_codes(df, "_chosen", "_codes")
+    return df.withColumn(to, entries(F.col("_codes"))).drop("_terms", "_kept", "_chosen", "_codes")
 
 
 def _list(fp: Column) -> Column:
@@ -128,37 +141,42 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     terms in the band, have equal fingerprints. Rows with the same id share their terms' document."""
     d = documents(docs).withColumn("text", F.coalesce("text", F.lit("")))
     band = Band(d)
-    return d.join(band.rare, "doc_id", "left").select("doc_id", "text", fingerprint(terms(F.col("text")), [band.frequent, F.coalesce("rare", F.array().cast("array<bigint>"))], F.col("text")).alias("fingerprint"))
+    both = d.join(band.rare, "doc_id", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<bigint>")))
+    return with_fingerprint(both, "text", [band.frequent, F.col("rare")], "fingerprint").select("doc_id", "text", "fingerprint")
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited (the text with its last half replaced by the next document's start), fingerprint,
-    edited_fingerprint, near_edited, near_next.
+    """doc_id, n_chars, edited_sha256 (of the text with its last half replaced by the next document's start),
+    fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Ids are taken to be distinct; a repeated id takes the next of its equals as its next document. One
-    document is its own next. No rows give no rows.
+    Rows that repeat an id are one document, that with the greatest text. One document is its own next. No rows
+    give no rows.
     """
     d = documents(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    ids = d.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("own")).first()
+    if ids["n"] != ids["own"]:
+        d = d.groupBy("doc_id").agg(F.max("text").alias("text"))
     band = Band(d)
-    none = F.array().cast("array<bigint>")
     links = cut(successors(d))
-    rare = d.select("doc_id").distinct().join(band.rare, "doc_id", "left").select("doc_id", F.coalesce("rare", none).alias("rare"))
-    # What a document gives to the one before it: as much of its start as that needs, its rare terms and its fingerprint.
+    # For each document, the one before it and how much of this one's start that needs: what is sent there, with
+    # the rare terms of this one.
     need = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.floor(F.col("n_chars") / 2).cast("int").alias("need"))
-    full = d.join(rare, "doc_id").withColumn("ts", terms(F.col("text")))
-    full = full.select("doc_id", "text", "rare", fingerprint(F.col("ts"), [band.frequent, F.col("rare")], F.col("text")).alias("fingerprint"))
-    given = full.join(need, "doc_id").select(F.col("before").alias("doc_id"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("start"), F.col("rare").alias("next_rare"), F.col("fingerprint").alias("next_fingerprint"))
+    own = d.join(band.rare, "doc_id", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<bigint>"))).join(need, "doc_id")
+    given = own.select(F.col("before").alias("doc_id"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("start"), F.col("rare").alias("next_rare"))
     n = F.char_length("text")
-    both = full.join(given, "doc_id")
+    both = own.drop("need").join(given, "doc_id").withColumn("n_chars", n.cast("long"))
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 2)).cast("int")), "start"))
-    both = both.withColumn("edited_fingerprint", fingerprint(terms(F.col("edited")), [band.frequent, F.col("rare"), F.col("next_rare")], F.col("edited")))
-    return both.select(
-        "doc_id", n.cast("long").alias("n_chars"), "edited", "fingerprint", "edited_fingerprint",
+    both = with_fingerprint(both, "text", [band.frequent, F.col("rare")], "fingerprint")
+    both = with_fingerprint(both, "edited", [band.frequent, F.col("rare"), F.col("next_rare")], "edited_fingerprint")
+    # Written once, as each fingerprint is read at two documents.
+    out = stored(both.select("doc_id", "before", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint"), "imatch")
+    after = out.select(F.col("before").alias("doc_id"), F.col("fingerprint").alias("next_fingerprint"))
+    return out.join(after, "doc_id").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = compare_edited(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return compare_edited(read(spark, sf_dir, "documents"))
