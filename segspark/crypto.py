@@ -57,13 +57,13 @@ class Keyring:
 
 
 def seal(chunks: DataFrame, key: bytes, namespace: str, segment: str) -> DataFrame:
-    """generation, chunk_key, payload to generation, chunk_key, sealed (nonce, ciphertext, tag)."""
+    """generation, chunk_key, payload and any others: payload becomes sealed (nonce, ciphertext, tag)."""
     aad = associated_data(namespace, segment, F.col("generation"), F.col("chunk_key"))
-    return chunks.select("generation", "chunk_key", F.aes_encrypt(F.col("payload"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), aad).alias("sealed"))
+    return chunks.withColumn("sealed", F.aes_encrypt(F.col("payload"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), aad)).drop("payload")
 
 
 def unseal(sealed: DataFrame, key: bytes, namespace: str, segment: str) -> DataFrame:
     """The payloads; the job fails on a chunk that was changed or belongs elsewhere."""
     aad = associated_data(namespace, segment, F.col("generation"), F.col("chunk_key"))
     opened = F.try_aes_decrypt(F.col("sealed"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), aad)
-    return sealed.select("generation", "chunk_key", F.coalesce(opened, F.raise_error(F.lit("a sealed chunk doesn't open")).cast("binary")).alias("payload"))
+    return sealed.withColumn("payload", F.coalesce(opened, F.raise_error(F.lit("a sealed chunk doesn't open")).cast("binary"))).drop("sealed")

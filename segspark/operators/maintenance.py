@@ -73,9 +73,10 @@ def compact(store: SegmentStore, name: str, namespace: str | None = None, owner:
     for orphan in [g for g in store.generations(ns, name) if g >= gen]:
         store.delete_generation(ns, name, orphan)
     step("stage")
-    store.write_generation(ns, name, gen, store.effective(pinned))
+    key = store.key(pinned)
+    store.write_generation(ns, name, gen, store.effective(pinned), key)
     step("verify")
-    if verify and not store.verify_generation(ns, name, gen):
+    if verify and not store.verify_generation(ns, name, gen, key):
         store.delete_generation(ns, name, gen)
         return no("stage-conflict")
     folded = {p["path"] for p in pinned.pending}

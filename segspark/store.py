@@ -13,6 +13,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Iterable, Sequence
+from dataclasses import replace
 from functools import reduce
 from typing import Any
 
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segspark.errors import BudgetExceededError, IntegrityError, ValidationError, WriteConflictError
+from segspark.crypto import Keyring, seal, unseal
+from segspark.errors import BudgetExceededError, IntegrityError, KeyUnavailableError, ValidationError, WriteConflictError
 from segspark.functions import cost
 from segspark.functions.ids import check_id, chunk_key, id_frame
 from segspark.functions.names import check_name, namespace_key
@@ -31,6 +33,7 @@ from segspark.plans.budget import check_budget, resolve_budget
 from segspark.plans.tiers import overlay
 from segspark.retry import CONFLICTS, with_retry
 from segspark.sources.log import SegmentLog, State
+from segspark.sources.roaring import decode_chunks, encode_chunks
 
 OPS = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("add", T.BooleanType(), False)])
 INDEX = "chunk_key int, cardinality long, bytes long, checksum long"
@@ -43,13 +46,16 @@ MIN_EXPIRES_AT = 1_000_000_000_000
 
 
 class SegmentStore:
-    def __init__(self, spark: SparkSession, root: str, *, clock: Callable[[], float] = time.time, budget: int | bool | None = None, max_pending_bytes: int | None = None, metrics: Sink | None = None, audit: Sink | None = None):
+    def __init__(self, spark: SparkSession, root: str, *, clock: Callable[[], float] = time.time, budget: int | bool | None = None, max_pending_bytes: int | None = None, keyring: Keyring | None = None, metrics: Sink | None = None, audit: Sink | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self.log = SegmentLog(spark, self.root, clock)
         self.budget = budget
         #: A ceiling on unmerged operations a read takes on; none by default, as Spark spills. MAX_PENDING_BYTES is a usual one.
         self.max_pending_bytes = max_pending_bytes
         resolve_budget(budget)
+        #: With a keyring, segments made from now on hold their chunks sealed, each under a key of its own.
+        self.keyring = keyring
+        self._keys: dict[tuple[str, ...], bytes] = {}
         self.metrics, self.audit = Safe(metrics), Safe(audit)
 
     def segment(self, name: str, namespace: str | None = None, expires_at: int | None = None) -> Segment:
@@ -72,11 +78,38 @@ class SegmentStore:
     def empty(self, schema: str = "id long") -> DataFrame:
         return self.spark.createDataFrame([], schema)
 
-    def cold(self, s: State) -> DataFrame:
-        """id, chunk_key, kb of the current generation; kb is the folder, so chunk ranges prune folders."""
+    def key(self, s: State) -> bytes | None:
+        """The segment's data key; None for one in clear text."""
+        if not s.wrapped_keys:
+            return None
+        if self.keyring is None:
+            raise KeyUnavailableError(f"{s.namespace}/{s.segment} is sealed and there is no keyring")
+        at = tuple(c["wrapped"] for c in s.wrapped_keys)
+        if at not in self._keys:
+            self._keys[at] = self.keyring.unwrap(list(s.wrapped_keys))
+        return self._keys[at]
+
+    def _with_key(self, s: State) -> State:
+        """A new segment of a store with a keyring gets its key before anything is written."""
+        if self.keyring is None or s.wrapped_keys or s.current_gen is not None or s.pending:
+            return s
+        return self.log.update(s.namespace, s.segment, lambda now: None if now.wrapped_keys or now.pending or now.current_gen is not None else {"wrapped_keys": tuple(self.keyring.new_key()[1])})
+
+    def cold(self, s: State, kb: int | None = None) -> DataFrame:
+        """id, chunk_key, kb of the current generation, or of one of its folders; kb is the folder, so chunk ranges prune folders."""
         if s.current_gen is None or s.status == "destroyed":
             return self.empty("chunk_key int, id long, kb int")
-        return self.spark.read.schema("chunk_key int, id long, kb int").parquet(self.generation_path(s.namespace, s.segment, s.current_gen))
+        return self._generation(s.namespace, s.segment, s.current_gen, self.key(s), kb)
+
+    def _generation(self, ns: str, name: str, gen: int, key: bytes | None, kb: int | None = None) -> DataFrame:
+        path = self.generation_path(ns, name, gen)
+        rows = self.spark.read.schema("chunk_key int, sealed binary, kb int" if key else "chunk_key int, id long, kb int").parquet(path)
+        if kb is not None:
+            rows = rows.where(F.col("kb") == kb)
+        if key:
+            opened = unseal(rows.withColumn("generation", F.lit(gen)), key, ns, name).withColumnRenamed("payload", "bitmap")
+            rows = decode_chunks(opened).select(chunk_key().alias("chunk_key"), "id", F.expr(f"int((id >> 16) div {KEYS_PER_FOLDER})").alias("kb"))
+        return rows
 
     def cold_index(self, s: State) -> DataFrame:
         if s.current_gen is None or s.status == "destroyed":
@@ -90,11 +123,29 @@ class SegmentStore:
         size = OP_BYTES * sum(p["n"] for p in s.pending)
         if self.max_pending_bytes is not None and size > self.max_pending_bytes:
             raise BudgetExceededError("merging pending operations", size, self.max_pending_bytes)
+        key = self.key(s)
+        if key:
+            return reduce(DataFrame.unionByName, [self._opened(s, p, key) for p in s.pending])
         # One scan for all batches: a batch's folder carries its number.
         folder = self.log.files.path("warm", s.namespace, s.segment)
         paths = [p["path"] for p in s.pending]
         return self.spark.read.option("basePath", folder).schema("id long, add boolean, seq long").parquet(*paths)
 
+    def _opened(self, s: State, p: dict[str, Any], key: bytes) -> DataFrame:
+        rows = self.spark.read.schema("add boolean, chunk_key int, sealed binary").parquet(p["path"])
+        opened = unseal(rows.withColumn("generation", F.lit(p["batch"])), key, s.namespace, s.segment).withColumnRenamed("payload", "bitmap")
+        return decode_chunks(opened, "add").select("id", "add", F.lit(p["seq"]).cast("long").alias("seq"))
+
+    def _write_batch(self, s: State, batch: str, path: str, ops: DataFrame) -> int:
+        """Write id, add, sealed if the segment is; how many there are."""
+        key = self.key(s)
+        if key is None:
+            ops.select("id", "add").write.parquet(path)
+            return self.spark.read.schema(OPS).parquet(path).count()
+        rows = encode_chunks(ops, "add").withColumnRenamed("bitmap", "payload").withColumn("generation", F.lit(batch))
+        seal(rows, key, s.namespace, s.segment).select("add", "chunk_key", "cardinality", "sealed").write.parquet(path)
+        return self.spark.read.schema("cardinality long").parquet(path).agg(F.coalesce(F.sum("cardinality"), F.lit(0))).first()[0]
+
     def effective(self, s: State) -> DataFrame:
         ops = self.pending(s)
         cold = self.cold(s).select("id")
@@ -113,55 +164,61 @@ class SegmentStore:
 
     # Writing
 
-    def write_ops(self, ns: str, name: str, ops: DataFrame, change: Callable[[State], dict[str, Any]] | None = None) -> State | None:
-        """Append one batch (id, add; one row an id) as a commit. The batch is written once; a lost race only
-        repeats the commit, unless its number changed hands, for then the folder's name would lie."""
+    def _live(self, s: State) -> State:
+        """Writing to a destroyed segment makes it anew."""
+        if s.status == "destroyed":
+            s = self.log.commit(s, status="active", current_gen=None, pending=(), wrapped_keys=(), retention=None, destroyed_at=None)
+        return self._with_key(s)
+
+    def write_ops(self, ns: str, name: str, ops: DataFrame) -> State | None:
+        """Append one batch (id, add; one row an id) as a commit. The batch is written once; after a lost race it is
+        moved under the next number, as its folder's name is its number."""
         batch = uuid.uuid4().hex
-        staged = self.log.files.path("warm", ns, name, f"staged-{batch}")
-        ops.select("id", "add").write.parquet(staged)
-        n = self.spark.read.schema(OPS).parquet(staged).count()
+        at = [self.log.files.path("warm", ns, name, f"staged-{batch}")]
+        s = self._live(self.log.load(ns, name))
+        n = self._write_batch(s, batch, at[0], ops)
         if not n:
-            self.log.files.delete(staged)
+            self.log.files.delete(at[0])
             return None
-        return self._commit_batch(ns, name, staged, n)
+        keys = s.wrapped_keys
 
-    def _commit_batch(self, ns: str, name: str, staged: str, n: int) -> State:
         def once() -> State:
-            s = self.log.load(ns, name)
-            if s.status == "destroyed":
-                s = self.log.commit(s, status="active", current_gen=None, pending=(), destroyed_at=None)
-            seq = s.next_seq
-            path = self.log.files.path("warm", ns, name, f"seq={seq}", uuid.uuid4().hex)
-            # The number is a folder above the batch, so it becomes a column of the scan.
+            s = self._live(self.log.load(ns, name))
+            if s.wrapped_keys != keys:
+                raise KeyUnavailableError(f"{ns}/{name} was destroyed meanwhile")
+            path = self.log.files.path("warm", ns, name, f"seq={s.next_seq}", batch)
             if not self.log.files.move(at[0], path):
                 raise IntegrityError(f"{at[0]} can't be moved to {path}")
             at[0] = path
-            return self.log.commit(s, pending=(*s.pending, {"path": path, "seq": seq, "n": n}), next_seq=seq + 1)
+            return self.log.commit(s, pending=(*s.pending, {"path": path, "seq": s.next_seq, "n": n, "batch": batch}), next_seq=s.next_seq + 1)
 
-        at = [staged]
         return with_retry(once, CONFLICTS, lambda e: isinstance(e, WriteConflictError))
 
-    def write_generation(self, ns: str, name: str, gen: int, ids: DataFrame) -> dict[str, int]:
-        """Write distinct ids as generation gen: files sorted by id in folders of chunk keys, then the index made
-        from what was written. Fails if the generation is there."""
+    def write_generation(self, ns: str, name: str, gen: int, ids: DataFrame, key: bytes | None = None) -> dict[str, int]:
+        """Write distinct ids as generation gen: files sorted by id in folders of chunk keys (sealed bitmaps of
+        chunks with a key), then the index made from what was written. Fails if the generation is there."""
         spark, path = self.spark, self.generation_path(ns, name, gen)
-        rows = ids.select(chunk_key().alias("chunk_key"), "id").withColumn("kb", F.expr(f"int(chunk_key div {KEYS_PER_FOLDER})"))
-        rows.repartitionByRange("id").sortWithinPartitions("id").write.partitionBy("kb").parquet(path)
-        if not self.log.files.exists(path) or not any(n.startswith("kb=") for n in self.log.files.names(path)):
+        folder = F.expr(f"int(chunk_key div {KEYS_PER_FOLDER})")
+        if key:
+            rows = encode_chunks(ids).withColumnRenamed("bitmap", "payload").withColumn("generation", F.lit(gen))
+            seal(rows, key, ns, name).select("chunk_key", "sealed", folder.alias("kb")).write.partitionBy("kb").parquet(path)
+        else:
+            rows = ids.select(chunk_key().alias("chunk_key"), "id").withColumn("kb", folder)
+            rows.repartitionByRange("id").sortWithinPartitions("id").write.partitionBy("kb").parquet(path)
+        if not any(n.startswith("kb=") for n in self.log.files.names(path)):
             index = self.empty(INDEX)
         else:
-            index = chunks.chunk_index(spark.read.schema("chunk_key int, id long, kb int").parquet(path))
+            index = chunks.chunk_index(self._generation(ns, name, gen, key))
         index.repartition(1).write.parquet(self.index_path(ns, name, gen))
         row = spark.read.schema(INDEX).parquet(self.index_path(ns, name, gen)).agg(F.count("*").alias("chunk_count"), F.coalesce(F.sum("cardinality"), F.lit(0)).alias("cardinality"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("size"), F.coalesce(F.sum("checksum"), F.lit(0)).alias("checksum")).first()
         return row.asDict()
 
-    def verify_generation(self, ns: str, name: str, gen: int) -> bool:
+    def verify_generation(self, ns: str, name: str, gen: int, key: bytes | None = None) -> bool:
         """Read the generation again: each chunk's cardinality and checksum against the index."""
-        spark = self.spark
         if not self.log.files.exists(self.generation_path(ns, name, gen)):
             return False
-        stored = spark.read.schema(INDEX).parquet(self.index_path(ns, name, gen))
-        made = chunks.chunk_index(spark.read.schema("chunk_key int, id long, kb int").parquet(self.generation_path(ns, name, gen)))
+        stored = self.spark.read.schema(INDEX).parquet(self.index_path(ns, name, gen))
+        made = chunks.chunk_index(self._generation(ns, name, gen, key))
         one = stored.select("chunk_key", "cardinality", "checksum", F.lit(1).alias("side")).unionByName(made.select("chunk_key", "cardinality", "checksum", F.lit(2).alias("side")))
         return one.groupBy("chunk_key", "cardinality", "checksum").agg(F.sum("side").alias("sides")).where("sides <> 3").limit(1).count() == 0
 
@@ -192,9 +249,12 @@ class SegmentStore:
         replaces the cold tier; pending operations stay on top."""
         ns, name = namespace_key(namespace), check_name(name)
         s = self.log.load(ns, name)
+        if s.status == "destroyed":
+            raise ValidationError(f"{ns}/{name} is destroyed")
+        s = self._with_key(s)
         gens = self.generations(ns, name)
         gen = max([-1 if s.current_gen is None else s.current_gen, *gens]) + 1
-        made = self.write_generation(ns, name, gen, id_frame(self.spark, ids, column))
+        made = self.write_generation(ns, name, gen, id_frame(self.spark, ids, column), self.key(s))
         made |= {"generation": gen, "current": self.publish(ns, name, gen)}
         return made
 
@@ -231,7 +291,7 @@ class Segment:
             if last is not None:
                 return bool(last)
         kb = (value >> 16) // KEYS_PER_FOLDER
-        return bool(self.store.cold(s).where((F.col("kb") == kb) & (F.col("id") == value)).limit(1).count())
+        return bool(self.store.cold(s, kb).where(F.col("id") == value).limit(1).count())
 
     def has_batch(self, probes: DataFrame) -> DataFrame:
         return algebra.has_batch(probes, self.ids())
@@ -362,16 +422,15 @@ class Segment:
         return with_retry(once, CONFLICTS, lambda e: isinstance(e, WriteConflictError))
 
     def _commit_claim(self, s: State, fresh: DataFrame) -> DataFrame:
-        store = self.store
-        if s.status == "destroyed":
-            s = store.log.commit(s, status="active", current_gen=None, pending=(), destroyed_at=None)
-        path = store.log.files.path("warm", self.namespace, self.name, f"seq={s.next_seq}", uuid.uuid4().hex)
-        fresh.select("id", F.lit(True).alias("add")).write.parquet(path)
-        won = store.spark.read.schema(OPS).parquet(path).select("id")
-        n = won.count()
+        store, batch = self.store, uuid.uuid4().hex
+        s = store._live(s)
+        path = store.log.files.path("warm", self.namespace, self.name, f"seq={s.next_seq}", batch)
+        n = store._write_batch(s, batch, path, fresh.select("id", F.lit(True).alias("add")))
+        entry = {"path": path, "seq": s.next_seq, "n": n, "batch": batch}
+        won = store.pending(replace(s, pending=(entry,))).select("id")
         if n:
             try:
-                store.log.commit(s, pending=(*s.pending, {"path": path, "seq": s.next_seq, "n": n}), next_seq=s.next_seq + 1)
+                store.log.commit(s, pending=(*s.pending, entry), next_seq=s.next_seq + 1)
             except WriteConflictError:
                 store.log.files.delete(path)
                 raise

@@ -324,6 +324,32 @@ def test_encryption(spark):
             unseal(df, key, ns, "s").collect()
 
 
+def test_sealed_store(spark, tmp_path):
+    from segspark.crypto import Keyring
+    from segspark.errors import KeyUnavailableError
+    from segspark.sources.roaring import encode_chunks
+
+    root, ring = f"file://{tmp_path}/s", Keyring(spark, {"main": b"m" * 32, "spare": b"r" * 32})
+    store = SegmentStore(spark, root, keyring=ring)
+    store.bulk_load("s", [1, 2, 70000])
+    s = store.segment("s")
+    s.add_many([3, 140001])
+    s.remove(1)
+    assert ids(s.claim_many([3, 4])) == [4]
+    assert ids(s.ids()) == [2, 3, 4, 70000, 140001] and s.count() == 5 and s.has(3) and not s.has(1)
+    assert m.compact(store, "s").compacted and store.cold(s.state()).count() == 5
+    assert ids(s.ids()) == [2, 3, 4, 70000, 140001] and s.has(70000)
+    plain = [bytes(r["bitmap"]) for r in encode_chunks(s.ids()).collect()]
+    files = b"".join(f.read_bytes() for f in tmp_path.rglob("*.parquet"))
+    assert all(len(p) < 20 or p not in files for p in plain)
+    with pytest.raises(KeyUnavailableError):
+        SegmentStore(spark, root).segment("s").ids()
+    spare = SegmentStore(spark, root, keyring=Keyring(spark, {"spare": b"r" * 32}))
+    assert spare.segment("s").count() == 5
+    assert m.destroy(store, "s") == {"destroyed": True, "reason": None}
+    assert store.log.load(None, "s").wrapped_keys == () and s.count() == 0
+
+
 def test_cli(spark, tmp_path, capsys):
     from segspark.__main__ import main
 
