@@ -30,6 +30,8 @@ BOILERPLATE = frozenset("nav aside footer form menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 # Words of class and id names.
 NAMES = frozenset("nav navbar navigation menu menus submenu breadcrumb breadcrumbs header masthead topbar footer sidebar aside widget widgets notice notices cookie cookies consent gdpr banner alert ad ads advert adverts advertisement advertising sponsor sponsored promo promotion form search login signup subscribe subscription newsletter comment comments commentlist disqus reply replies respond discussion share sharing social related recommended pagination pager popup modal overlay toolbar skip copyright".split())
+#: Names that an outer wrapper may have for its layout (as in "with-sidebar"): an article or main element inside counts all the same.
+LAYOUT = frozenset("nav navbar navigation header masthead footer sidebar aside widget widgets menu topbar".split())
 _P_ENDS = BLOCK - {"body", "html", "option", "optgroup", "legend", "caption"}
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
@@ -40,7 +42,7 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, element number, boilerplate from here down
+        self.open: list[tuple[str, int, int]] = []  # tag, element number, boilerplate from here down: 0 no, 1 by layout name, 2 yes
         self.elements: list[tuple[int, str]] = []  # parent number, tag
         self.text: list[str] = []
         self.tags = 0
@@ -49,26 +51,37 @@ class Lines(HTMLParser):
     def _end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, self.open[-1][2] if self.open else False, self.open[-1][1] if self.open else -1))
+            self.lines.append((text, self.tags, bool(self.open and self.open[-1][2]), self.open[-1][1] if self.open else -1))
             self.tags = 0
         self.text.clear()
 
-    def _dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if tag in HIDDEN or tag in BOILERPLATE:
-            return True
+            return 2
         inside = any(t in ("article", "main") for t, _, _ in self.open)
         if tag == "header":
-            return not inside
+            return 0 if inside else 2
         a = dict(attrs)
         if "hidden" in a or (a.get("aria-hidden") or "") == "true" or re.search(r"display\s*:\s*none", a.get("style") or ""):
-            return True
+            return 2
         if (a.get("role") or "").lower() in ROLES:
-            return True
-        if tag in ("html", "body", "article", "main"):
-            return False
+            return 2
+        if tag in ("html", "body"):
+            return 0
         words = {w.lower() for k in ("class", "id") for name in (a.get(k) or "").split() for w in [name, *_SPLIT.split(name)]}
         found = words & NAMES
-        return bool(found - {"header"} or found and not inside)
+        if tag in ("article", "main"):
+            found -= LAYOUT
+        if inside:
+            found -= {"header"}
+        return 2 if found - LAYOUT else 1 if found else 0
+
+    def _push(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        _, parent, above = self.open[-1] if self.open else ("", -1, 0)
+        if above == 1 and tag in ("article", "main"):
+            above = 0
+        self.elements.append((parent, tag))
+        self.open.append((tag, len(self.elements) - 1, max(above, self._dropped(tag, attrs))))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -85,13 +98,9 @@ class Lines(HTMLParser):
                 self._close("li", {"ul", "ol", "menu"})
             if tag == "hr":
                 return
-            parent = self.open[-1] if self.open else ("", -1, False)
-            self.elements.append((parent[1], tag))
-            self.open.append((tag, len(self.elements) - 1, parent[2] or self._dropped(tag, attrs)))
+            self._push(tag, attrs)
         elif attrs and self._dropped(tag, attrs):
-            parent = self.open[-1] if self.open else ("", -1, False)
-            self.elements.append((parent[1], tag))
-            self.open.append((tag, len(self.elements) - 1, True))
+            self._push(tag, attrs)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1

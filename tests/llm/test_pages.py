@@ -31,6 +31,12 @@ def test_without_article_element():
     assert got[0] == "Head" and got[-1] == "End." and len(got) == 7
 
 
+def test_names_of_wrappers_and_comments():
+    body = "<p>A paragraph with quite a few words in it, so that it is text.</p>"
+    html = f'<div class="page with-sidebar"><nav>n</nav><main><article class="post">{body}<div class="share-buttons">Share</div></article><div id="comments"><article class="comment">{body * 3}</article></div></main></div>'
+    assert pages.main_text(html) == "A paragraph with quite a few words in it, so that it is text."
+
+
 def test_odd_pages():
     assert pages.main_text(None) == pages.main_text("") == pages.main_text("<p></p>") == pages.main_text("<nav>menu</nav>") == ""
     assert pages.main_text("just text &amp; more") == "just text & more"
