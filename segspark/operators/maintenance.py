@@ -275,7 +275,7 @@ def drop(store: SegmentStore, name: str, namespace: str | None = None, *, confir
         raise ValidationError("confirm must repeat the segment's name")
     log = store.log
     s, gens = log.load(ns, name), store.generations(ns, name)
-    warm = log.files.path("warm", ns, name)
+    warm = store.warm_path(ns, name)
     had_warm = bool(log.files.names(warm))
     if dry_run:
         return {"dropped": False, "reason": "dry-run", "generations": gens, "pending": len(s.pending)}

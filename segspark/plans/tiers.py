@@ -26,11 +26,11 @@ def effective(cold: DataFrame, ops: DataFrame | None, *keys: str) -> DataFrame:
     return resolve(rows, *keys).where("add").select(*keys, "id")
 
 
-def overlay(cold: DataFrame, ops: DataFrame) -> DataFrame:
+def overlay(cold: DataFrame, ops: DataFrame, *keys: str) -> DataFrame:
     """The same for a small tail of operations over a large generation: the generation is not regrouped, only
     anti-joined with the touched ids, which adaptive execution broadcasts while they are small."""
-    last = resolve(ops)
-    return cold.select("id").join(last.select("id"), "id", "left_anti").unionByName(last.where("add").select("id"))
+    own, last = [*keys, "id"], resolve(ops, *keys)
+    return cold.select(own).join(last.select(own), own, "left_anti").unionByName(last.where("add").select(own))
 
 
 def dirty_chunks(ops: DataFrame, *keys: str) -> DataFrame:

@@ -75,6 +75,9 @@ class SegmentStore:
     def index_path(self, ns: str, name: str, gen: int) -> str:
         return self.log.files.path("index", f"ns={ns}", f"segment={name}", f"gen={gen}")
 
+    def warm_path(self, ns: str, name: str) -> str:
+        return self.log.files.path("warm", f"ns={ns}", f"segment={name}")
+
     def empty(self, schema: str = "id long") -> DataFrame:
         return self.spark.createDataFrame([], schema)
 
@@ -127,7 +130,7 @@ class SegmentStore:
         if key:
             return reduce(DataFrame.unionByName, [self._opened(s, p, key) for p in s.pending])
         # One scan for all batches: a batch's folder carries its number.
-        folder = self.log.files.path("warm", s.namespace, s.segment)
+        folder = self.warm_path(s.namespace, s.segment)
         paths = [p["path"] for p in s.pending]
         return self.spark.read.option("basePath", folder).schema("id long, add boolean, seq long").parquet(*paths)
 
@@ -174,7 +177,7 @@ class SegmentStore:
         """Append one batch (id, add; one row an id) as a commit. The batch is written once; after a lost race it is
         moved under the next number, as its folder's name is its number."""
         batch = uuid.uuid4().hex
-        at = [self.log.files.path("warm", ns, name, f"staged-{batch}")]
+        at = [self.log.files.path("staging", batch)]
         s = self._live(self.log.load(ns, name))
         n = self._write_batch(s, batch, at[0], ops)
         if not n:
@@ -186,7 +189,7 @@ class SegmentStore:
             s = self._live(self.log.load(ns, name))
             if s.wrapped_keys != keys:
                 raise KeyUnavailableError(f"{ns}/{name} was destroyed meanwhile")
-            path = self.log.files.path("warm", ns, name, f"seq={s.next_seq}", batch)
+            path = f"{self.warm_path(ns, name)}/seq={s.next_seq}/{batch}"
             if not self.log.files.move(at[0], path):
                 raise IntegrityError(f"{at[0]} can't be moved to {path}")
             at[0] = path
@@ -424,7 +427,7 @@ class Segment:
     def _commit_claim(self, s: State, fresh: DataFrame) -> DataFrame:
         store, batch = self.store, uuid.uuid4().hex
         s = store._live(s)
-        path = store.log.files.path("warm", self.namespace, self.name, f"seq={s.next_seq}", batch)
+        path = f"{store.warm_path(self.namespace, self.name)}/seq={s.next_seq}/{batch}"
         n = store._write_batch(s, batch, path, fresh.select("id", F.lit(True).alias("add")))
         entry = {"path": path, "seq": s.next_seq, "n": n, "batch": batch}
         won = store.pending(replace(s, pending=(entry,))).select("id")
@@ -453,16 +456,34 @@ class Segment:
 
 
 def fleet(store: SegmentStore, namespace: str | None = None) -> DataFrame:
-    """namespace, segment, id of all live registered segments: one union over the fleet's generations and
-    operations, for searches and exports."""
-    parts = []
-    for ns, name in store.log.segments():
-        if namespace is not None and ns != namespace_key(namespace):
-            continue
-        s = store.log.load(ns, name)
-        if s.registered and s.status != "destroyed":
-            parts.append(store.effective(s).select(F.lit(ns).alias("namespace"), F.lit(name).alias("segment"), "id"))
-    return reduce(DataFrame.unionByName, parts) if parts else store.empty("namespace string, segment string, id long")
+    """namespace, segment, id of all live registered segments, for searches and exports.
+
+    Segments in clear text come from one scan over all generations and one over all operations, whose folders are
+    columns; the registry says which of them count. So the plan's size doesn't depend on how many segments there are,
+    and a filter on ids or names reaches both scans. Sealed segments need their keys and are added one by one.
+    """
+    spark, files = store.spark, store.log.files
+    registry = store.registry().where("status <> 'destroyed'")
+    if namespace is not None:
+        registry = registry.where(F.col("namespace") == namespace_key(namespace))
+    clear = registry.where("size(wrapped_keys) = 0")
+    keys = ["namespace", "segment"]
+    cold, ops = store.empty("namespace string, segment string, id long"), None
+    if files.names(files.path("cold")):
+        rows = spark.read.schema("id long, ns string, segment string, gen long, kb int").parquet(files.path("cold")).withColumnRenamed("ns", "namespace")
+        current = clear.where("current_gen is not null").select(*keys, F.col("current_gen").alias("gen"))
+        cold = rows.where("id is not null").join(current, [*keys, "gen"], "left_semi").select(*keys, "id")
+    if files.names(files.path("warm")):
+        rows = spark.read.schema("id long, add boolean, ns string, segment string, seq long").parquet(files.path("warm")).withColumnRenamed("ns", "namespace")
+        # A batch's folder, too: a claim that lost its race and then its driver leaves one that doesn't count.
+        rows = rows.withColumn("batch", F.regexp_extract("_metadata.file_path", "/seq=[0-9]+/([0-9a-f]+)/", 1))
+        pending = clear.select(*keys, F.explode("pending").alias("p")).select(*keys, "p.seq", "p.batch")
+        ops = rows.where("id is not null").join(pending, [*keys, "seq", "batch"], "left_semi").select(*keys, "id", "add", "seq")
+    out = cold if ops is None else overlay(cold, ops, *keys)
+    for r in registry.where("size(wrapped_keys) > 0").select(*keys).toLocalIterator():
+        ids = store.effective(store.log.load(r["namespace"], r["segment"]))
+        out = out.unionByName(ids.select(F.lit(r["namespace"]).alias("namespace"), F.lit(r["segment"]).alias("segment"), "id"))
+    return out
 
 
 __all__ = ["Segment", "SegmentStore", "fleet"]
