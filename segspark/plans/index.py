@@ -45,13 +45,22 @@ def efficiency(indexes: Sequence[DataFrame]) -> DataFrame:
     )
 
 
-def combine_units(indexes: Sequence[DataFrame], excludes: Sequence[DataFrame] = (), any_of: bool = False) -> DataFrame:
-    """One row, units: what a budget counts for a combination. For each key that is combined, the operands and
-    the excludes that have it; an exclude never adds a key."""
+def combine_stats(indexes: Sequence[DataFrame], excludes: Sequence[DataFrame] = (), any_of: bool = False) -> DataFrame:
+    """One row about a combination, from chunk keys alone: fetched and skipped chunks, and units, what a budget counts.
+
+    For each key that is combined, units are the operands and the excludes that have it; an exclude never adds a key.
+    """
+    k = 1 if any_of else len(indexes)
     present = key_presence(indexes)
-    if not any_of:
-        present = present.where(F.col("n") == len(indexes))
     if excludes:
-        out = key_presence(excludes).select("chunk_key", F.col("n").alias("x"))
-        present = present.join(out, "chunk_key", "left").withColumn("n", F.col("n") + F.coalesce("x", F.lit(0)))
-    return present.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("units"))
+        present = present.join(key_presence(excludes).select("chunk_key", F.col("n").alias("x")), "chunk_key", "left")
+    touched = F.col("n") + (F.coalesce("x", F.lit(0)) if excludes else F.lit(0))
+    return present.agg(
+        F.count_if(F.col("n") >= k).alias("fetched"),
+        F.count_if(F.col("n") < k).alias("skipped"),
+        F.coalesce(F.sum(F.when(F.col("n") >= k, touched)), F.lit(0)).cast("long").alias("units"),
+    )
+
+
+def combine_units(indexes: Sequence[DataFrame], excludes: Sequence[DataFrame] = (), any_of: bool = False) -> DataFrame:
+    return combine_stats(indexes, excludes, any_of).select("units")

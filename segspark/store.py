@@ -348,8 +348,9 @@ class Segment:
         outs = [(e, e.chunk_keys()) for e in exclude]
         limit = resolve_budget(budget, self.store.budget)
         if limit is not None:
-            units = chunks.combine_units(indexes, [k for _, k in outs], any_of).first()["units"]
-            check_budget(what, units, limit)
+            stats = chunks.combine_stats(indexes, [k for _, k in outs], any_of).first().asDict()
+            check_budget(what, stats["units"], limit)
+            self.store.metrics.event(what, operands=len(operands), excludes=len(outs), **stats)
         ids = [self.store.effective(s) for s in states]
         if any_of:
             return algebra.union(ids, [self.store.effective(e.state()) for e, _ in outs]).orderBy("id")
@@ -362,7 +363,6 @@ class Segment:
         drops = [self.store.effective(e.state()) for e, _ in outs]
         if keys is not None:
             drops = [algebra.within_chunks(d, keys) for d in drops]
-        self.store.metrics.event(what, operands=len(ids), excludes=len(drops))
         return algebra.intersect([ids[i] for i in order], drops).orderBy("id")
 
     def _hint(self, s: State) -> int:
