@@ -74,7 +74,7 @@ def compact(store: SegmentStore, name: str, namespace: str | None = None, owner:
         store.delete_generation(ns, name, orphan)
     step("stage")
     key = store.key(pinned)
-    store.write_generation(ns, name, gen, store.effective(pinned), key)
+    made = store.write_generation(ns, name, gen, store.effective(pinned), key)
     step("verify")
     if verify and not store.verify_generation(ns, name, gen, key):
         store.delete_generation(ns, name, gen)
@@ -89,7 +89,7 @@ def compact(store: SegmentStore, name: str, namespace: str | None = None, owner:
         if lost:
             return None
         rest = tuple(p for p in now.pending if p["path"] not in folded)
-        return {"current_gen": gen, "pending": rest, "status": "active", "lease_owner": None, "lease_expires_at": None, "last_compacted_at": log.now(), "failures": 0}
+        return {"current_gen": gen, "gen_stats": made, "pending": rest, "status": "active", "lease_owner": None, "lease_expires_at": None, "last_compacted_at": log.now(), "failures": 0}
 
     after = log.update(ns, name, change)
     if lost:
@@ -283,7 +283,7 @@ def drop(store: SegmentStore, name: str, namespace: str | None = None, *, confir
     if not s.registered and not gens:
         return {"dropped": had_warm, "reason": "warm-only" if had_warm else "absent", "generationsRemaining": []}
     already = s.status == "destroyed"
-    log.update(ns, name, lambda now: None if now.status == "destroyed" else {"status": "destroyed", "pending": (), "current_gen": None, "wrapped_keys": (), "lease_owner": None, "destroyed_at": log.now()})
+    log.update(ns, name, lambda now: None if now.status == "destroyed" else {"status": "destroyed", "pending": (), "current_gen": None, "gen_stats": None, "wrapped_keys": (), "lease_owner": None, "destroyed_at": log.now()})
     log.files.delete(warm)
     for _ in range(sweeps):
         for g in store.generations(ns, name):

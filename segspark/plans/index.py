@@ -18,7 +18,7 @@ def chunk_index(ids: DataFrame, *keys: str) -> DataFrame:
     """keys, chunk_key, cardinality, bytes, checksum of distinct ids. The checksum is a sum of hashes, so it
     doesn't depend on order and partial sums add up."""
     rows = ids.select(*keys, chunk_key().alias("chunk_key"), "id")
-    out = rows.groupBy(*keys, "chunk_key").agg(F.count("*").alias("cardinality"), F.sum(F.crc32(F.col("id").cast("string").cast("binary"))).alias("checksum"))
+    out = rows.groupBy(*keys, "chunk_key").agg(F.count("*").alias("cardinality"), F.sum(F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFFFF))).alias("checksum"))
     return out.select(*keys, "chunk_key", "cardinality", F.least(2 * F.col("cardinality"), F.lit(CHUNK_BITMAP)).cast("long").alias("bytes"), "checksum")
 
 

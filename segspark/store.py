@@ -10,6 +10,7 @@ Reads return DataFrames, pinned to the state that the call saw. Small calls (has
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable, Sequence
@@ -17,6 +18,7 @@ from dataclasses import replace
 from functools import reduce
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +41,8 @@ OPS = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("add
 INDEX = "chunk_key int, cardinality long, bytes long, checksum long"
 #: Chunk keys in one folder of a generation.
 KEYS_PER_FOLDER = 256
+#: Index entries kept on the driver, and chunk keys put in a filter as they are; more are broadcast, 65,536 at most.
+MAX_INDEX_ENTRIES, MAX_LISTED_KEYS = 1 << 22, 2000
 #: Bytes a pending operation takes, for the ceiling on unmerged operations.
 OP_BYTES = 16
 #: Expiry times below this are taken for seconds by mistake.
@@ -56,6 +60,8 @@ class SegmentStore:
         #: With a keyring, segments made from now on hold their chunks sealed, each under a key of its own.
         self.keyring = keyring
         self._keys: dict[tuple[str, ...], bytes] = {}
+        self._indexes: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self._lock = threading.Lock()
         self.metrics, self.audit = Safe(metrics), Safe(audit)
 
     def segment(self, name: str, namespace: str | None = None, expires_at: int | None = None) -> Segment:
@@ -154,6 +160,36 @@ class SegmentStore:
         cold = self.cold(s).select("id")
         return cold if ops is None else overlay(cold, ops)
 
+    def local_index(self, s: State) -> tuple[np.ndarray, np.ndarray]:
+        """Chunk keys and cardinalities of the current generation, at most 65,536, kept by generation: a generation
+        never changes, so planning a combination of clean segments needs no job."""
+        if s.current_gen is None or s.status == "destroyed":
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = self.index_path(s.namespace, s.segment, s.current_gen)
+        with self._lock:
+            if at in self._indexes:
+                self._indexes[at] = self._indexes.pop(at)
+                return self._indexes[at]
+        rows = self.cold_index(s).select("chunk_key", "cardinality").orderBy("chunk_key").toArrow()
+        got = tuple(rows.column(i).to_numpy().astype(np.int64) for i in range(2))
+        with self._lock:
+            self._indexes[at] = got
+            while len(self._indexes) > 1 and sum(len(k) for k, _ in self._indexes.values()) > MAX_INDEX_ENTRIES:
+                self._indexes.pop(next(iter(self._indexes)))
+        return got
+
+    def cold_chunks(self, s: State, keys: np.ndarray) -> DataFrame:
+        """id of the given chunks: their folders prune files, the keys prune row groups and rows."""
+        rows, own = self.cold(s), self.local_index(s)[0]
+        if len(keys) < len(own):
+            rows = rows.where(F.col("kb").isin(np.unique(keys // KEYS_PER_FOLDER).tolist()))
+            if len(keys) <= MAX_LISTED_KEYS:
+                rows = rows.where(F.col("chunk_key").isin(keys.tolist()))
+            else:
+                listed = self.spark.createDataFrame([(int(k),) for k in keys], "chunk_key int")
+                rows = rows.join(F.broadcast(listed), "chunk_key", "left_semi")
+        return rows.select("id")
+
     def effective_index(self, s: State) -> DataFrame:
         """chunk_key, cardinality of non-empty chunks: stored counts where nothing is pending, merged ones where something is."""
         index, ops = self.cold_index(s), self.pending(s)
@@ -170,7 +206,7 @@ class SegmentStore:
     def _live(self, s: State) -> State:
         """Writing to a destroyed segment makes it anew."""
         if s.status == "destroyed":
-            s = self.log.commit(s, status="active", current_gen=None, pending=(), wrapped_keys=(), retention=None, destroyed_at=None)
+            s = self.log.commit(s, status="active", current_gen=None, gen_stats=None, pending=(), wrapped_keys=(), retention=None, destroyed_at=None)
         return self._with_key(s)
 
     def write_ops(self, ns: str, name: str, ops: DataFrame) -> State | None:
@@ -206,8 +242,9 @@ class SegmentStore:
             rows = encode_chunks(ids).withColumnRenamed("bitmap", "payload").withColumn("generation", F.lit(gen))
             seal(rows, key, ns, name).select("chunk_key", "sealed", folder.alias("kb")).write.partitionBy("kb").parquet(path)
         else:
+            # By folder, of which a segment has at most 256 with at most 2**24 ids each: one file a folder, sorted by id.
             rows = ids.select(chunk_key().alias("chunk_key"), "id").withColumn("kb", folder)
-            rows.repartitionByRange("id").sortWithinPartitions("id").write.partitionBy("kb").parquet(path)
+            rows.repartition("kb").sortWithinPartitions("kb", "id").write.partitionBy("kb").parquet(path)
         if not any(n.startswith("kb=") for n in self.log.files.names(path)):
             index = self.empty(INDEX)
         else:
@@ -232,7 +269,7 @@ class SegmentStore:
         self.log.files.delete(self.generation_path(ns, name, gen))
         self.log.files.delete(self.index_path(ns, name, gen))
 
-    def publish(self, ns: str, name: str, gen: int) -> bool:
+    def publish(self, ns: str, name: str, gen: int, stats: dict[str, int] | None = None) -> bool:
         """Make gen current unless a newer one is; whether it is current now."""
         done = False
 
@@ -241,7 +278,7 @@ class SegmentStore:
             if s.status == "destroyed":
                 raise ValidationError(f"{ns}/{name} is destroyed")
             done = s.current_gen is None or s.current_gen <= gen
-            return {"current_gen": gen} if s.current_gen is None or s.current_gen < gen else None
+            return {"current_gen": gen, "gen_stats": stats} if s.current_gen is None or s.current_gen < gen else None
 
         self.log.update(ns, name, change)
         self.audit.event("publish", namespace=ns, segment=name, generation=gen, current=done)
@@ -258,8 +295,7 @@ class SegmentStore:
         gens = self.generations(ns, name)
         gen = max([-1 if s.current_gen is None else s.current_gen, *gens]) + 1
         made = self.write_generation(ns, name, gen, id_frame(self.spark, ids, column), self.key(s))
-        made |= {"generation": gen, "current": self.publish(ns, name, gen)}
-        return made
+        return made | {"generation": gen, "current": self.publish(ns, name, gen, made)}
 
 
 class Segment:
@@ -304,8 +340,12 @@ class Segment:
         if self.expired:
             return 0
         s = self.state()
-        ops = self.store.pending(s)
         limit = resolve_budget(budget, self.store.budget)
+        if not s.pending and (s.current_gen is None or s.gen_stats):
+            n = s.gen_stats["cardinality"] if s.gen_stats else 0
+            self.store.metrics.event("count", n=n)
+            return n
+        ops = self.store.pending(s)
         if ops is not None and limit is not None:
             check_budget("count", ops.select(chunk_key().alias("k")).distinct().count(), limit)
         n = self.store.effective_index(s).agg(F.coalesce(F.sum("cardinality"), F.lit(0))).first()[0]
@@ -343,30 +383,53 @@ class Segment:
         return [o for o in others if not o.expired]
 
     def _combine(self, operands: Sequence[Segment], exclude: Sequence[Segment], any_of: bool, budget: int | bool | None, what: str) -> DataFrame:
-        states = [o.state() for o in operands]
-        indexes = [o.chunk_keys() for o in operands]
-        outs = [(e, e.chunk_keys()) for e in exclude]
+        """Which chunks are touched is known before any id is read; over the budget, nothing is."""
+        states, outs = [o.state() for o in operands], [e.state() for e in exclude]
         limit = resolve_budget(budget, self.store.budget)
+        plan = self._combine_clean if not any(s.pending for s in [*states, *outs]) else self._combine_dirty
+        ids, drops = plan(states, outs, any_of, limit, what, [*operands], [*exclude])
+        return (algebra.union(ids, drops) if any_of else algebra.intersect(ids, drops)).orderBy("id")
+
+    def _combine_clean(self, states, outs, any_of, limit, what, *_) -> tuple[list[DataFrame], list[DataFrame]]:
+        """All segments are one generation each: planned on their kept indexes, in one job in all."""
+        store = self.store
+        keys, n = np.unique(np.concatenate([store.local_index(s)[0] for s in states]), return_counts=True)
+        taken = n >= (1 if any_of else len(states))
+        common = keys[taken]
+        against = [np.intersect1d(store.local_index(e)[0], common, assume_unique=True) for e in outs]
+        units = int(n[taken].sum()) + sum(map(len, against))
+        check_budget(what, units, limit)
+        store.metrics.event(what, operands=len(states), excludes=len(outs), fetched=len(common), skipped=len(keys) - len(common), units=units)
+        if not len(common):
+            return [store.empty()], []
+        if any_of:
+            ids = [store.cold(s).select("id") for s in states]
+        else:
+            # The smallest first, counted within the common chunks.
+            size = {id(s): int(c[np.isin(k, common, assume_unique=True)].sum()) for s in states for k, c in [store.local_index(s)]}
+            ids = [store.cold_chunks(s, common) for s in sorted(states, key=lambda s: size[id(s)])]
+        return ids, [store.cold_chunks(e, k) for e, k in zip(outs, against, strict=True) if len(k)]
+
+    def _combine_dirty(self, states, outs, any_of, limit, what, operands, exclude) -> tuple[list[DataFrame], list[DataFrame]]:
+        store = self.store
+        indexes, against = [o.chunk_keys() for o in operands], [e.chunk_keys() for e in exclude]
         if limit is not None:
-            stats = chunks.combine_stats(indexes, [k for _, k in outs], any_of).first().asDict()
+            stats = chunks.combine_stats(indexes, against, any_of).first().asDict()
             check_budget(what, stats["units"], limit)
-            self.store.metrics.event(what, operands=len(operands), excludes=len(outs), **stats)
-        ids = [self.store.effective(s) for s in states]
+            store.metrics.event(what, operands=len(operands), excludes=len(exclude), **stats)
+        ids, drops = [store.effective(s) for s in states], [store.effective(e) for e in outs]
         if any_of:
-            return algebra.union(ids, [self.store.effective(e.state()) for e, _ in outs]).orderBy("id")
-        # Only chunks that all operands have can hold common ids: at most 65,536 keys, broadcast, prune the rest.
-        keys = chunks.common_keys(indexes) if len(indexes) > 1 else None
-        sizes = [self._hint(s) for s in states]
-        order = sorted(range(len(ids)), key=lambda i: sizes[i])
-        if keys is not None:
-            ids = [algebra.within_chunks(i, keys) for i in ids]
-        drops = [self.store.effective(e.state()) for e, _ in outs]
-        if keys is not None:
-            drops = [algebra.within_chunks(d, keys) for d in drops]
-        return algebra.intersect([ids[i] for i in order], drops).orderBy("id")
+            return ids, drops
+        size = [self._hint(s) for s in states]
+        ids = [ids[i] for i in sorted(range(len(ids)), key=lambda i: size[i])]
+        if len(indexes) > 1:
+            # Only chunks that all operands have can hold common ids: at most 65,536 keys, broadcast, prune the rest.
+            keys = chunks.common_keys(indexes)
+            ids, drops = ([algebra.within_chunks(x, keys) for x in xs] for xs in (ids, drops))
+        return ids, drops
 
     def _hint(self, s: State) -> int:
-        return (self.store.cold_index(s).agg(F.coalesce(F.sum("cardinality"), F.lit(0))).first()[0] if s.current_gen is not None else 0) + sum(p["n"] for p in s.pending)
+        return int(self.store.local_index(s)[1].sum()) + sum(p["n"] for p in s.pending)
 
     def intersect(self, others: Sequence[Segment] = (), exclude: Sequence[Segment] = (), budget: int | bool | None = None) -> DataFrame:
         """Ids in this and all others, ascending; nothing if any of them has expired."""
@@ -387,7 +450,11 @@ class Segment:
         return self.store.empty() if self.expired else self._combine([self], gone, False, budget, "and_not")
 
     def intersect_efficiency(self, others: Sequence[Segment]) -> dict[str, int]:
-        return chunks.efficiency([s.chunk_keys() for s in [self, *others]]).first().asDict()
+        states = [s.state() for s in [self, *others]]
+        if any(s.pending for s in states):
+            return chunks.efficiency([s.chunk_keys() for s in [self, *others]]).first().asDict()
+        _, n = np.unique(np.concatenate([self.store.local_index(s)[0] for s in states]), return_counts=True)
+        return {"fetched": int((n == len(states)).sum()), "skipped": int((n < len(states)).sum())}
 
     # Writes
 
