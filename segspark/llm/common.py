@@ -12,6 +12,7 @@ WHITE = "\t\n\x0b\x0c\r "
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Stands for a missing id; ids of real rows are expected to be 0 or more.
 NO_ID = -1
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,9 +42,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(spark: SparkSession) -> None:
+    """Texts can be long, so batches to Python get fewer rows than Spark's default of 10,000; another setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Only doc_id and text, so other columns can't clash; those named in carry come along in one struct,
     carried. A null id counts as NO_ID."""
+    lean(df.sparkSession)
     own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")]
     return df.select(*own, *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []))
 

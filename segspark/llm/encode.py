@@ -20,7 +20,7 @@ import numpy as np
 
 #: Units kept, how many of these in the first, small memory that stays in the processor's cache, and the longest unit
 #: that is kept. Frequent units come early, so a full memory stays as it is; it starts anew where too few hit it.
-MAX_UNITS, FIRST_UNITS, MAX_UNIT, LEAST_HITS = 700_000, 20_000, 48, 0.75
+MAX_UNITS, FIRST_UNITS, MAX_UNIT, LEAST_HITS = 400_000, 20_000, 48, 0.75
 
 _SPACES = re.compile(r"\s | \s")
 _SIGNS = re.compile(r"(?:\A|[\W_])[.,]|[.,](?:[^\w\s]|_)|\s\n|\n\s|\A\n|\n\Z")
@@ -42,6 +42,16 @@ _PAIRS = {(2, 1), (3, 1), (1, 1), (4, 1), (1, 4), (3, 3), (2, 3), (3, 2), (2, 2)
 _BAD = bytes((b >> 3, b & 7) in _PAIRS for b in range(256))
 
 
+def _visible() -> dict[int, int]:
+    """Byte-level vocabularies write a byte as a character: itself where that can be seen, else the next one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    unseen = [b for b in range(256) if b not in set(seen)]
+    return {b: b for b in seen} | {b: 256 + i for i, b in enumerate(unseen)}
+
+
+_VISIBLE = _visible()
+
+
 def _how(text: str) -> int:
     """0: all cuts hold; 1: those at spaces do; 2: none."""
     kinds = text.encode().translate(_KINDS)
@@ -65,6 +75,7 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() < 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self._code = "H" if self.width == 2 else "I"
+        self.model = self.tokenizer.model
         self.first: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
 
@@ -72,6 +83,21 @@ class Encoder:
         code, make = self._code, array.array
         return [make(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_units(self, units: list[str]) -> dict[str, bytes]:
+        """A unit of letters, with or without a space before them, is one word to the library, so its model can be
+        asked at once; others go the whole way."""
+        code, make, tokenize = self._code, array.array, self.model.tokenize
+        out, other = {}, []
+        for u in units:
+            if u.isalpha() or (u[:1] == " " and u[1:].isalpha()):
+                out[u] = make(code, [t.id for t in tokenize(u.encode().decode("latin-1").translate(_VISIBLE))]).tobytes()
+            else:
+                other.append(u)
+        for at in range(0, len(other), 1 << 15):
+            some = other[at : at + (1 << 15)]
+            out.update(zip(some, self._encode(some), strict=True))
+        return out
+
     def _cut(self, text: str, how: int) -> list[str]:
         if how == 0:
             return text.replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
@@ -94,10 +120,7 @@ class Encoder:
         if len(self.units) >= MAX_UNITS and len(gone) > (1 - LEAST_HITS) * len(flat):
             self.first.clear()
             self.units.clear()
-        made: dict[str, bytes] = {}
-        for at in range(0, len(new), 1 << 15):
-            some = new[at : at + (1 << 15)]
-            made.update(zip(some, self._encode(some), strict=True))
+        made = self._encode_units(new)
         for i in gone:
             ids[i] = made[flat[i]]
         if len(self.units) < MAX_UNITS:

@@ -25,7 +25,7 @@ from segspark.llm.common import documents, read
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 20_000
 ROUNDS = 3
 #: The longest piece used, the longest word scored in bulk, and the words kept.
-MAX_PIECE, MAX_BULK, MAX_WORDS = 12, 40, 300_000
+MAX_PIECE, MAX_BULK, MAX_WORDS = 12, 40, 200_000
 FLOOR = 1e-6
 
 

@@ -16,7 +16,6 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -164,18 +163,23 @@ def plan(counts: dict[int, int], window: int = WINDOW, bins: int = BINS) -> tupl
 
 
 def _tokenise(path: str, end_id: int, window: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end, w = np.array([end_id], enc.kind).tobytes(), enc.width
-        for f in frames:
-            for at in range(0, len(f), 256):
-                some = f.iloc[at : at + 256]
-                rows = []
-                for key, ids in zip(some["doc_id"].tolist(), enc.encode([t or "" for t in some["text"]]), strict=True):
-                    ids += end
-                    n = len(ids) // w
-                    rows += [(key, i, min(window, n - i), n, ids[i * w : (i + window) * w]) for i in range(0, n, window)]
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids"])
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                texts = [x + end for x in enc.encode([t or "" for t in some.column(1).to_pylist()])]
+                tokens = np.array([len(x) // w for x in texts], np.int64)
+                pieces = -(-tokens // window)
+                row = np.repeat(np.arange(len(texts)), pieces)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+                length = np.minimum(window, tokens[row] - start)
+                # The batch's ids are one buffer; only the bounds of pieces are new.
+                bounds = np.concatenate([[0], np.cumsum(length)]) * w
+                ids = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds.astype("<i4").tobytes()), pa.py_buffer(b"".join(texts))])
+                columns = [some.column(0).take(pa.array(row)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(tokens[row]), ids]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
     return run
 
@@ -231,7 +235,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, window: int
     give no rows.
     """
     spark, path = docs.sparkSession, path or default_path()
-    pieces = documents(docs).mapInPandas(_tokenise(path, end_id, window), "doc_id long, start long, length int, doc_tokens long, ids binary")
+    pieces = documents(docs).mapInArrow(_tokenise(path, end_id, window), "doc_id long, start long, length int, doc_tokens long, ids binary")
     # Written once: ids are made by the slow step, and places must not change when a task is repeated.
     pieces = stored(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     lengths = pieces.groupBy("length").agg(F.count("*").alias("n"))

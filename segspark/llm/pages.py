@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.llm.common import read
+from segspark.llm.common import lean, read
 
 # Fixed values of HTML: elements that start a line, have no end tag, hold no text of the page.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -199,6 +199,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     Null and empty html give an empty text. Rows are independent; repeated rows give repeated results.
     """
+    lean(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return own.mapInPandas(_extract, "page_id long, url string, text string")
 
