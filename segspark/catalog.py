@@ -545,14 +545,14 @@ def _type_day(spark: SparkSession, d: str) -> DataFrame:
     return x.join(y, ["day", "id"], "left_semi").groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
-_WORKLOAD = """SELECT c_custkey AS k, c_custkey * 1048576::DOUBLE AS size_bytes, (c_custkey % 50)::DOUBLE / 10 AS reads_per_sec, (c_custkey % 40)::DOUBLE AS writes_per_sec,
+_WORKLOAD = """SELECT c_custkey AS k, c_custkey * 1000003::DOUBLE AS size_bytes, (c_custkey % 50)::DOUBLE / 10 AS reads_per_sec, (c_custkey % 40)::DOUBLE AS writes_per_sec,
   (c_custkey % 4)::DOUBLE / 4 AS hit_rate, (c_custkey % 16 + 1)::DOUBLE AS item_kib, (c_custkey % 30)::DOUBLE AS compactions, (c_custkey % 5)::DOUBLE AS dirty_per_compaction FROM customer"""
 
 
 def _workload(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey").cast("double")
     return _t(spark, d, "customer").select(
-        F.col("c_custkey").alias("k"), (k * 1048576.0).alias("size_bytes"), (k % 50 / 10).alias("reads_per_sec"), (k % 40).alias("writes_per_sec"),
+        F.col("c_custkey").alias("k"), (k * 1000003.0).alias("size_bytes"), (k % 50 / 10).alias("reads_per_sec"), (k % 40).alias("writes_per_sec"),
         (k % 4 / 4).alias("hit_rate"), (k % 16 + 1).alias("item_kib"), (k % 30).alias("compactions"), (k % 5).alias("dirty_per_compaction"),
     )
 

@@ -259,6 +259,9 @@ def test_export_and_registry(store, tmp_path):
 
     chunks = store.spark.read.parquet(f"file://{tmp_path}/ro").where("segment = 'a'")
     assert ids(decode_chunks(chunks)) == [1, 3, 70000]
+    assert len(m.drain(store.registry(), 3)) == 3
+    with pytest.raises(BudgetExceededError):
+        m.drain(store.registry(), 2)
     assert {(r["segment"], r["status"]) for r in store.registry().collect()} == {("a", "active"), ("b", "active"), ("gone", "destroyed")}
 
 
