@@ -39,7 +39,8 @@ def test_cases(spark):
 
 
 def test_scores_agree_with_true_labels(spark):
-    """The true labels were never used."""
+    """No label enters the fit, but the labellers were written after reading some labelled documents of the same
+    generator: a check that the parts work together, not a blind estimate of quality."""
     sf = "/root/testdata/sf0.01"
     rows = quality.op7(spark, sf).drop("quality").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("score", "posterior", "quality").collect()
     good = np.array([r["score"] for r in rows if r["quality"] == 1])
