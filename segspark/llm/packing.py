@@ -184,28 +184,35 @@ def _tokenise(path: str, end_id: int, window: int):
     return run
 
 
+def _key(length: np.ndarray, offset: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Ranks below 2**38; lengths and offsets below 4096."""
+    return ((length * 4096 + offset) << 38) + rank
+
+
 def _place(sent, window: int, full_from: int, width: int):
     """Rows with rank to pieces: a rest by the plan, a full window as a sequence of its own. A batch's ids stay
     one array: pieces of a rest come in order of their places in it, so only the bounds between them are new."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, starts = sent.value
+        table, keys = sent.value
         for b in batches:
             doc, start, length, tokens, rank = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
             ids = pa.concat_arrays([b.column(5)])
-            full = length == window
-            # A length's rows of the plan are together, by offset and then by rank; each of its cuts is found by search.
-            lo, hi = starts[np.minimum(length, window - 1)], starts[np.minimum(length, window - 1) + 1]
-            row, piece = [np.zeros(int(full.sum()), np.int64) - 1], [np.flatnonzero(full)]
-            for n in np.unique(length[~full]):
-                own = np.flatnonzero(length == n)
-                t = table[lo[own[0]] : hi[own[0]]]
-                for offset in np.unique(t[:, 1]):
-                    at = np.flatnonzero(t[:, 1] == offset)
-                    i = np.searchsorted(t[at, 3], rank[own], "right") - 1
-                    ok = (i >= 0) & (rank[own] < t[at[np.maximum(i, 0)], 4])
-                    row.append(lo[own[0]] + at[i[ok]])
-                    piece.append(own[ok])
+            full = np.flatnonzero(length == window)
+            row, piece = [np.full(len(full), -1)], [full]
+            # A rest's first place, then, while its places don't cover it, the one where the last ended: each is one search
+            # for (length, offset, rank) in the sorted plan.
+            left, offset = np.flatnonzero(length != window), np.zeros(int((length != window).sum()), np.int64)
+            while len(left):
+                at = np.searchsorted(keys, _key(length[left], offset, rank[left]), "right") - 1
+                t = table[np.maximum(at, 0)]
+                if (at < 0).any() or (t[:, 0] != length[left]).any() or (t[:, 1] != offset).any() or (rank[left] >= t[:, 4]).any():
+                    raise ValueError("the plan doesn't cover the pieces")
+                row.append(at)
+                piece.append(left)
+                offset = offset + t[:, 2]
+                more = offset < length[left]
+                left, offset = left[more], offset[more]
             row, piece = np.concatenate(row), np.concatenate(piece)
             offset = np.where(row < 0, 0, table[row, 1])
             order = np.lexsort((offset, piece))
@@ -248,11 +255,14 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, window: int
     sums = sums.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "block").orderBy("piece")
     ranks = own.withColumn("at", F.row_number().over(within) - 1).join(sums, ["length", "block"]).select("piece", (F.col("base") + F.col("at")).alias("rank"))
-    placed = pieces.join(ranks, "piece").select("doc_id", "start", "length", "doc_tokens", "rank", "ids")
+    # Ranks are 16 bytes a piece and are hashed; the ids beside them needn't be sorted.
+    placed = pieces.join(ranks.hint("shuffle_hash"), "piece").select("doc_id", "start", "length", "doc_tokens", "rank", "ids")
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     rows = rows[np.lexsort((rows[:, 3], rows[:, 1], rows[:, 0]))] if len(rows) else np.zeros((1, 7), np.int64)
-    starts = np.searchsorted(rows[:, 0], np.arange(window + 1))
-    return placed.mapInArrow(_place(spark.sparkContext.broadcast((rows, starts)), window, sequences, encoder(path).width), schema)
+    if window > 4096 or rows[:, 4].max() >= 1 << 38:
+        raise ValueError("window or number of rests out of bounds")
+    keys = _key(rows[:, 0], rows[:, 1], rows[:, 3])
+    return placed.mapInArrow(_place(spark.sparkContext.broadcast((rows, keys)), window, sequences, encoder(path).width), schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
