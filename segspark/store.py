@@ -43,6 +43,8 @@ INDEX = "chunk_key int, cardinality long, bytes long, checksum long"
 KEYS_PER_FOLDER = 256
 #: Index entries kept on the driver, and chunk keys put in a filter as they are; more are broadcast, 65,536 at most.
 MAX_INDEX_ENTRIES, MAX_LISTED_KEYS = 1 << 22, 2000
+#: Ids that one task may sort: 2 MiB.
+SMALL_RESULT = 1 << 18
 #: Bytes a pending operation takes, for the ceiling on unmerged operations.
 OP_BYTES = 16
 #: Expiry times below this are taken for seconds by mistake.
@@ -387,11 +389,13 @@ class Segment:
         states, outs = [o.state() for o in operands], [e.state() for e in exclude]
         limit = resolve_budget(budget, self.store.budget)
         plan = self._combine_clean if not any(s.pending for s in [*states, *outs]) else self._combine_dirty
-        ids, drops = plan(states, outs, any_of, limit, what, [*operands], [*exclude])
-        return (algebra.union(ids, drops) if any_of else algebra.intersect(ids, drops)).orderBy("id")
+        ids, drops, most = plan(states, outs, any_of, limit, what, [*operands], [*exclude])
+        out = algebra.union(ids, drops) if any_of else algebra.intersect(ids, drops)
+        # A result that is known to be small is sorted in one task: no pass to sample ranges.
+        return out.coalesce(1).sortWithinPartitions("id") if most is not None and most <= SMALL_RESULT else out.orderBy("id")
 
-    def _combine_clean(self, states, outs, any_of, limit, what, *_) -> tuple[list[DataFrame], list[DataFrame]]:
-        """All segments are one generation each: planned on their kept indexes, in one job in all."""
+    def _combine_clean(self, states, outs, any_of, limit, what, *_) -> tuple[list[DataFrame], list[DataFrame], int | None]:
+        """All segments are one generation each: planned on their kept indexes. Also the most ids there can be."""
         store = self.store
         keys, n = np.unique(np.concatenate([store.local_index(s)[0] for s in states]), return_counts=True)
         taken = n >= (1 if any_of else len(states))
@@ -401,16 +405,16 @@ class Segment:
         check_budget(what, units, limit)
         store.metrics.event(what, operands=len(states), excludes=len(outs), fetched=len(common), skipped=len(keys) - len(common), units=units)
         if not len(common):
-            return [store.empty()], []
+            return [store.empty()], [], 0
+        # The smallest first, counted within the chunks taken.
+        size = {id(s): int(c[np.isin(k, common, assume_unique=True)].sum()) for s in states for k, c in [store.local_index(s)]}
         if any_of:
-            ids = [store.cold(s).select("id") for s in states]
+            ids, most = [store.cold(s).select("id") for s in states], sum(size.values())
         else:
-            # The smallest first, counted within the common chunks.
-            size = {id(s): int(c[np.isin(k, common, assume_unique=True)].sum()) for s in states for k, c in [store.local_index(s)]}
-            ids = [store.cold_chunks(s, common) for s in sorted(states, key=lambda s: size[id(s)])]
-        return ids, [store.cold_chunks(e, k) for e, k in zip(outs, against, strict=True) if len(k)]
+            ids, most = [store.cold_chunks(s, common) for s in sorted(states, key=lambda s: size[id(s)])], min(size.values())
+        return ids, [store.cold_chunks(e, k) for e, k in zip(outs, against, strict=True) if len(k)], most
 
-    def _combine_dirty(self, states, outs, any_of, limit, what, operands, exclude) -> tuple[list[DataFrame], list[DataFrame]]:
+    def _combine_dirty(self, states, outs, any_of, limit, what, operands, exclude) -> tuple[list[DataFrame], list[DataFrame], int | None]:
         store = self.store
         indexes, against = [o.chunk_keys() for o in operands], [e.chunk_keys() for e in exclude]
         if limit is not None:
@@ -419,14 +423,14 @@ class Segment:
             store.metrics.event(what, operands=len(operands), excludes=len(exclude), **stats)
         ids, drops = [store.effective(s) for s in states], [store.effective(e) for e in outs]
         if any_of:
-            return ids, drops
+            return ids, drops, None
         size = [self._hint(s) for s in states]
         ids = [ids[i] for i in sorted(range(len(ids)), key=lambda i: size[i])]
         if len(indexes) > 1:
             # Only chunks that all operands have can hold common ids: at most 65,536 keys, broadcast, prune the rest.
             keys = chunks.common_keys(indexes)
             ids, drops = ([algebra.within_chunks(x, keys) for x in xs] for xs in (ids, drops))
-        return ids, drops
+        return ids, drops, min(size)
 
     def _hint(self, s: State) -> int:
         return int(self.store.local_index(s)[1].sum()) + sum(p["n"] for p in s.pending)
