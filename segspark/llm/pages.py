@@ -47,8 +47,11 @@ class Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, bool, int]] = []
+        self.inline: int | None = None  # how many elements were open before the dropped one within a line, while inside it
 
     def _end_line(self) -> None:
+        if self.inline is not None:  # the line goes on after the dropped element
+            return
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
             self.lines.append((text, self.tags, bool(self.open and self.open[-1][2]), self.open[-1][1] if self.open else -1))
@@ -77,6 +80,8 @@ class Lines(HTMLParser):
         return 2 if found - LAYOUT else 1 if found else 0
 
     def _push(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in BLOCK and tag != "title" and self.inline is None:
+            self.inline = len(self.open)
         _, parent, above = self.open[-1] if self.open else ("", -1, 0)
         if above == 1 and tag in ("article", "main"):
             above = 0
@@ -93,7 +98,7 @@ class Lines(HTMLParser):
             if tag in BLOCK or tag == "title":
                 self._end_line()
             if tag in _P_ENDS:
-                self._close("p", BLOCK - {"p"})
+                self._close("p", (BLOCK | HIDDEN) - {"p"})
             if tag == "li":
                 self._close("li", {"ul", "ol", "menu"})
             if tag == "hr":
@@ -112,7 +117,13 @@ class Lines(HTMLParser):
     def _close(self, tag: str, stops: set[str] | frozenset[str]) -> None:
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                self._end_line()
+                if self.inline is not None and i < self.inline:  # left open
+                    del self.open[self.inline :]
+                    self.inline = None
+                if self.inline == i:
+                    self.inline = None
+                elif tag in BLOCK or tag == "title":
+                    self._end_line()
                 del self.open[i:]
                 return
             if self.open[i][0] in stops:
@@ -128,12 +139,15 @@ class Lines(HTMLParser):
             self._close(tag, frozenset())
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][0] in HIDDEN:
+        if self.inline is not None or (self.open and self.open[-1][0] in HIDDEN):
             return
         self.text.append(data)
 
     def close(self) -> None:
         super().close()
+        if self.inline is not None:
+            del self.open[self.inline :]
+            self.inline = None
         self._end_line()
 
 

@@ -73,3 +73,12 @@ def test_query_on_whole_pages(spark, sf):
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in pages.op4(spark, sf).collect()}
     assert {k: v[0] for k, v in got.items()} == want
     assert all(n == len(t) for t, n in got.values())
+
+
+def test_dropped_elements_within_a_line():
+    a, b = "First half of a sentence with a few words", "and the second half of it, with some more words."
+    for inner in ("<script>x()</script>", "<button>Go</button>", "<svg><title>t</title><text>u</text></svg>", '<span hidden>h <i>i</i></span>', '<a class="share" href="x">s</a>', "<noscript><p>n</p></noscript>"):
+        got = pages.main_text(f"<article><p>{a} {inner} {b}</p><p>Last.</p></article>").replace("\n", " ")
+        assert got == f"{a} {b} Last.", inner
+    assert pages.main_text('<article><h2>Headline <a class="anchor" aria-hidden="true">#</a></h2><p>Words of the text.</p></article>') == "Headline\nWords of the text."
+    assert pages.main_text(f'<article><p>{a}<span hidden>x</p><p>{b}</p></article>') == f"{a}\n{b}"
