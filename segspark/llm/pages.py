@@ -6,7 +6,9 @@ sidebar, notice, advert, form, script, style, reader comments, by element, role
 tags of the lines is smoothed with a Gaussian and split in two clusters by one-dimensional 2-means; lines of
 the upper cluster vote with their text for the elements around them. The content region is the element with
 the most votes: an article or main element first, else the innermost one that holds nearly all of them. All
-its lines outside boilerplate are the text, short ones too: the cluster selects regions, not single lines.
+its lines outside boilerplate are the text, short ones too: the cluster selects regions, not single lines. Headings and
+other lines around it (in the outermost article or main element, else in the page) belong to the text as well, unless they
+are boilerplate or, headings aside, more than half link text.
 """
 
 from __future__ import annotations
@@ -47,6 +49,9 @@ class Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, bool, int]] = []
+        self.link = False  # inside a link
+        self.linked = 0  # characters of the line in links
+        self.mostly_links: list[bool] = []  # of each line
         self.inline: int | None = None  # how many elements were open before the dropped one within a line, while inside it
 
     def _end_line(self) -> None:
@@ -55,7 +60,9 @@ class Lines(HTMLParser):
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
             self.lines.append((text, self.tags, bool(self.open and self.open[-1][2]), self.open[-1][1] if self.open else -1))
+            self.mostly_links.append(2 * self.linked > len(text))
             self.tags = 0
+        self.linked = 0
         self.text.clear()
 
     def _dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
@@ -90,6 +97,8 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if tag == "a":
+            self.link = any(k == "href" for k, _ in attrs)
         if tag == "br":
             self.text.append(" ")
         if tag in VOID and tag != "hr":
@@ -131,6 +140,8 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if tag == "a":
+            self.link = False
         if tag in BLOCK or tag in HIDDEN:
             if tag in BLOCK:
                 self._end_line()
@@ -141,6 +152,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.inline is not None or (self.open and self.open[-1][0] in HIDDEN):
             return
+        if self.link:
+            self.linked += len(_SPACE.sub(" ", data).strip())
         self.text.append(data)
 
     def close(self) -> None:
@@ -196,11 +209,25 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
     best = max((i for i, (_, tag) in enumerate(p.elements) if tag in ("article", "main") and votes[i] > 0.5 * total), default=-1)
     if best < 0:
         best = max((i for i in range(len(p.elements)) if total and votes[i] >= share * total and p.elements[i][1] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "pre", "blockquote")), default=-1)
+    if best < 0:
+        return "\n".join(text for text, _, dropped, _ in lines if not dropped)
+    around, up = -1, best
+    if p.elements[best][1] in ("article", "main"):
+        while up >= 0:
+            around = up if p.elements[up][1] in ("article", "main") else around
+            up = p.elements[up][0]
     # An element's number is below those of all that it holds, so one pass finds what is inside the region.
-    inside = [False] * len(p.elements)
+    inside, near = [False] * len(p.elements), [around < 0] * len(p.elements)
     for i, (parent, _) in enumerate(p.elements):
         inside[i] = i == best or (parent >= 0 and inside[parent])
-    return "\n".join(text for text, _, dropped, at in lines if not dropped and (best < 0 or (at >= 0 and inside[at])))
+        near[i] = near[i] or i == around or (parent >= 0 and near[parent])
+
+    def kept(at: int, links: bool) -> bool:
+        if at < 0:
+            return around < 0 and not links
+        return inside[at] or (near[at] and (not links or p.elements[at][1] in ("h1", "h2", "h3", "h4", "h5", "h6")))
+
+    return "\n".join(text for (text, _, dropped, at), links in zip(lines, p.mostly_links, strict=True) if not dropped and kept(at, links))
 
 
 def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

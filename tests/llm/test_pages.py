@@ -82,3 +82,15 @@ def test_dropped_elements_within_a_line():
         assert got == f"{a} {b} Last.", inner
     assert pages.main_text('<article><h2>Headline <a class="anchor" aria-hidden="true">#</a></h2><p>Words of the text.</p></article>') == "Headline\nWords of the text."
     assert pages.main_text(f'<article><p>{a}<span hidden>x</p><p>{b}</p></article>') == f"{a}\n{b}"
+
+
+def test_text_beside_the_region():
+    body = [f"Paragraph {i} with a good number of words in it, as articles have." for i in range(12)]
+    ps = "".join(f"<p>{x}</p>" for x in body)
+    menu = "<ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul>"
+    want = ["Head", "A lead.", *body, "The end."]
+    for outer in ("<body>{}</body>", "<body><div class=post>{}</div>" + menu + "</body>"):
+        got = pages.main_text(outer.format(f"{menu}<h1><a href=z>Head</a></h1><p>A lead.</p><div class=body>{ps}</div><p>The end.</p>"))
+        assert got.split("\n") == want
+    got = pages.main_text(f"<body><p>Site</p><main><h1>Head</h1><p>A lead.</p><article>{ps}</article>{menu}<p>The end.</p></main></body>")
+    assert got.split("\n") == want
