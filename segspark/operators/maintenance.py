@@ -19,6 +19,7 @@ from segspark.functions.ids import check_id
 from segspark.functions.names import check_name, namespace_key
 from segspark.functions.shards import shard_of
 from segspark.plans.budget import check_budget
+from segspark.plans.tiers import dirty_chunks
 from segspark.sources.log import State
 from segspark.store import MIN_EXPIRES_AT, SegmentStore, fleet
 
@@ -139,8 +140,22 @@ def compactable(registry: DataFrame, now_ms: int, min_dirty: int = 1, limit: int
 
 
 def run_compaction_cycle(store: SegmentStore, max_segments: int = 64, min_dirty: int = 1, shard: tuple[int, int] | None = None, workers: int = 4) -> list[Outcome]:
-    """Compact what is most worth it. One segment's failure is noted on it and doesn't stop the others."""
-    registry = store.registry().withColumn("dirty", F.size("pending"))
+    """Compact what is most worth it, by chunks with pending operations. One segment's failure is noted on it and doesn't stop the others."""
+    registry = store.registry()
+    at = [(r["namespace"], r["segment"], r["batches"]) for r in registry.where("status <> 'destroyed' and size(pending) > 0").select("namespace", "segment", F.size("pending").alias("batches")).collect()]
+
+    def dirty(ns: str | None, name: str, batches: int) -> int:
+        try:
+            ops = store.pending(store.log.load(ns, name))
+            return 0 if ops is None else dirty_chunks(ops).first()["dirty"]
+        except Exception:  # its compaction is tried, and the failure noted on it
+            return max(batches, min_dirty)
+
+    with ThreadPoolExecutor(max(1, workers)) as pool:
+        counts = list(pool.map(lambda r: (r[0], r[1], dirty(*r)), [r for r in at if not shard or shard_of(*r[:2], shard[1]) == shard[0]]))
+    held = store.spark.createDataFrame(counts, "ns string, name string, dirty long")
+    registry = registry.join(held, F.col("namespace").eqNullSafe(F.col("ns")) & (F.col("segment") == F.col("name")), "left")
+    registry = registry.withColumn("dirty", F.coalesce("dirty", F.lit(0)))
     rows = [(r["namespace"], r["segment"]) for r in compactable(registry, store.log.now(), min_dirty, None if shard else max_segments).collect()]
     if shard:
         rows = [r for r in rows if shard_of(*r, shard[1]) == shard[0]][:max_segments]

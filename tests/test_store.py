@@ -401,3 +401,12 @@ def test_streams(spark, store, tmp_path):
     ev = spark.createDataFrame([("2024-01-01", 1), ("2024-01-01", 1), ("2024-01-05", 1), ("2024-01-09", 2)], "ts string, user_id long")
     got = {str(r["day"]): r["n_active"] for r in trailing_active(day_buckets(ev)).collect()}
     assert got == {"2024-01-01": 1, "2024-01-05": 1, "2024-01-09": 2}
+
+
+def test_cycle_counts_dirty_chunks(store):
+    store.segment("wide").add_many([i << 16 for i in range(5)])
+    for _ in range(3):
+        store.segment("narrow").add(1)
+    assert [o.segment for o in m.run_compaction_cycle(store, max_segments=1, min_dirty=2)] == ["wide"]
+    assert m.run_compaction_cycle(store, min_dirty=2) == []
+    assert [o.segment for o in m.run_compaction_cycle(store)] == ["narrow"]
