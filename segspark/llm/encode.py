@@ -6,12 +6,16 @@ aren't white space, a token starts whatever the words are; likewise on both side
 before a full stop or comma that follows a letter or digit and comes before a letter, digit or white space. A
 text is cut at such places, each unit is encoded once by the library, and a text's ids are its units' ids one
 after another. Texts in which a stop or comma touches other signs are cut at spaces only; those in which
-spaces touch other white space are encoded whole.
+spaces touch other white space are encoded whole, and so are texts that hold one of the vocabulary's added tokens (such as
+"<|endoftext|>", which the library turns into its one id). All this rests on how the words are found, so it is
+done only where the tokenizer's file says so (byte-level BPE without normaliser or prefix space); with any other file all
+texts are encoded whole.
 """
 
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 from itertools import chain
@@ -71,6 +75,14 @@ def _how(text: str) -> int:
     return 1 if "\0" in text or _SIGNS.search(text) else 0
 
 
+def cuttable(spec: dict) -> bool:
+    """Whether a tokenizer's file finds words in the way that the cuts rely on."""
+    words, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    byte_level = words.get("type") == "ByteLevel" and not words.get("add_prefix_space", True) and words.get("use_regex", True)
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "unk_token", "byte_fallback", "ignore_merges"))
+    return byte_level and plain and not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+
+
 class Encoder:
     """Ids as little-endian integers of width bytes, 2 where the vocabulary allows."""
 
@@ -79,7 +91,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.cuts = cuttable(spec)
+        added = [t["content"] for t in spec.get("added_tokens") or []]
+        #: Finds an added token; None where there are none.
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.width = 2 if self.tokenizer.get_vocab_size() < 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self._code = "H" if self.width == 2 else "I"
@@ -97,7 +114,7 @@ class Encoder:
         code, make, tokenize = self._code, array.array, self.model.tokenize
         out, other = {}, []
         for u in units:
-            if u.isalpha() or (u[:1] == " " and u[1:].isalpha()):
+            if self.cuts and (u.isalpha() or (u[:1] == " " and u[1:].isalpha())):
                 out[u] = make(code, [t.id for t in tokenize(u.encode().decode("latin-1").translate(_VISIBLE))]).tobytes()
             else:
                 other.append(u)
@@ -106,7 +123,8 @@ class Encoder:
             out.update(zip(some, self._encode(some), strict=True))
         return out
 
-    def _cut(self, text: str, how: int) -> list[str]:
+    def _cut(self, text: str) -> list[str]:
+        how = 2 if not self.cuts or (self.added and self.added.search(text)) else _how(text)
         if how == 0:
             return text.replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
         if how == 3:
@@ -118,7 +136,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids."""
-        cut = [self._cut(t, _how(t)) for t in texts]
+        cut = [self._cut(t) for t in texts]
         flat = list(chain.from_iterable(cut))
         ids: list[bytes | None] = list(map(self.first.get, flat))
         rest = [i for i, x in enumerate(ids) if x is None]

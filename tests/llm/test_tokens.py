@@ -20,7 +20,6 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -32,13 +31,36 @@ def test_units_give_the_librarys_ids(plain):
     rng = random.Random(4)
     signs = "aB9é. ,\n_!'\0\x85\xa0́ ß×÷\t…“s<日٣²½​"
     texts = ["".join(rng.choices(signs, k=rng.randrange(14))) for _ in range(20_000)]
-    texts += ["", " ", "it's, we'll. Don't", "a<|endoftext|>b", "1.5,2", "x" * 5000, "word " * 3000, " lead", "trail ", "a  b", "\n", "a.\nB", "Ünder. Él, ça."]
+    texts += ["", " ", "it's, we'll. Don't", "a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y, z.\nw", "<|endoftext|", "A" + "<|endoftext|>" * 3, "1.5,2", "x" * 5000, "word " * 3000, " lead", "trail ", "a  b", "\n", "a.\nB", "Ünder. Él, ça."]
     e = Encoder(default_path())
     for _ in range(2):
         got = [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)]
         assert got == plain(texts)
 
 
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    """A file with another pre-tokeniser, prefix space, normaliser or added word: the library's ids all the same."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    other = [
+        spec | {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}},
+        spec | {"normalizer": {"type": "Lowercase"}},
+        spec | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, spec["pre_tokenizer"]]}},
+        spec | {"added_tokens": [*spec["added_tokens"], {"id": 50257, "content": "word", "single_word": False, "lstrip": True, "rstrip": False, "normalized": True, "special": False}]},
+    ]
+    texts = ["Some words, and 1234 more.", "a word in it", "lead", "ALLCAPS", " x", "", "swordfish word."]
+    for i, o in enumerate(other):
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps(o))
+        e, t = Encoder(str(path)), Tokenizer.from_file(str(path))
+        assert [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+        assert e.cuts == (i == 3)
+
+
 def test_memory_is_bounded(monkeypatch, plain):
     from segspark.llm import encode
 
@@ -123,7 +145,7 @@ def test_packing_query(spark, sf, plain):
 
 
 def test_packing_cases(spark, plain):
-    texts = {1: None, 2: "", 3: "one word", 4: "a " * 9000, 5: "same text", 6: "same text"}
+    texts = {1: None, 2: "", 3: "one word", 4: "a " * 9000, 5: "same text", 6: "same text", 7: "end<|endoftext|> start"}
     df = spark.createDataFrame(list(texts.items()), SCHEMA).withColumn("piece", F.lit("clash"))
     want = {d: ids + [1] for d, ids in zip(texts, plain([t or "" for t in texts.values()]), strict=True)}
     check_pieces(packing.pack(df).withColumn("ids_crc32", F.crc32("ids")).collect(), want)
@@ -144,7 +166,7 @@ def test_token_files_query(spark, sf, plain):
 def test_keyed_access_and_cases(spark, plain):
     folder = f"{shared_dir(spark)}/tok-cases"
     token_files._open(folder)[0].create_dir(token_files._open(folder)[1], recursive=True)
-    texts = {i: f"document number {i} " * (i % 9) for i in range(0, 600, 3)} | {1000: None, 1001: ""}
+    texts = {i: f"document number {i} " * (i % 9) for i in range(0, 600, 3)} | {1000: None, 1001: "", 1002: "a<|endoftext|>b"}
     rows = [*texts.items(), (3, texts[3]), (None, "no id")]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("part", F.lit("clash")).repartition(5)
     manifest = token_files.write_token_files(df, folder, shard_ids=300)
