@@ -2,8 +2,9 @@
 
 Documents are cut into full windows and a rest. The histogram of the rests' lengths (at most one count for each
 length, so bounded) goes to the driver. Combinations of up to three length bins that fill a window are the
-columns, the binned histogram is the right side; the solved repeat counts are rounded down and laid out with
-exact lengths. What is left is packed greedily: the longest rest first, then the longest that fits, and where
+columns, the binned histogram is the right side; the solved repeat counts are rounded down, bounded by the histogram, and
+laid out with exact lengths of these bins that fill the window to the last id, so they leave no padding and cut nothing.
+What finds no exact partner is packed greedily: the longest rest first, then the longest that fits, and where
 nothing fits the shortest is cut to fill the window. Repeat counts stay counts all through, so the plan has
 some thousand rows for any number of documents: "rests of length L with ranks a..b lie at these places of
 sequences s..s+b-a". A rest's rank among its length's is a block's first rank plus its place in the
@@ -28,13 +29,21 @@ BINS = 128
 BLOCK_DOCS = 4096
 
 
-def combinations(bins: int, depth: int = 3) -> list[tuple[int, ...]]:
-    """Bin numbers 1..bins, largest first, that add up to bins; up to depth of them."""
-    if depth == 1:
-        return [(bins,)]
-    out = [(bins,)] + [(bins - b, b) for b in range(1, bins // 2 + 1)]
+def combinations(bins: int, unit: int = 1, depth: int = 3) -> list[tuple[int, ...]]:
+    """Bin numbers from 1, largest first, whose lengths can fill bins * unit exactly; up to depth of them.
+
+    Bin b holds the lengths above (b - 1) * unit up to b * unit, half a unit below its end on average, so m
+    parts fill the window where their numbers add up to bins and half of m more.
+    """
+
+    def total(parts: int) -> int:
+        return bins + round(parts * (unit - 1) / (2 * unit))
+
+    out = [(bins,)]
+    if depth > 1:
+        out += [(total(2) - b, b) for b in range(1, total(2) // 2 + 1) if total(2) - b <= bins]
     if depth > 2:
-        out += [(bins - b - c, b, c) for c in range(1, bins // 3 + 1) for b in range(c, (bins - c) // 2 + 1)]
+        out += [(total(3) - b - c, b, c) for c in range(1, total(3) // 3 + 1) for b in range(c, (total(3) - c) // 2 + 1) if total(3) - b - c <= bins]
     return out
 
 
@@ -108,31 +117,35 @@ def plan(counts: dict[int, int], window: int = WINDOW, bins: int = BINS) -> tupl
             place += size
         sequence += times
 
-    ways = combinations(bins)
+    ways = combinations(bins, unit)
     a = np.zeros((bins, len(ways)))
     for j, way in enumerate(ways):
         for b in way:
             a[b - 1, j] += 1
     solved = np.floor(nnls(a, histogram) + 1e-6).astype(int) if histogram.any() else np.zeros(len(ways), int)
-    for j in np.flatnonzero(solved):
-        left = int(solved[j])
-        while left:
-            sizes: list[int] = []
-            room = window
-            for b in ways[j]:
-                fits = [n for n in range(b * unit, (b - 1) * unit, -1) if n <= room and n in pool.runs]
-                if not fits:
-                    break
-                sizes.append(fits[0])
-                room -= fits[0]
+
+    def exact(way: tuple[int, ...], room: int, used: dict[int, int]) -> list[int] | None:
+        """Lengths from the way's bins that add up to room; the last one may lie in a bin beside its own."""
+        if len(way) == 1:
+            return [room] if room in pool.runs and pool.front(room) > used.get(room, 0) else None
+        for n in range(min(way[0] * unit, room - 1), (way[0] - 1) * unit, -1):
+            if n in pool.runs and pool.front(n) > used.get(n, 0):
+                rest = exact(way[1:], room - n, used | {n: used.get(n, 0) + 1})
+                if rest is not None:
+                    return [n, *rest]
+        return None
+
+    left = histogram.astype(int)
+    for j in sorted(np.flatnonzero(solved), key=lambda j: -solved[j]):
+        # No more often than the bins hold rests, whatever the squares say.
+        times_left = min(int(solved[j]), *(int(left[b - 1]) // ways[j].count(b) for b in set(ways[j])), 1 << 62)
+        while times_left > 0 and (sizes := exact(ways[j], window, {})):
             # Sizes that come twice share a run, so they split it.
-            if len(sizes) < len(ways[j]):
-                break
-            times = min([left] + [sum(hi - lo for _, _, lo, hi in list(pool.runs[s])[:1]) // sizes.count(s) for s in sizes])
-            if times == 0:
-                break
+            times = min(times_left, *(pool.front(s) // sizes.count(s) for s in sizes), 1 << 62)
             lay(sizes, times)
-            left -= times
+            times_left -= times
+            for s in sizes:
+                left[-(-s // unit) - 1] -= times
 
     while pool.runs:
         sizes, room = [], window

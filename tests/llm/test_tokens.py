@@ -116,6 +116,20 @@ def test_plan_covers_every_rest_once(counts):
         assert total / (sequences * packing.WINDOW) > 0.99
 
 
+@pytest.mark.parametrize("shape", ["uniform", "log-normal", "short", "long"])
+def test_solution_is_no_worse_than_the_greedy_rest_alone(shape, monkeypatch):
+    """As few sequences as can be, and on lengths that pair up fewer cuts."""
+    rng = np.random.default_rng(1)
+    v = {"uniform": lambda: rng.integers(1, 2048, 50_000), "log-normal": lambda: np.clip(rng.lognormal(5.5, 1, 50_000), 1, 2047).astype(int), "short": lambda: rng.integers(1, 300, 20_000), "long": lambda: rng.integers(1200, 2048, 5000)}[shape]()
+    counts = dict(zip(*(x.tolist() for x in np.unique(v, return_counts=True)), strict=True))
+    rows, sequences = packing.plan(counts)
+    monkeypatch.setattr(packing, "nnls", lambda a, b: np.zeros(a.shape[1]))
+    greedy, alone = packing.plan(counts)
+    assert sequences == -(-int(v.sum()) // packing.WINDOW) <= alone
+    pieces, other = (int((r[:, 4] - r[:, 3]).sum()) for r in (rows, greedy))
+    assert pieces - len(v) < (0.75 if shape == "uniform" else 1.2) * (other - len(v)) + 50
+
+
 def check_pieces(rows, want: dict[int, list[int]]):
     docs, seqs = defaultdict(list), defaultdict(list)
     for r in rows:
