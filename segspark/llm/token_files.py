@@ -4,15 +4,17 @@ Documents are range-partitioned by doc_id, so files in order hold them in ascend
 files in the shared folder:
 
     NAME.bin   the ids, one after another, little-endian, width bytes each; nothing else
-    NAME.idx   "SGTI", version, width, records and distinct keys, then the perfect hash, then in slot order
-               fingerprint (u32) and first record (u32), then in file order key (i64) and first id (u64, with
-               one more for the end)
-
-A key's slot is the perfect hash's value; its fingerprint tells other keys apart but for one in 2**32. Looking
-up is a few reads at computed places, whatever the number of documents. Files are written under names with a random part
-and only those that a finished task reports are in the manifest, so a retried or doubled task leaves files
-that nothing refers to. A shard is closed at SHARD_IDS ids, so neither memory nor the files depend on how many rows a
-partition has; the manifest has one short row for each shard.
+    NAME.idx   "SGTI", version, width, records, distinct keys, levels, the levels' bits (u64 each); for each level of the perfect
+               hash its words, each followed by the number of ones before it (u64, u64); in slot order fingerprint
+               (u32) and first record (u32); in file order first id (u64, with one more for the end); then the
+               records' keys (i64), which only whole reads of a shard look at
+
+A key's slot is the perfect hash's value; its stored fingerprint tells other keys apart but for one in 2**32. Every place is
+computed, so looking a key up reads the head of its shard's index once, then 16 bytes for each level tried (two on
+average), 8 for the slot, 16 for the bounds and the ids themselves, whatever the number of documents. Files are written under
+names with a random part and only those that a finished task reports are in the manifest, so a retried or doubled task
+leaves files that nothing refers to. A shard is closed at SHARD_IDS ids, also between records of one key, so
+neither memory nor the files depend on how many rows a partition or a key has; the manifest has one short row for each shard.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ from segspark.llm.encode import default_path, encoder
 from segspark.llm.mph import PerfectHash, key_pair
 
 SHARD_IDS = 1 << 24
-MAGIC, VERSION = b"SGTI", 1
-_HEAD = struct.Struct("<4sHHQQ")
+MAGIC, VERSION = b"SGTI", 2
+_HEAD = struct.Struct("<4sHHQQQ")
+#: Bytes read at first of an index, which hold its head; heads kept by keyed access.
+HEAD_BYTES, MAX_HEADS = 1024, 4096
 _MANIFEST = "part int, seq int, name string, width int, n_docs long, n_ids long, first_key long, last_key long"
 
 
@@ -56,6 +60,28 @@ def read_bytes(path: str) -> bytes:
         return f.read()
 
 
+class Places:
+    """Where the parts of an index lie, from its head."""
+
+    def __init__(self, width: int, records: int, n: int, sizes: list[int]):
+        self.width, self.records, self.n, self.sizes = width, records, n, sizes
+        at, self.levels = _HEAD.size + 8 * len(sizes), []
+        for size in sizes:
+            self.levels.append(at)
+            at += size // 4  # a word and its rank for each 64 bits
+        self.slots, self.starts = at, at + 8 * n
+        self.keys = self.starts + 8 * (records + 1)
+
+    @classmethod
+    def of(cls, data: bytes) -> Places:
+        if len(data) < _HEAD.size:
+            raise ValueError("not a token index")
+        magic, version, width, records, n, levels = _HEAD.unpack_from(data)
+        if magic != MAGIC or version != VERSION:
+            raise ValueError("not a token index")
+        return cls(width, records, n, np.frombuffer(data, "<u8", levels, _HEAD.size).astype(int).tolist())
+
+
 class ShardIndex:
     def __init__(self, width: int, mph: PerfectHash, fingerprint: np.ndarray, first: np.ndarray, keys: np.ndarray, starts: np.ndarray):
         self.width, self.mph, self.fingerprint, self.first, self.keys, self.starts = width, mph, fingerprint, first, keys, starts
@@ -75,19 +101,20 @@ class ShardIndex:
         return cls(width, mph, cls._print(h1, h2)[order], first[order].astype("<u4"), keys.astype("<i8"), starts)
 
     def to_bytes(self) -> bytes:
-        return _HEAD.pack(MAGIC, VERSION, self.width, len(self.keys), self.mph.n) + self.mph.to_bytes() + b"".join(a.tobytes() for a in (self.fingerprint, self.first, self.keys, self.starts))
+        """The index's file."""
+        mph = self.mph
+        head = _HEAD.pack(MAGIC, VERSION, self.width, len(self.keys), mph.n, len(mph.sizes)) + np.array(mph.sizes, "<u8").tobytes()
+        levels = [np.stack([w.astype("<u8"), r.astype("<u8")], axis=1).tobytes() for w, r in zip(mph.words, mph.ranks, strict=True)]
+        slots = np.stack([self.fingerprint.astype("<u4"), self.first.astype("<u4")], axis=1).tobytes()
+        return b"".join([head, *levels, slots, self.starts.tobytes(), self.keys.tobytes()])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> ShardIndex:
-        magic, version, width, records, n = _HEAD.unpack_from(data)
-        if magic != MAGIC or version != VERSION:
-            raise ValueError("not a token index")
-        mph, size = PerfectHash.from_bytes(data[_HEAD.size :])
-        at, arrays = _HEAD.size + size, []
-        for kind, count in (("<u4", n), ("<u4", n), ("<i8", records), ("<u8", records + 1)):
-            arrays.append(np.frombuffer(data, kind, count, at))
-            at += arrays[-1].nbytes
-        return cls(width, mph, *arrays)
+        at = Places.of(data)
+        words = [np.frombuffer(data, "<u8", size // 32, p).reshape(-1, 2)[:, 0] for size, p in zip(at.sizes, at.levels, strict=True)]
+        slots = np.frombuffer(data, "<u4", 2 * at.n, at.slots).reshape(-1, 2)
+        starts = np.frombuffer(data, "<u8", at.records + 1, at.starts)
+        return cls(at.width, PerfectHash(at.n, at.sizes, words), slots[:, 0], slots[:, 1], np.frombuffer(data, "<i8", at.records, at.keys), starts)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The first record of each key, -1 for keys that aren't in the shard."""
@@ -119,8 +146,7 @@ def _write(folder: str, path: str, end_id: int, shard_ids: int):
             for at in range(0, len(f), 256):
                 some = f.iloc[at : at + 256]
                 for key, x in zip(some["doc_id"].tolist(), enc.encode([t or "" for t in some["text"]]), strict=True):
-                    # A shard ends only between different keys, so a key's records are together.
-                    if size >= shard_ids and keys[-1] != key:
+                    if size >= shard_ids:
                         yield close()
                         keys, ids, seq, size = [], [], seq + 1, 0
                     keys.append(key)
@@ -134,39 +160,61 @@ def _write(folder: str, path: str, end_id: int, shard_ids: int):
 
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0, shard_ids: int = SHARD_IDS) -> list:
     """Write all documents' files; the manifest's rows in file order (part, seq, name, width, n_docs, n_ids,
-    first_key, last_key). Null texts are empty and hold the end id alone; repeated ids stay as separate
-    records next to each other, of which the index names the first. No documents, no shards.
+    first_key, last_key). Null texts are empty and hold the end id alone; a null doc_id is the key -1. Repeated ids
+    stay as separate records one after another, of which keyed access finds the first; a key with very many
+    rows is dealt over partitions by its texts' hashes. Other columns are ignored, whatever their names. No documents, no
+    shards. A task holds one shard, so at most shard_ids ids and one text more.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = documents(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    shards = ranged.mapInPandas(_write(folder, path or default_path(), end_id, shard_ids), _MANIFEST)
+    own = documents(docs).withColumn("place", F.xxhash64("text"))
+    ranged = own.repartitionByRange(n, "doc_id", "place").sortWithinPartitions("doc_id", "place", "text")
+    shards = ranged.select("doc_id", "text").mapInPandas(_write(folder, path or default_path(), end_id, shard_ids), _MANIFEST)
     return sorted(shards.collect(), key=lambda r: (r["part"], r["seq"]))
 
 
 class TokenFiles:
-    """Keyed access: the shard by its key range, the place by the shard's index, then one read."""
+    """Keyed access: the shard by its key range, then a few reads at computed places."""
 
     def __init__(self, manifest: list):
         self.manifest = [r for r in manifest if r["n_docs"]]
         self.lasts = np.array([r["last_key"] for r in self.manifest], np.int64)
-        self._held: dict[str, ShardIndex] = {}
+        self._heads: dict[str, Places] = {}
+
+    def _head(self, name: str, f) -> Places:
+        if name not in self._heads:
+            while len(self._heads) >= MAX_HEADS:
+                self._heads.pop(next(iter(self._heads)))
+            data = f.read_at(HEAD_BYTES, 0)
+            self._heads[name] = Places.of(data)
+        return self._heads[name]
 
     def get(self, key: int) -> np.ndarray | None:
+        """The ids of a key's first record, end id included; None for a key that isn't there (or, for one absent key in
+        2**32 within a shard's range, the ids of another)."""
         at = int(np.searchsorted(self.lasts, key))
         if at == len(self.lasts) or key < self.manifest[at]["first_key"]:
             return None
         name = self.manifest[at]["name"]
-        if name not in self._held:
-            self._held = {name: ShardIndex.from_bytes(read_bytes(name + ".idx"))}
-        index = self._held[name]
-        record = int(index.find(np.array([key]))[0])
-        if record < 0 or index.keys[record] != key:
-            return None
-        a, b = int(index.starts[record]), int(index.starts[record + 1])
+        where, p = _open(name + ".idx")
+        h1, h2 = key_pair(np.array([key]))
+        with where.open_input_file(p) as f:
+            head, slot = self._head(name, f), None
+            for level, (size, start) in enumerate(zip(head.sizes, head.levels, strict=True)):
+                bit = int(PerfectHash._place(h1, h2, level, size)[0])
+                word, rank = struct.unpack("<QQ", f.read_at(16, start + 16 * (bit >> 6)))
+                if word >> (bit & 63) & 1:
+                    slot = rank + (word & ((1 << (bit & 63)) - 1)).bit_count()
+                    break
+            if slot is None:
+                return None
+            fingerprint, record = struct.unpack("<II", f.read_at(8, head.slots + 8 * slot))
+            if fingerprint != int(ShardIndex._print(h1, h2)[0]):
+                return None
+            a, b = struct.unpack("<QQ", f.read_at(16, head.starts + 8 * record))
         where, p = _open(name + ".bin")
         with where.open_input_file(p) as f:
-            return np.frombuffer(f.read_at((b - a) * index.width, a * index.width), f"<u{index.width}")
+            return np.frombuffer(f.read_at((b - a) * head.width, a * head.width), f"<u{head.width}")
 
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

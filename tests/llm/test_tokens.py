@@ -190,12 +190,60 @@ def test_keyed_access_and_cases(spark, plain):
         assert files.get(d).tolist() == [*ids, 0]
     assert all(files.get(k) is None for k in (1, 2, 599, 5000, -9))
     assert files.get(-1).tolist() == [*plain(["no id"])[0], 0]
+    # A key with more rows than a shard holds.
+    hot = token_files.write_token_files(spark.createDataFrame([(8, f"hot text {i}") for i in range(400)] + [(7, "a"), (9, "b")], SCHEMA), folder, shard_ids=300)
+    assert max(r["n_ids"] for r in hot) < 320 and sum(r["n_docs"] for r in hot) == 402
+    found = token_files.TokenFiles(hot)
+    assert found.get(8) is not None and found.get(7).tolist() == [*plain(["a"])[0], 0] and found.get(9).tolist() == [*plain(["b"])[0], 0]
+    assert token_files.read_token_files(spark, hot).where("doc_id = 8").count() == 400
     back = token_files.read_token_files(spark, manifest).collect()
     assert len(back) == len(rows) and sum(r["doc_id"] == 3 for r in back) == 2
     assert sum(r["n_tokens"] for r in back) == max(r["start"] + r["n_tokens"] for r in back)
     assert token_files.read_token_files(spark, token_files.write_token_files(df.where("false"), folder)).count() == 0
 
 
+def test_keyed_access_reads_a_few_bytes(tmp_path):
+    """Whatever the number of keys: the head, 16 bytes a level, a slot, two bounds and the ids."""
+    for n in (1000, 100_000):
+        keys, lengths = np.arange(n) * 3, np.full(n, 2)
+        (tmp_path / f"{n}.idx").write_bytes(token_files.ShardIndex.build(keys, lengths, 2).to_bytes())
+        (tmp_path / f"{n}.bin").write_bytes(np.arange(2 * n, dtype="<u2").tobytes())
+        files = token_files.TokenFiles([{"name": f"{tmp_path}/{n}", "n_docs": n, "first_key": 0, "last_key": 3 * n - 3}])
+        read, real = [], token_files._open
+
+        class Counted:
+            def __init__(self, f):
+                self.f = f
+
+            def read_at(self, size, at):
+                read.append(size)
+                return self.f.read_at(size, at)
+
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *_):
+                self.f.close()
+
+        class Where:
+            def __init__(self, where):
+                self.where = where
+
+            def open_input_file(self, p):
+                return Counted(self.where.open_input_file(p))
+
+        token_files._open = lambda path: (Where(real(path)[0]), real(path)[1])  # noqa: B023
+        try:
+            for k in (0, 3, 3 * n - 3, 3 * (n // 2)):
+                assert files.get(k).tolist() == [x & 0xFFFF for x in (2 * k // 3, 2 * k // 3 + 1)]
+            assert sum(files.get(k) is not None for k in range(1, 3000, 3)) == 0
+            read.clear()
+            assert files.get(3 * (n // 3)) is not None
+            assert sum(read) < 16 * 96 + 8 + 16 + 4 + 1 and len(read) < 20
+        finally:
+            token_files._open = real
+
+
 def test_damaged_index_is_refused():
     index = token_files.ShardIndex.build(np.array([1, 5, 5, 9]), np.array([2, 3, 4, 1]), 2)
     again = token_files.ShardIndex.from_bytes(index.to_bytes())
