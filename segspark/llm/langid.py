@@ -4,9 +4,11 @@ A language gives each piece of the vocabulary (byte strings of a public byte-lev
 probability of a word is the sum over all its segmentations into pieces of their products, by the forward
 algorithm; a text's is the product over its words (lower-cased, a space before each). Piece probabilities are
 fitted by expectation-maximisation over all segmentations (forward-backward) of the words of a bounded sample
-of labelled texts: SAMPLE_DOCS texts a language in expectation, chosen by a hash of the id, and of these the
-SAMPLE_WORDS commonest words. Every text is scored over all its words. The sum over segmentations depends on the word alone, so
-each worker keeps the scores of words it has seen, at most MAX_WORDS of them.
+of labelled texts: SAMPLE_DOCS texts a language in expectation, chosen by a hash of id and text, and of these the
+SAMPLE_WORDS commonest words. In languages written without spaces a word between white space is a clause: words above
+MAX_BULK bytes are fitted in parts of at most that many bytes, cut between characters, and all parts count. Every text is
+scored over all its words, long ones whole. The sum over segmentations depends on the word alone, so each task keeps the
+scores of words it has seen, at most MAX_WORDS of them.
 """
 
 from __future__ import annotations
@@ -14,26 +16,26 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segspark.llm.common import documents, read
 
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 20_000
 ROUNDS = 3
-#: The longest piece used, the longest word scored in bulk, and the words kept.
-MAX_PIECE, MAX_BULK, MAX_WORDS = 12, 40, 200_000
+#: The longest word (with the space before it) fitted and scored in bulk, and the words kept.
+MAX_BULK, MAX_WORDS = 40, 200_000
 FLOOR = 1e-6
 
 
 def load_pieces(path: str) -> list[bytes]:
     """Pieces by rank of a tiktoken file; all 256 bytes are among them, so any text can be cut."""
     with open(path, "rb") as f:
-        pieces = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-    return [p for p in pieces if len(p) <= MAX_PIECE]
+        return [base64.b64decode(line.split()[0]) for line in f if line.strip()]
 
 
 def default_vocabulary() -> str:
@@ -46,6 +48,18 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
+def parts(word: str) -> list[bytes]:
+    """The word with a space before it, in parts of at most MAX_BULK bytes cut between characters."""
+    raw, out, at = b" " + word.encode(), [], 0
+    while len(raw) - at > MAX_BULK:
+        stop = at + MAX_BULK
+        while raw[stop] & 0xC0 == 0x80:
+            stop -= 1
+        out.append(raw[at:stop])
+        at = stop
+    return [*out, raw[at:]]
+
+
 class Scorer:
     """Log probabilities of words under each language; probs has a row for each piece."""
 
@@ -53,6 +67,8 @@ class Scorer:
         self.probs = np.vstack([probs, np.zeros((1, probs.shape[1]))])
         self.ids = {p: i for i, p in enumerate(pieces)}
         self.none = len(pieces)
+        self.longest = max(map(len, pieces))
+        self.sizes = sorted({len(p) for p in pieces})
         self._start()
 
     def _start(self) -> None:
@@ -61,8 +77,13 @@ class Scorer:
 
     def piece_ids(self, words: list[bytes], n: int) -> dict[tuple[int, int], np.ndarray]:
         """By (start, stop) the piece numbers of words of n bytes, where any word has a piece."""
-        get, none = self.ids.get, self.none
-        return {(i, j): np.array([get(w[i:j], none) for w in words]) for j in range(1, n + 1) for i in range(max(0, j - MAX_PIECE), j)}
+        get, none, out = self.ids.get, self.none, {}
+        for j in range(1, n + 1):
+            for i in range(max(0, j - self.longest), j):
+                ids = np.array([get(w[i:j], none) for w in words])
+                if j - i == 1 or (ids != none).any():
+                    out[i, j] = ids
+        return out
 
     def forward(self, at: dict[tuple[int, int], np.ndarray], n: int, size: int) -> np.ndarray:
         alpha = np.zeros((n + 1, size, self.probs.shape[1]))
@@ -72,14 +93,16 @@ class Scorer:
         return alpha
 
     def long_word(self, w: bytes) -> np.ndarray:
-        """The same sum for one word of any length, rescaled at each byte."""
-        last: list[np.ndarray] = [np.ones(self.probs.shape[1])]
-        log = np.zeros(self.probs.shape[1])
+        """The same sum for one word of any length, in logarithms."""
+        logs = [np.zeros(self.probs.shape[1])]
         for j in range(1, len(w) + 1):
-            s = sum(last[-k] * self.probs[self.ids.get(w[j - k : j], self.none)] for k in range(1, min(len(last), MAX_PIECE) + 1))
-            log += np.log(s)
-            last = [x / s for x in last[-(MAX_PIECE - 1) :]] + [np.ones_like(s)]
-        return log
+            own = [(k, i) for k in self.sizes if k <= j and (i := self.ids.get(w[j - k : j])) is not None]
+            before = np.array([logs[-k] for k, _ in own])
+            top = before.max(axis=0)
+            logs.append(top + np.log((np.exp(before - top) * self.probs[[i for _, i in own]]).sum(axis=0)))
+            if len(logs) > 2 * self.longest:
+                del logs[: -self.longest]
+        return logs[-1]
 
     def _add(self, new: list[str]) -> None:
         by: dict[int, list[tuple[str, bytes]]] = {}
@@ -108,7 +131,11 @@ class Scorer:
             new = set().union(*texts)
         self._add(sorted(new))
         get = self.rows.__getitem__
-        return np.array([self.scores[list(map(get, ws))].sum(axis=0) if ws else np.zeros(self.probs.shape[1]) for ws in texts]).reshape(len(texts), -1)
+        out, sizes = np.zeros((len(texts), self.probs.shape[1])), np.array([len(ws) for ws in texts], np.int64)
+        if sizes.any():
+            at = np.fromiter(map(get, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+            out[sizes > 0] = np.add.reduceat(self.scores[at], (np.cumsum(sizes) - sizes)[sizes > 0], axis=0)
+        return out
 
 
 def fit(counts: dict[str, Counter], pieces: list[bytes], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -116,14 +143,17 @@ def fit(counts: dict[str, Counter], pieces: list[bytes], rounds: int = ROUNDS) -
     langs = sorted(counts)
     total = np.zeros((len(pieces) + 1, len(langs)))
     probs = np.full((len(pieces), len(langs)), 1 / len(pieces))
-    words = {w: [counts[g].get(w, 0) for g in langs] for w in set().union(*counts.values())}
-    by: dict[int, list[str]] = {}
-    for w in sorted(words):
-        if (n := len(w.encode()) + 1) <= MAX_BULK:
-            by.setdefault(n, []).append(w)
+    seen_in: dict[bytes, np.ndarray] = {}
+    for i, g in enumerate(langs):
+        for w, n in counts[g].items():
+            for part in parts(w):
+                seen_in.setdefault(part, np.zeros(len(langs)))[i] += n
+    by: dict[int, list[bytes]] = {}
+    for part in sorted(seen_in):
+        by.setdefault(len(part), []).append(part)
     base = Scorer(pieces, probs)
-    where = {n: base.piece_ids([b" " + w.encode() for w in ws], n) for n, ws in by.items()}
-    seen = {n: np.array([words[w] for w in ws], float) for n, ws in by.items()}
+    where = {n: base.piece_ids(ps, n) for n, ps in by.items()}
+    seen = {n: np.array([seen_in[p] for p in ps]) for n, ps in by.items()}
     for _ in range(rounds):
         scorer = Scorer(pieces, probs)
         total[:] = 0
@@ -147,17 +177,18 @@ def _sample(rows: DataFrame, docs_per_lang: int, words_per_lang: int) -> dict[st
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
-    # A hash of the id below a language's share of all hashes.
-    share = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    # A hash of id and text below a language's share of all hashes; many rows with one id don't come or stay together.
+    share = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     limit = F.create_map(*[F.lit(x) for g, n in sorted(sizes.items()) for x in (g, min(1.0, docs_per_lang / n))])
     some = rows.where(share < limit[F.col("lang")])
     words = some.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
     top = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    # The sample is bounded, so its counts are too.
+    # The commonest of each language are picked where they are; the driver gets no more than these.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     out: dict[str, Counter] = {g: Counter() for g in sizes}
-    for r in top.toLocalIterator():
+    for r in top.withColumn("rank", rank).where(F.col("rank") <= words_per_lang).toLocalIterator():
         out[r["lang"]][r["word"]] = r["n"]
-    return {g: Counter(dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:words_per_lang])) for g, c in out.items()}
+    return out
 
 
 def _predict(sent):
@@ -191,7 +222,8 @@ def identify(docs: DataFrame, vocabulary: str | None = None, docs_per_lang: int
 
     Labelled rows that aren't held out (crc32 of the id as text, mod 4, is 2) and have lang and text train the
     model. Texts that are null or have no letter are "und" with score 0, as are all where no row is labelled;
-    ties go to the label that sorts first. A null id counts as -1. Other columns are ignored.
+    ties go to the label that sorts first. A null id counts as -1; repeated rows are rows of their own, and no more than
+    a text each to the sample's bound. Other columns are ignored, whatever their names. No rows give no rows.
     """
     own = documents(docs, ("lang",)).select("doc_id", "text", F.col("carried.lang").cast("string").alias("lang"))
     counts = _sample(own.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()), docs_per_lang, words_per_lang)

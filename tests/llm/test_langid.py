@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import base64
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -60,6 +62,78 @@ def test_cases(spark):
     assert langid.identify(df.where("false")).count() == 0
 
 
+def test_languages_without_spaces(spark):
+    """Clauses of more bytes than are fitted at once still teach their language."""
+    rng = random.Random(3)
+    kinds = {"x": [chr(0x4E00 + i) for i in range(60)], "y": [chr(0x4E00 + i) for i in range(40, 100)], "z": [chr(0x3042 + i) for i in range(60)]}
+    rows = [(i, "\n".join("".join(rng.choices(kinds[g], k=rng.randrange(20, 60))) for _ in range(4)), g) for i in range(240) for g in [rng.choice("xyz")]]
+    rows += [(1000 + i, "some short words in between", "en") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {d: g for d, _, g in rows}
+    got = langid.identify(df).where("held_out").collect()
+    assert len(got) > 50 and sum(r["lang_pred"] == want[r["doc_id"]] for r in got) > 0.97 * len(got)
+
+
+def test_long_words_are_cut_between_characters():
+    for w in ("a" * 100, "日本" * 40, "é" * 39, "short", "x" * 39, "x" * 40):
+        cut = langid.parts(w)
+        assert b"".join(cut) == b" " + w.encode() and all(len(p) <= langid.MAX_BULK and p.decode() for p in cut)
+    langs, probs = langid.fit({"a": Counter({"ab" * 60: 3}), "b": Counter({"the" * 30: 2})}, PIECES)
+    s = langid.Scorer(PIECES, probs)
+    assert s.score([["ab" * 60]])[0].argmax() == 0 and s.score([["the" * 30]])[0].argmax() == 1
+
+
+def slow_predictions(rows, pieces, rounds):
+    """The whole operator again, one step after another: counts, forward-backward over each word, scores."""
+    langs = sorted({g for d, t, g in rows if g and t and zlib.crc32(str(d).encode()) % 4 != 2})
+    counts = {g: Counter() for g in langs}
+    for d, t, g in rows:
+        if g and t and zlib.crc32(str(d).encode()) % 4 != 2:
+            counts[g].update(t.lower().split())
+    probs = {g: dict.fromkeys(pieces, 1 / len(pieces)) for g in langs}
+
+    def sums(w, p):
+        a = [1.0] + [0.0] * len(w)
+        for j in range(1, len(w) + 1):
+            a[j] = sum(a[i] * p.get(w[i:j], 0) for i in range(j))
+        return a
+
+    for _ in range(rounds):
+        for g in langs:
+            own = dict.fromkeys(pieces, 0.0)
+            for w, n in counts[g].items():
+                w = b" " + w.encode()
+                a, b = sums(w, probs[g]), sums(w[::-1], {k[::-1]: v for k, v in probs[g].items()})[::-1]
+                for i in range(len(w)):
+                    for j in range(i + 1, len(w) + 1):
+                        if w[i:j] in own:
+                            own[w[i:j]] += n * a[i] * probs[g][w[i:j]] * b[j] / a[-1]
+            total = sum(own.values())
+            probs[g] = {k: (v / total + langid.FLOOR) / (1 + langid.FLOOR * len(pieces)) for k, v in own.items()}
+    out = {}
+    for d, t, _ in rows:
+        if not t or not any(map(str.isalpha, t)):
+            out[d] = ("und", 0.0)
+            continue
+        log = [sum(math.log(sums(b" " + w.encode(), probs[g])[-1]) for w in t.lower().split()) for g in langs]
+        p = [math.exp(x - max(log)) for x in log]
+        best = max(range(len(langs)), key=lambda i: (p[i], -i))
+        out[d] = (langs[best], p[best] / sum(p))
+    return out
+
+
+def test_whole_operator_against_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    words = {"en": ["the", "then", "cat", "ab", "he"], "de": ["der", "aba", "katze", "hat", "ab"]}
+    rows = [(i, " ".join(rng.choices(words[g], k=rng.randrange(1, 6))), g if i % 5 else None) for i in range(60) for g in [rng.choice(["en", "de"])]]
+    rows += [(100, None, "en"), (101, "12 !", None), (102, "The CAT", None)]
+    path = tmp_path / "v.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(p).decode()} {i}\n" for i, p in enumerate(PIECES)))
+    want = slow_predictions(rows, PIECES, 3)
+    for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), str(path)).collect():
+        assert r["lang_pred"] == want[r["doc_id"]][0] and math.isclose(r["score"], want[r["doc_id"]][1], rel_tol=1e-6, abs_tol=1e-9), r
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = langid.op5(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null").select("doc_id", "lang"), "doc_id")
