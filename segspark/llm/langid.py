@@ -30,6 +30,8 @@ ROUNDS = 3
 #: The longest word (with the space before it) fitted and scored in bulk, and the words kept.
 MAX_BULK, MAX_WORDS = 40, 200_000
 FLOOR = 1e-6
+#: Rolling hashes of byte strings: h(s + b) = h(s) * BASE + b + 1, modulo 2**64; a table of 2**MASK_BITS marks what may be a piece.
+BASE, MASK_BITS = np.uint64(0x9E3779B97F4A7C15), 20
 
 
 def load_pieces(path: str) -> list[bytes]:
@@ -69,21 +71,51 @@ class Scorer:
         self.none = len(pieces)
         self.longest = max(map(len, pieces))
         self.sizes = sorted({len(p) for p in pieces})
+        self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(MAX_BULK, BASE)]), dtype=np.uint64)
+        short = [(self._hashes([p], len(p))[-1, 0], i) for i, p in enumerate(pieces) if len(p) <= MAX_BULK]
+        own = np.array([h for h, _ in short], np.uint64)
+        order = np.argsort(own)
+        self.hashes, self.numbers = own[order], np.array([i for _, i in short], np.int32)[order]
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("pieces repeat, or two have one hash")
+        self.mask = np.zeros(1 << MASK_BITS, bool)
+        self.mask[self._slot(self.hashes)] = True
         self._start()
 
     def _start(self) -> None:
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((1024, self.probs.shape[1]))
 
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return (h ^ (h >> np.uint64(29))) * BASE >> np.uint64(64 - MASK_BITS)
+
+    @staticmethod
+    def _hashes(words: list[bytes], n: int) -> np.ndarray:
+        """Of all prefixes of words of n bytes: a row for each length from 0."""
+        b = np.frombuffer(b"".join(words), np.uint8).reshape(-1, n).T.astype(np.uint64) + np.uint64(1)
+        h = np.zeros((n + 1, len(words)), np.uint64)
+        for k in range(n):
+            h[k + 1] = h[k] * BASE + b[k]
+        return h
+
     def piece_ids(self, words: list[bytes], n: int) -> dict[tuple[int, int], np.ndarray]:
-        """By (start, stop) the piece numbers of words of n bytes, where any word has a piece."""
-        get, none, out = self.ids.get, self.none, {}
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                ids = np.array([get(w[i:j], none) for w in words])
-                if j - i == 1 or (ids != none).any():
-                    out[i, j] = ids
-        return out
+        """By (start, stop), by ascending stop, the piece numbers of words of n bytes, where any word has a piece."""
+        prefix, out = self._hashes(words, n), {}
+        for k in self.sizes:
+            if k > n:
+                break
+            h = prefix[k:] - prefix[: n + 1 - k] * self.powers[k]
+            at = np.flatnonzero(self.mask[self._slot(h)])
+            found = h.ravel()[at]
+            place = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+            ok = self.hashes[place] == found
+            ids = np.full(h.size, self.none, np.int32)
+            ids[at[ok]] = self.numbers[place[ok]]
+            ids = ids.reshape(h.shape)
+            for i in np.unique(at[ok] // len(words)).tolist():
+                out[i, i + k] = ids[i]
+        return dict(sorted(out.items(), key=lambda x: (x[0][1], x[0][0])))
 
     def forward(self, at: dict[tuple[int, int], np.ndarray], n: int, size: int) -> np.ndarray:
         alpha = np.zeros((n + 1, size, self.probs.shape[1]))
