@@ -96,52 +96,63 @@ def likeness(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(x, y)) / F.greatest(F.size(keys), F.lit(1)), F.lit(0.0))
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row, text with a key for each row: the id where ids are unique, else (and only then the texts are
+    written once more, so that keys stay when a task is repeated) a number of its own."""
+    d = documents(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    repeats = d.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if not repeats:
+        return d.select("doc_id", F.col("doc_id").alias("row"), "text")
+    return stored(d.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), "rows")
+
+
 class Band:
     """What lies outside the band: frequent, an array column of at most MAX_FREQUENT terms, and rare, a table
-    (doc_id, rare) of the terms found in one document only, and of frequent ones where they are more."""
+    (row, rare) of the terms found in one row only, and of frequent ones where they are more. The share holds for any
+    number of documents; where it leaves a text no term (as in a table of a few documents), all its terms count."""
 
     def __init__(self, d: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE):
         if min_docs not in (1, 2):
             raise ValueError("min_docs is 1 or 2")
         n = d.count()
-        pairs = d.select("doc_id", F.explode(terms(F.coalesce("text", F.lit("")))).alias("t"))
-        counts = pairs.groupBy("t").agg(F.count("*").alias("n"), F.max("doc_id").alias("doc_id"))
-        outside = counts.where((F.col("n") < min_docs) | (F.col("n") > F.lit(max_share * n)))
-        # Below some documents the shares say nothing.
-        outside = cut(outside.where((F.col("n") < min_docs) | F.lit(n >= 40)))
+        pairs = d.select("row", F.explode(terms(F.col("text"))).alias("t"))
+        counts = pairs.groupBy("t").agg(F.count("*").alias("n"), F.max("row").alias("row"))
+        outside = cut(counts.where((F.col("n") < min_docs) | (F.col("n") > F.lit(max_share * n))))
         above = outside.where(F.col("n") >= min_docs).select("t")
         often = above.count()
-        own = outside.where(F.col("n") < min_docs).select("doc_id", "t")
+        own = outside.where(F.col("n") < min_docs).select("row", "t")
         if often > MAX_FREQUENT:
-            own = own.union(pairs.join(above, "t", "left_semi").select("doc_id", "t"))
+            own = own.union(pairs.join(above, "t", "left_semi").select("row", "t"))
         held = sorted(r["t"] for r in above.collect()) if often <= MAX_FREQUENT else []
         self.frequent = F.array(*[F.lit(t) for t in held]).cast("array<bigint>")
-        self.rare = own.groupBy("doc_id").agg(F.collect_list("t").alias("rare"))
+        self.rare = own.groupBy("row").agg(F.collect_list("t").alias("rare"))
 
 
 def successors(d: DataFrame) -> DataFrame:
-    """doc_id, n_chars, next_id, next_chars by ascending id, the first after the last; only ids and lengths move.
+    """row, n_chars, next_row by ascending id and row, the first after the last; only keys and lengths move.
 
-    Ids are range-partitioned and each range is a window; the ends of ranges, a row a range, link the ranges.
+    Rows are range-partitioned and each range is a window; the ends of ranges, a row a range, link the ranges. Rows
+    of one id are dealt over ranges like any others.
     """
     spark = d.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = d.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
-    own = cut(own.repartitionByRange(n, "doc_id").withColumn("range", F.spark_partition_id()))
-    w = Window.partitionBy("range").orderBy("doc_id")
-    inner = own.select("range", "doc_id", "n_chars", F.lead("doc_id").over(w).alias("next_id"))
-    heads = own.groupBy("range").agg(F.min("doc_id").alias("head"))
+    own = d.select("doc_id", "row", F.char_length("text").cast("long").alias("n_chars"))
+    own = cut(own.repartitionByRange(n, "doc_id", "row").withColumn("range", F.spark_partition_id()))
+    w = Window.partitionBy("range").orderBy("doc_id", "row")
+    inner = own.select("range", "row", "n_chars", F.lead("row").over(w).alias("next_row"))
+    heads = own.groupBy("range").agg(F.min(F.struct("doc_id", "row")).alias("head"))
     order = Window.orderBy("range")
-    ends = heads.select("range", F.lead("head").over(order).alias("after"), F.min("head").over(Window.partitionBy()).alias("least"))
-    return inner.join(F.broadcast(ends), "range").select("doc_id", "n_chars", F.coalesce("next_id", "after", "least").alias("next_id"))
+    ends = heads.select("range", F.lead("head.row").over(order).alias("after"), F.min("head").over(Window.partitionBy()).getField("row").alias("least"))
+    return inner.join(F.broadcast(ends), "range").select("row", "n_chars", F.coalesce("next_row", "after", "least").alias("next_row"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text, fingerprint for each row of docs. Null texts are empty; equal texts, and texts with the same
-    terms in the band, have equal fingerprints. Rows with the same id share their terms' document."""
-    d = documents(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    """doc_id, text, fingerprint for each row of docs. Null texts are empty, a null id is -1; equal texts, and texts
+    with the same terms in the band, have equal fingerprints. Rows that share an id are documents of their own. Texts without
+    terms, however long, get the hash of the text itself. Other columns are ignored, whatever their names. No rows give no rows."""
+    d = _rows(docs)
     band = Band(d)
-    both = d.join(band.rare, "doc_id", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<bigint>")))
+    both = d.join(band.rare, "row", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<bigint>")))
     return with_fingerprint(both, "text", [band.frequent, F.col("rare")], "fingerprint").select("doc_id", "text", "fingerprint")
 
 
@@ -149,29 +160,27 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256 (of the text with its last half replaced by the next document's start),
     fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Rows that repeat an id are one document, that with the greatest text. One document is its own next. No rows
-    give no rows.
+    A row for each row of docs. Rows that share an id (null ids are -1) are documents of their own, next to one another in an
+    order that is fixed for the call. One document is its own next. Null texts are empty. Other columns are ignored,
+    whatever their names. No rows give no rows.
     """
-    d = documents(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    ids = d.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("own")).first()
-    if ids["n"] != ids["own"]:
-        d = d.groupBy("doc_id").agg(F.max("text").alias("text"))
+    d = _rows(docs)
     band = Band(d)
     links = cut(successors(d))
     # For each document, the one before it and how much of this one's start that needs: what is sent there, with
     # the rare terms of this one.
-    need = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.floor(F.col("n_chars") / 2).cast("int").alias("need"))
-    own = d.join(band.rare, "doc_id", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<bigint>"))).join(need, "doc_id")
-    given = own.select(F.col("before").alias("doc_id"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("start"), F.col("rare").alias("next_rare"))
+    need = links.select(F.col("next_row").alias("row"), F.col("row").alias("before"), F.floor(F.col("n_chars") / 2).cast("int").alias("need"))
+    own = d.join(band.rare, "row", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<bigint>"))).join(need, "row")
+    given = own.select(F.col("before").alias("row"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("start"), F.col("rare").alias("next_rare"))
     n = F.char_length("text")
-    both = own.drop("need").join(given, "doc_id").withColumn("n_chars", n.cast("long"))
+    both = own.drop("need").join(given, "row").withColumn("n_chars", n.cast("long"))
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 2)).cast("int")), "start"))
     both = with_fingerprint(both, "text", [band.frequent, F.col("rare")], "fingerprint")
     both = with_fingerprint(both, "edited", [band.frequent, F.col("rare"), F.col("next_rare")], "edited_fingerprint")
     # Written once, as each fingerprint is read at two documents.
-    out = stored(both.select("doc_id", "before", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint"), "imatch")
-    after = out.select(F.col("before").alias("doc_id"), F.col("fingerprint").alias("next_fingerprint"))
-    return out.join(after, "doc_id").select(
+    out = stored(both.select("doc_id", "row", "before", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint"), "imatch")
+    after = out.select(F.col("before").alias("row"), F.col("fingerprint").alias("next_fingerprint"))
+    return out.join(after, "row").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
