@@ -6,14 +6,17 @@ sidebar, notice, advert, form, script, style, reader comments, by element, role
 tags of the lines is smoothed with a Gaussian and split in two clusters by one-dimensional 2-means; lines of
 the upper cluster vote with their text for the elements around them. The content region is the element with
 the most votes: an article or main element first, else the innermost one that holds nearly all of them. All
-its lines outside boilerplate are the text, short ones too: the cluster selects regions, not single lines. Headings and
-other lines around it (in the outermost article or main element, else in the page) belong to the text as well, unless they
-are boilerplate or, headings aside, more than half link text.
+its lines outside boilerplate are the text, short ones too: the cluster selects regions, not single lines. Around a region
+that is an article or main element, headings and other lines of the outermost such element belong to the text as
+well, unless they are boilerplate or, headings aside, more than half link text. Around any other region, lines of
+the upper cluster do, and headings and paragraphs right beside the region or an element that holds it; sidebars and menus without telling
+names fall to the lower cluster and stay out. All steps take time in proportion to the page, however deep its elements nest.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,6 +37,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset("nav navbar navigation menu menus submenu breadcrumb breadcrumbs header masthead topbar footer sidebar aside widget widgets notice notices cookie cookies consent gdpr banner alert ad ads advert adverts advertisement advertising sponsor sponsored promo promotion form search login signup subscribe subscription newsletter comment comments commentlist disqus reply replies respond discussion share sharing social related recommended pagination pager popup modal overlay toolbar skip copyright".split())
 #: Names that an outer wrapper may have for its layout (as in "with-sidebar"): an article or main element inside counts all the same.
 LAYOUT = frozenset("nav navbar navigation header masthead footer sidebar aside widget widgets menu topbar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT = frozenset("p blockquote pre figure".split())
 _P_ENDS = BLOCK - {"body", "html", "option", "optgroup", "legend", "caption"}
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
@@ -45,6 +50,8 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, int]] = []  # tag, element number, boilerplate from here down: 0 no, 1 by layout name, 2 yes
+        self.places: dict[str, list[int]] = defaultdict(list)  # of open elements by tag
+        self.walls: list[int] = []  # of open elements that aren't inline
         self.elements: list[tuple[int, str]] = []  # parent number, tag
         self.text: list[str] = []
         self.tags = 0
@@ -68,7 +75,7 @@ class Lines(HTMLParser):
     def _dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if tag in HIDDEN or tag in BOILERPLATE:
             return 2
-        inside = any(t in ("article", "main") for t, _, _ in self.open)
+        inside = bool(self.places["article"] or self.places["main"])
         if tag == "header":
             return 0 if inside else 2
         a = dict(attrs)
@@ -93,6 +100,9 @@ class Lines(HTMLParser):
         if above == 1 and tag in ("article", "main"):
             above = 0
         self.elements.append((parent, tag))
+        self.places[tag].append(len(self.open))
+        if tag in BLOCK or tag in HIDDEN:
+            self.walls.append(len(self.open))
         self.open.append((tag, len(self.elements) - 1, max(above, self._dropped(tag, attrs))))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -106,10 +116,10 @@ class Lines(HTMLParser):
         if tag in BLOCK or tag in HIDDEN:
             if tag in BLOCK or tag == "title":
                 self._end_line()
-            if tag in _P_ENDS:
-                self._close("p", (BLOCK | HIDDEN) - {"p"})
-            if tag == "li":
-                self._close("li", {"ul", "ol", "menu"})
+            if tag in _P_ENDS and self.places["p"] and self.walls[-1] == self.places["p"][-1]:
+                self._close("p")
+            if tag == "li" and self.places["li"] and not any(self.places[t] and self.places[t][-1] > self.places["li"][-1] for t in ("ul", "ol", "menu")):
+                self._close("li")
             if tag == "hr":
                 return
             self._push(tag, attrs)
@@ -123,20 +133,27 @@ class Lines(HTMLParser):
         elif tag in BLOCK:
             self._end_line()
 
-    def _close(self, tag: str, stops: set[str] | frozenset[str]) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if self.inline is not None and i < self.inline:  # left open
-                    del self.open[self.inline :]
-                    self.inline = None
-                if self.inline == i:
-                    self.inline = None
-                elif tag in BLOCK or tag == "title":
-                    self._end_line()
-                del self.open[i:]
-                return
-            if self.open[i][0] in stops:
-                return
+    def _cut(self, i: int) -> None:
+        """Forget open elements from place i on; each goes once."""
+        for tag, _, _ in self.open[i:]:
+            self.places[tag].pop()
+        while self.walls and self.walls[-1] >= i:
+            self.walls.pop()
+        del self.open[i:]
+
+    def _close(self, tag: str) -> None:
+        """Close the innermost open element of this tag, with all in it."""
+        if not self.places[tag]:
+            return
+        i = self.places[tag][-1]
+        if self.inline is not None and i < self.inline:  # left open
+            self._cut(self.inline)
+            self.inline = None
+        if self.inline == i:
+            self.inline = None
+        elif tag in BLOCK or tag == "title":
+            self._end_line()
+        self._cut(i)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -145,9 +162,9 @@ class Lines(HTMLParser):
         if tag in BLOCK or tag in HIDDEN:
             if tag in BLOCK:
                 self._end_line()
-            self._close(tag, frozenset())
+            self._close(tag)
         elif self.open and self.open[-1][0] == tag:
-            self._close(tag, frozenset())
+            self._close(tag)
 
     def handle_data(self, data: str) -> None:
         if self.inline is not None or (self.open and self.open[-1][0] in HIDDEN):
@@ -159,7 +176,7 @@ class Lines(HTMLParser):
     def close(self) -> None:
         super().close()
         if self.inline is not None:
-            del self.open[self.inline :]
+            self._cut(self.inline)
             self.inline = None
         self._end_line()
 
@@ -198,36 +215,45 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
     ratio = np.array([0.0 if dropped else len(text) / max(1, tags) for text, tags, dropped, _ in lines])
     smoothed = smooth(ratio, sigma)
     limit = threshold(smoothed)
-    votes = [0] * (len(p.elements) + 1)
+    upper = (smoothed >= limit).tolist()
+    # An element's number is below those of all that it holds, so one pass from the last adds votes up, and one from the
+    # first finds what is inside.
+    votes = [0] * len(p.elements)
     total = 0
-    for (text, _, dropped, at), high in zip(lines, smoothed >= limit, strict=True):
+    for (text, _, dropped, at), high in zip(lines, upper, strict=True):
         if high and not dropped:
             total += len(text)
-            while at >= 0:
+            if at >= 0:
                 votes[at] += len(text)
-                at = p.elements[at][0]
+    for i in range(len(p.elements) - 1, -1, -1):
+        if p.elements[i][0] >= 0:
+            votes[p.elements[i][0]] += votes[i]
     best = max((i for i, (_, tag) in enumerate(p.elements) if tag in ("article", "main") and votes[i] > 0.5 * total), default=-1)
     if best < 0:
-        best = max((i for i in range(len(p.elements)) if total and votes[i] >= share * total and p.elements[i][1] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "pre", "blockquote")), default=-1)
+        best = max((i for i in range(len(p.elements)) if total and votes[i] >= share * total and p.elements[i][1] not in ("p", "li", "td", "pre", "blockquote") and p.elements[i][1] not in HEADINGS), default=-1)
     if best < 0:
         return "\n".join(text for text, _, dropped, _ in lines if not dropped)
-    around, up = -1, best
-    if p.elements[best][1] in ("article", "main"):
-        while up >= 0:
-            around = up if p.elements[up][1] in ("article", "main") else around
-            up = p.elements[up][0]
-    # An element's number is below those of all that it holds, so one pass finds what is inside the region.
-    inside, near = [False] * len(p.elements), [around < 0] * len(p.elements)
+    article = p.elements[best][1] in ("article", "main")
+    above, up = set(), p.elements[best][0]
+    while up >= 0:
+        above.add(up)
+        up = p.elements[up][0]
+    around = min((i for i in above | {best} if p.elements[i][1] in ("article", "main")), default=best)
+    inside, near = [False] * len(p.elements), [False] * len(p.elements)
     for i, (parent, _) in enumerate(p.elements):
         inside[i] = i == best or (parent >= 0 and inside[parent])
-        near[i] = near[i] or i == around or (parent >= 0 and near[parent])
+        near[i] = i == around or (parent >= 0 and near[parent])
 
-    def kept(at: int, links: bool) -> bool:
+    def kept(at: int, links: bool, high: bool) -> bool:
         if at < 0:
-            return around < 0 and not links
-        return inside[at] or (near[at] and (not links or p.elements[at][1] in ("h1", "h2", "h3", "h4", "h5", "h6")))
+            return not article and high and not links
+        parent, tag = p.elements[at]
+        if article:
+            return inside[at] or (near[at] and (not links or tag in HEADINGS))
+        beside = parent < 0 or parent in above
+        return inside[at] or (tag in HEADINGS and beside) or (not links and (high or (tag in TEXT and beside)))
 
-    return "\n".join(text for (text, _, dropped, at), links in zip(lines, p.mostly_links, strict=True) if not dropped and kept(at, links))
+    return "\n".join(text for (text, _, dropped, at), links, high in zip(lines, p.mostly_links, upper, strict=True) if not dropped and kept(at, links, high))
 
 
 def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,7 +264,9 @@ def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text for each row of pages; other columns are ignored, ids and urls kept as they are.
 
-    Null and empty html give an empty text. Rows are independent; repeated rows give repeated results.
+    Null and empty html give an empty text. Very long and deep pages take time and memory in proportion to their size.
+    Rows are independent: repeated rows and null ids give repeated results, clashing names of other columns don't matter, no
+    rows give none.
     """
     lean(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
