@@ -5,7 +5,10 @@ half is searched by itself with radius 1. Vantage points: a fixed pattern seen t
 the half gives every fingerprint G Hamming distances; a shard is one vector of distances. By the triangle
 bound, fingerprints whose halves are one bit apart have vectors that differ by one in one place, so a
 fingerprint is stored in its own shard and also queries the G shards that are one further in one distance.
-G grows with the number of fingerprints (4, 8, 16, 32), so shards stay small and copies few.
+G grows with the number of fingerprints (4, 8, 16), so shards stay small and copies few; a distance takes at least three
+values. Shards fill unevenly, by the binomials and by texts that share much: one above SHARD_LIMIT entries is dealt over
+pairs of blocks, stored entries of one against queries of another, so no task holds more than two blocks and no link is
+lost.
 
 Within a shard a vantage-point tree splits at the median distance from a fingerprint and prunes branches by
 the triangle bound; leaves are compared directly on all 64 bits. Equal fingerprints are one entry. A shard
@@ -31,6 +34,8 @@ RADIUS, HALF_RADIUS = 3, 1
 # Fixed value: the vantage pattern, the golden ratio's bits.
 VANTAGE = 0x9E3779B9
 SHARD_TARGET = 2000
+#: Entries of a shard that one task takes, and of a block of a larger one.
+SHARD_LIMIT = 1 << 18
 BRUTE = 1 << 18
 
 
@@ -71,8 +76,8 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 def spread(n: int) -> int:
     """Vantage masks a half for n fingerprints: the fewest whose shards hold SHARD_TARGET on average."""
     # The chance that two random halves share all distances, by number of masks.
-    same = {4: 0.1964**4, 8: 0.2734**8, 16: 0.375**16}
-    return next((g for g, p in same.items() if n * p <= SHARD_TARGET), 32)
+    same = {4: 0.1964**4, 8: 0.2734**8}
+    return next((g for g, p in same.items() if n * p <= SHARD_TARGET), 16)
 
 
 def _shards(g: int):
@@ -121,11 +126,11 @@ class Forest:
         return self.find(np.arange(len(self.parent)))
 
 
-def search(fp: np.ndarray, home: np.ndarray, half: int, radius: int = RADIUS, half_radius: int = HALF_RADIUS) -> np.ndarray:
-    """The forest roots of a shard's distinct fingerprints: links of stored ones (home) with all others."""
+def search(fp: np.ndarray, home: np.ndarray, half: int, radius: int = RADIUS, half_radius: int = HALF_RADIUS, asking: np.ndarray | None = None) -> np.ndarray:
+    """The forest roots of a shard's distinct fingerprints: links of stored ones (home) with those asking, by default all."""
     mask = np.uint64(0xFFFFFFFF << (32 * half))
     forest = Forest(len(fp))
-    todo = [(np.flatnonzero(home), np.arange(len(fp)), True)]
+    todo = [(np.flatnonzero(home), np.arange(len(fp)) if asking is None else np.flatnonzero(asking), True)]
     while todo:
         stored, asks, splits = todo.pop()
         if not len(stored) or not len(asks):
@@ -152,30 +157,51 @@ def search(fp: np.ndarray, home: np.ndarray, half: int, radius: int = RADIUS, ha
     return forest.roots()
 
 
+def dealt(shards: DataFrame, limit: int) -> DataFrame:
+    """shard, i, j, fp, home, asks: each shard as one group, or as groups of two blocks if it has more than limit rows.
+
+    An entry of block b asks in all groups (i, b) and is stored, if it is at home, in all groups (b, j). The list of large
+    shards is broadcast; it is shorter than the rows divided by limit.
+    """
+    full = cut(shards.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("shard", F.ceil(F.col("n") / limit).cast("int").alias("blocks")))
+    if full.isEmpty():
+        return shards.select("shard", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "home", F.lit(True).alias("asks"))
+    rows = shards.join(F.broadcast(full), "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+
+    def place(i, j, home, asks):
+        return F.struct(i.alias("i"), j.alias("j"), home.alias("home"), asks.alias("asks"))
+
+    own, yes, no = F.col("own"), F.lit(True), F.lit(False)
+    at = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.when(o == own, F.array(place(own, own, F.col("home"), yes))).when(F.col("home"), F.array(place(o, own, no, yes), place(own, o, yes, no))).otherwise(F.array(place(o, own, no, yes))))
+    return rows.select("shard", "fp", F.explode(F.flatten(at)).alias("at")).select("shard", "at.i", "at.j", "fp", "at.home", "at.asks")
+
+
 def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by shard to the spanning links of each shard."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    name = None
+    """Rows sorted by group to the spanning links of each group."""
+    held: list[tuple[np.ndarray, ...]] = []
+    name: tuple[int, ...] = ()
 
     def done() -> pd.DataFrame:
-        fp, home = (np.concatenate(x) for x in zip(*held, strict=True))
+        fp, home, asks = (np.concatenate(x) for x in zip(*held, strict=True))
         fp = fp.view(np.uint64)
-        root = search(fp, home, int(name >= 0))
+        root = search(fp, home, int(name[0] >= 0), asking=asks)
         own = np.flatnonzero(root != np.arange(len(fp)))
         return pd.DataFrame({"u": fp[own].view(np.int64), "v": fp[root[own]].view(np.int64)})
 
     for f in frames:
-        shard, fp, home = (f[c].to_numpy() for c in ("shard", "fp", "home"))
-        bounds = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        shard, i, j, fp, home, asks = (f[c].to_numpy() for c in ("shard", "i", "j", "fp", "home", "asks"))
+        turns = np.flatnonzero((np.diff(shard) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        bounds = [0, *turns.tolist(), len(shard)]
         out = []
         for a, b in zip(bounds, bounds[1:], strict=False):
             if a == b:
                 continue
-            if held and shard[a] != name:
+            if held and (shard[a], i[a], j[a]) != name:
                 out.append(done())
                 held.clear()
-            name = shard[a]
-            held.append((fp[a:b], home[a:b]))
+            name = (shard[a], i[a], j[a])
+            held.append((fp[a:b], home[a:b], asks[a:b]))
         if out and len(links := pd.concat(out)):
             yield links
     if held and len(links := done()):
@@ -186,14 +212,16 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp (signed long), component_id; one row for each row of docs.
 
     Fingerprints at 3 or fewer differing bits link, those of texts without words (0) like any other;
-    component_id is the smallest doc_id reachable over links. Null texts count as empty. Rows with the same
-    id are in the component of each of their texts' smallest id. No rows give no rows.
+    component_id is the smallest doc_id reachable over links. Null texts count as empty, a null id as -1; very long
+    texts are read whole. Rows with the same id are in the component of each of their texts' smallest id. Other columns are
+    ignored, whatever their names. No rows give no rows.
     """
     fps = cut(fingerprints(docs, width))
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     g = spread(classes.count())
     shards = classes.select("fp").mapInPandas(_shards(g), "shard long, fp long, home boolean")
-    links = cut(shards.repartition("shard").sortWithinPartitions("shard").mapInPandas(_links, "u long, v long"))
+    groups = dealt(shards, SHARD_LIMIT).repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
+    links = cut(groups.mapInPandas(_links, "u long, v long"))
     roots = cut(components(links).withColumnRenamed("node", "fp"))
     linked = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -24,7 +24,7 @@ def roots(pairs, nodes):
 
     def find(x):
         while up[x] != x:
-            x = up[x] = up[up[x]]
+            up[x] = x = up[up[x]]
         return x
 
     for a, b in pairs:
@@ -55,12 +55,15 @@ def test_vantage_shards_find_every_link(spark):
     values = sorted({*base.tolist(), *near, *ball, 0, 7, (1 << 64) - 1})
     want = brute(dict(enumerate(values)))
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in values], "fp long")
-    for g in (4, 8, 16, 32):
+    for g, limit in ((4, 1 << 18), (8, 1 << 18), (16, 1 << 18), (4, 5), (8, 2)):  # the last two in blocks
         shards = df.mapInPandas(simhash._shards(g), "shard long, fp long, home boolean")
-        links = shards.repartition(4, "shard").sortWithinPartitions("shard").mapInPandas(simhash._links, "u long, v long").collect()
+        groups = simhash.dealt(shards, limit)
+        assert limit > 5 or groups.where("i <> j").count() > 0
+        assert groups.groupBy("shard", "i", "j").count().agg({"count": "max"}).first()[0] <= max(limit * 4, 200)
+        links = groups.repartition(4, "shard", "i", "j").sortWithinPartitions("shard", "i", "j").mapInPandas(simhash._links, "u long, v long").collect()
         at = {v: i for i, v in enumerate(values)}
         own = roots(((at[r["u"] & (1 << 64) - 1], at[r["v"] & (1 << 64) - 1]) for r in links), range(len(values)))
-        assert own == want, g
+        assert own == want, (g, limit)
 
 
 def test_tree_prunes_and_is_exact(monkeypatch):
