@@ -16,10 +16,12 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where spark.checkpoint.dir is unset (tests on one
-    machine) a temporary one is made and set."""
+    """The folder all executors share, as spark.checkpoint.dir names it. Where that is unset a temporary one is made and
+    set on a local master (tests on one machine); a cluster is refused, as its executors see no folder of the driver's."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='segspark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -43,7 +45,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def lean(spark: SparkSession) -> None:
-    """Texts can be long, so batches to Python get fewer rows than Spark's default of 10,000; another setting stays."""
+    """Texts can be long, so batches to Python get fewer rows than Spark's default of 10,000. The session has one
+    setting for all its plans and reads it when a plan runs, so it stays changed; a setting that isn't the default is left
+    alone."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(BATCH_ROWS))

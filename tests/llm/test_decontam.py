@@ -40,7 +40,7 @@ def found(df, bench, **k):
     return {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"]), hashlib.sha256(",".join(sorted(r["items"])).encode()).hexdigest(), r["contaminated"]) for r in f.collect()}
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     vocabulary = ["a", "b", "ab", "É", "7", "cd", "x\x85y"]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice((0, 1, 3, 12, 13, 14, 30))))) for i in range(12)] + [(50, None), (51, "!!")]
@@ -57,7 +57,13 @@ def test_against_brute_force(spark):
     df, bench = spark.createDataFrame(docs, DOCS).withColumn("spans", F.lit("clash")), spark.createDataFrame(items, ITEMS).withColumn("doc_id", F.lit(1))
     want = brute(docs, items)
     assert found(df, bench) == want
-    assert found(df, bench, limit=2000) == want  # several blocks
+    assert found(df, bench, limit=250) == want  # several blocks, and more than go out at a time
+    assert len(list(decontam.blocks(iter([(str(i), t) for i, t in items]), 13, 250))) > decontam.MAX_BLOCKS
+    again = df.union(df).union(spark.createDataFrame([(None, docs[1][0]), (1, docs[3][0])], DOCS).withColumn("spans", F.lit("x")))
+    many = decontam.contaminated_spans(again, bench, limit=250)
+    assert many.count() == 2 * len(docs) + 2
+    monkeypatch.setattr(decontam, "MAX_BLOCKS", 100)
+    assert found(df, bench, limit=250) == want  # all at once
     assert sum(x[4] for x in want.values()) > 5
 
 
