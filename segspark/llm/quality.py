@@ -3,8 +3,9 @@
 LABELLERS look at a whole text and vote good (1), bad (0) or not at all (-1). Expectation-maximisation fits how
 often each votes, and how, on good and on bad texts, from the counts of vote patterns over all documents (at
 most 3 ** len(LABELLERS) patterns, however many documents). The posterior of each pattern then labels a
-bounded sample of documents, TRAIN_DOCS in expectation, on which a linear scorer over hashed words and shapes
-is fitted by logistic regression. All documents are scored over their whole texts. No true label enters the
+bounded sample of documents, TRAIN_DOCS in expectation, chosen by a hash of id and text and no more than TRAIN_CHARS code
+points of text in all, on which a linear scorer over hashed words and shapes is fitted by logistic regression. Texts are read
+twice in full, once for the patterns' counts and once for the scores. All documents are scored over their whole texts. No true label enters the
 fit; but the labellers and their thresholds were written after reading some 25 labelled documents of the synthetic
 tables (tables of bars, repeated words), so how well scores agree with labels there is not a blind measure.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from segspark.llm.common import documents, read
 
-TRAIN_DOCS, DIMENSIONS, MAX_WORDS = 4000, 1 << 16, 300_000
+TRAIN_DOCS, TRAIN_CHARS, DIMENSIONS, MAX_WORDS = 4000, 1 << 28, 1 << 16, 300_000
 _SENTENCE = re.compile(r"[.!?](?:\s|$)")
 
 
@@ -78,7 +79,7 @@ def votes(s: dict[str, float]) -> str:
 def label_model(patterns: dict[str, int], rounds: int = 100) -> tuple[float, np.ndarray]:
     """The share of good texts, and rates[labeller, class, vote] with votes 0, 1 and none."""
     keys = sorted(patterns)
-    v = np.array([["01-".index(c) for c in k] for k in keys]).reshape(len(keys), len(NAMES))
+    v = cast(keys)
     weight = np.array([patterns[k] for k in keys], float)
     good = (v == 1).sum(axis=1) - 1.5 * (v == 0).sum(axis=1)
     post = 1 / (1 + np.exp(-good))
@@ -97,6 +98,11 @@ def label_model(patterns: dict[str, int], rounds: int = 100) -> tuple[float, np.
     return share, rates
 
 
+def cast(patterns: list[str]) -> np.ndarray:
+    """Patterns as rows of votes: 0, 1, or 2 for none."""
+    return np.array([["01-".index(c) for c in x] for x in patterns], np.int64).reshape(len(patterns), len(NAMES))
+
+
 def posterior(v: np.ndarray, share: float, rates: np.ndarray) -> np.ndarray:
     log = np.log([1 - share, share])[None, :] + sum(np.log(rates[i][:, v[:, i]]).T for i in range(len(NAMES)))
     log -= log.max(axis=1, keepdims=True)
@@ -106,7 +112,7 @@ def posterior(v: np.ndarray, share: float, rates: np.ndarray) -> np.ndarray:
 
 def _votes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        yield pd.DataFrame({"doc_id": f["doc_id"], "text": f["text"], "votes": [votes(statistics(t)) for t in f["text"]]})
+        yield pd.DataFrame({"votes": [votes(statistics(t)) for t in f["text"]]})
 
 
 def shapes(s: dict[str, float]) -> list[str]:
@@ -128,9 +134,10 @@ class Features:
             p = self.places[w] = zlib.crc32(w.encode()) % self.dimensions
         return p
 
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, text: str | None, s: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+        """Of a text and its statistics."""
         counts = Counter((text or "").lower().split())
-        marks = shapes(statistics(text))
+        marks = shapes(s)
         at = np.fromiter(map(self._place, [*counts, *marks]), np.int64, len(counts) + len(marks))
         x = np.sqrt(np.fromiter(counts.values(), float, len(counts)))
         x = np.concatenate([x / max(1.0, float(np.sqrt((x * x).sum()))), np.full(len(marks), 1 / np.sqrt(max(1, len(marks))))])
@@ -140,7 +147,7 @@ class Features:
 def train(rows: list[tuple[str | None, float]], dimensions: int = DIMENSIONS, rounds: int = 6, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
     """Weights, the last one the bias: logistic regression on soft labels, steps scaled by past gradients."""
     features = Features(dimensions)
-    data = [(*features.of(t), y) for t, y in rows]
+    data = [(*features.of(t, statistics(t)), y) for t, y in rows]
     w, seen = np.zeros(dimensions + 1), np.full(dimensions + 1, 1e-2)
     order = np.random.default_rng(7)
     for _ in range(rounds):
@@ -158,39 +165,48 @@ def train(rows: list[tuple[str | None, float]], dimensions: int = DIMENSIONS, ro
 def _score(sent):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, share, rates = sent.value
-        features = Features(len(w) - 1)
+        features, known = Features(len(w) - 1), {}
         for f in frames:
             pattern, post, score = [], [], []
             for t in f["text"]:
-                v = votes(statistics(t))
-                at, x = features.of(t)
+                s = statistics(t)
+                v, (at, x) = votes(s), features.of(t, s)
+                if v not in known:  # at most one for each pattern
+                    known[v] = float(posterior(cast([v]), share, rates)[0])
                 pattern.append(v)
-                post.append(float(posterior(np.array([["01-".index(c) for c in v]]), share, rates)[0]))
+                post.append(known[v])
                 score.append(float(1 / (1 + np.exp(-(w[at] @ x + w[-1])))))
             yield pd.DataFrame({"doc_id": f["doc_id"], "votes": pattern, "posterior": post, "score": score})
 
     return run
 
 
-def classify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def classify(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> DataFrame:
     """doc_id, votes, posterior (of good, by the label model), score (of good, by the scorer) for each row.
 
-    Null and empty texts get a vote for bad from the labeller of sizes and none from others. No rows give none.
+    Null and empty texts get a vote for bad from the labeller of sizes and none from others. Repeated rows are rows of their
+    own with equal results, and count once in the sample; a null id is -1. A score of 0.5 is neither good nor bad here; the
+    query calls it good. Very long texts are read whole. Other columns are ignored, whatever their names. No rows give none.
     """
     spark = docs.sparkSession
     d = documents(docs)
-    schema = "doc_id long, text string, votes string"
-    voted = d.mapInPandas(_votes, schema)
+    voted = d.mapInPandas(_votes, "votes string")
     patterns = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     share, rates = label_model(patterns) if patterns else (0.5, np.full((len(NAMES), 2, 3), 1 / 3))
     total = max(1, sum(patterns.values()))
-    some = d.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, train_docs / total) * (1 << 30))))
-    labelled = [(r["doc_id"], r["text"], votes(statistics(r["text"]))) for r in some.toLocalIterator()]
-    v = np.array([["01-".index(c) for c in x] for _, _, x in labelled]).reshape(len(labelled), len(NAMES))
-    y = posterior(v, share, rates) if len(labelled) else []
+    # By a hash of id and text, repeated rows once: many rows with one id don't come or stay together.
+    place = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30))
+    some = d.withColumn("place", place).where(F.col("place") < F.lit(int(min(1.0, train_docs / total) * (1 << 30)))).dropDuplicates(["doc_id", "text"])
+    rows, chars = [], 0
+    for r in some.orderBy("place", "doc_id", "text").toLocalIterator():
+        chars += len(r["text"] or "")
+        if rows and chars > train_chars:
+            break
+        rows.append((r["doc_id"], r["text"]))
     # In order of ids, so the weights don't depend on how rows arrive.
-    rows = [(t, float(p)) for (_, t, _), p in sorted(zip(labelled, y, strict=True), key=lambda x: (x[0][0], x[0][1] or ""))]
-    w = train(rows)
+    rows = sorted(rows, key=lambda x: (x[0], x[1] or ""))
+    y = posterior(cast([votes(statistics(t)) for _, t in rows]), share, rates) if rows else []
+    w = train([(t, float(p)) for (_, t), p in zip(rows, y, strict=True)])
     return d.mapInPandas(_score(spark.sparkContext.broadcast((w, share, rates))), "doc_id long, votes string, posterior double, score double")
 
 
