@@ -251,8 +251,8 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, window: int
     each piece. Each id of each document, its end id included, lies in one piece; sequences are numbered from 0
     without gaps and hold at most window ids.
 
-    Null and empty texts are the end id alone. Rows that share an id are packed each for itself. No documents
-    give no rows.
+    Null and empty texts are the end id alone, a null id is -1. Rows that share an id are packed each for itself. Very long
+    texts are encoded whole and cut. Other columns are ignored, whatever their names. No documents give no rows.
     """
     spark, path = docs.sparkSession, path or default_path()
     pieces = documents(docs).mapInArrow(_tokenise(path, end_id, window), "doc_id long, start long, length int, doc_tokens long, ids binary")

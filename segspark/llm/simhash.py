@@ -208,14 +208,21 @@ def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield links
 
 
-def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (signed long), component_id; one row for each row of docs.
+def near_duplicates(docs: DataFrame, width: int = 3, similarity: float | None = None) -> DataFrame:
+    """doc_id, component_id and, without similarity, fp (signed long); one row for each row of docs.
 
-    Fingerprints at 3 or fewer differing bits link, those of texts without words (0) like any other;
+    With a similarity, documents link at that Jaccard similarity of their shingles or more, which is checked on the
+    shingles. Fingerprints can't propose such pairs (at 0.8 they differ in 10 bits on average and in up to 20, where
+    unrelated texts lie too), so segspark.llm.similar does, by minima of the same shingle hashes; its docstring has
+    the cases. Without one, fingerprints at 3 or fewer differing bits link, those of texts without words (0) like any other;
     component_id is the smallest doc_id reachable over links. Null texts count as empty, a null id as -1; very long
     texts are read whole. Rows with the same id are in the component of each of their texts' smallest id. Other columns are
     ignored, whatever their names. No rows give no rows.
     """
+    if similarity is not None:
+        from segspark.llm.similar import similar_documents  # it uses this module's forest
+
+        return similar_documents(docs, width, similarity)
     fps = cut(fingerprints(docs, width))
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     g = spread(classes.count())

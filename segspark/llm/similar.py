@@ -1,4 +1,5 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose pairs, the shingles decide.
+"""Near copies by the Jaccard similarity of word shingles, for simhash.near_duplicates with a similarity: MinHash bands
+propose pairs, the shingles decide.
 
 A document is the set of 64-bit hashes of its shingles; equal sets are one entry. BANDS band keys of ROWS minima each
 go with an entry; two entries are compared if they share a band and their sizes allow the similarity. A pair
@@ -194,8 +195,9 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: float = S
 
     Documents whose sets of shingles of width words have at least this Jaccard similarity link; fewer words are one
     shingle, and texts without words link with one another. component_id is the smallest doc_id reachable over links. Null
-    texts count as empty. Rows with the same id are in the component of each of their texts' smallest id. No
-    rows give no rows. Below 0.8 more pairs share no band: at 0.7 a chance of 2e-4.
+    texts count as empty, a null id as -1; very long texts are read whole, and a pair at exactly this similarity links. Rows
+    with the same id are in the component of each of their texts' smallest id. Other columns are ignored, whatever their
+    names. No rows give no rows. Below 0.8 more pairs share no band: at 0.7 a chance of 2e-4.
     """
     rows = stored(documents(docs).mapInPandas(_entries(width), "doc_id long, key long, n int, bands array<long>"), "bands")
     classes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
