@@ -35,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what earlier plans shuffled. Spark deletes shuffle files once the driver's garbage collector has seen that
+    nothing refers to them, which on a calm driver takes up to half an hour, while a loop of joins fills the disks."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a compressed table in the shared folder and read it back: smaller than a
     checkpoint, and read with column pruning."""

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segspark.llm.common import cut, documents, stored
+from segspark.llm.common import cut, documents, release, stored
 from segspark.llm.components import components
 from segspark.llm.simhash import Forest
 
@@ -206,6 +206,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: float = S
     shared = cut(entries.join(hubs, "band").select("band", "key", "n", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")))
     fits = lambda m, n: F.least(m, n) / F.greatest(m, n) >= F.lit(similarity)
     first = cut(shared.where((F.col("key") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("u"), F.col("key").alias("v")).distinct())
+    release(docs.sparkSession)
     links = _star(docs, classes, first, width, similarity)
     roots = cut(components(links))
     placed = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
