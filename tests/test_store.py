@@ -181,6 +181,118 @@ def test_commits_are_exclusive(store):
     assert store.log.load(None, "s").failures == 1
 
 
+def test_a_state_held_for_long_is_refused(store):
+    """Its successor's name was trimmed meanwhile, so the create itself would go through."""
+    held = store.log.update(None, "s", lambda s: {"failures": 0})
+    for i in range(12):
+        store.log.update(None, "s", lambda s, i=i: {"failures": i + 1})
+    before = store.log.files.names(store.log.files.path("log", "_default", "s"))
+    with pytest.raises(WriteConflictError):
+        store.log.commit(held, failures=99)
+    store.log.files.create(store.log._file(store.log._folder("_default", "s"), held.version), held.to_json())  # as if it hadn't been trimmed yet
+    with pytest.raises(WriteConflictError):
+        store.log.commit(held, failures=99)
+    store.log.files.delete(store.log._file(store.log._folder("_default", "s"), held.version))
+    assert store.log.files.names(store.log.files.path("log", "_default", "s")) == before
+    assert store.log.load(None, "s").failures == 12 and len(before) <= 4
+
+
+def test_a_commit_that_others_followed_at_once_holds(store, monkeypatch):
+    """Many commits between a writer's create and its look at the log."""
+    was, real, once = store.log.update(None, "s", lambda s: {"failures": 1}), store.log.files.create, []
+
+    def create(p, data):
+        real(p, data)
+        if not once:
+            once.append(1)
+            for i in range(10):
+                store.log.update(None, "s", lambda s, i=i: {"failures": 10 + i})
+
+    monkeypatch.setattr(store.log.files, "create", create)
+    mine = store.log.commit(was, failures=5)
+    assert mine.history[-1] in store.log.load(None, "s").history and store.log.load(None, "s").failures == 19
+
+
+def test_a_slow_claim_has_no_second_winner(store, monkeypatch):
+    s, real, slow = store.segment("c"), store.log.commit, []
+
+    def commit(was, **changes):
+        if not slow:  # the first caller's job takes long: another claims the same ids, and much is written after that
+            slow.append(1)
+            slow.append(ids(store.segment("c").claim_many([5, 6])))
+            for i in range(10):
+                store.segment("c").add_many([100 + i])
+        return real(was, **changes)
+
+    s.add(1)
+    monkeypatch.setattr(store.log, "commit", commit)
+    assert ids(s.claim_many([5, 6, 7])) == [7] and slow[1] == [5, 6]
+
+
+def test_half_written_states_are_read_again(store, monkeypatch):
+    store.log.update(None, "s", lambda s: {"failures": 3})
+    real, cut = store.log.files.read, []
+
+    def read(p):
+        data = real(p)
+        if len(cut) < 2:
+            cut.append(1)
+            return data[: len(data) // 2]
+        return data
+
+    monkeypatch.setattr(store.log.files, "read", read)
+    assert store.log.load(None, "s").failures == 3
+    monkeypatch.setattr(store.log.files, "read", lambda p: b"{")
+    with pytest.raises(IntegrityError):
+        store.log.load(None, "s")
+
+
+def test_forgotten_logs_refuse_their_old_writers(store):
+    store.segment("s").add(1)
+    held = store.log.load(None, "s")
+    m.drop(store, "s", confirm="s")
+    gone = store.log.load(None, "s")
+    assert not store.log.forget(held) and store.log.forget(gone)
+    with pytest.raises(WriteConflictError):
+        store.log.commit(held, failures=1)
+    assert not store.log.load(None, "s").registered
+
+
+def test_exclusive_creates_by_file_system(spark, tmp_path):
+    from segspark.errors import UnsupportedError
+    from segspark.sources.fs import CONDITIONAL, RIGHTS, Files, way_to_create
+
+    able = lambda *have: lambda c: c in have
+    assert [way_to_create("file", able()), way_to_create("hdfs", able()), way_to_create("abfss", able(RIGHTS)), way_to_create("s3a", able(CONDITIONAL))] == ["link", "rename", "rename", "conditional"]
+    for scheme in ("s3a", "abfss", "gs", "ftp"):
+        with pytest.raises(UnsupportedError):
+            way_to_create(scheme, able())
+    for way in ("link", "rename"):  # the rename through Hadoop's local file system
+        files = Files(spark, f"file://{tmp_path}/{way}")
+        files._way = way
+        files.create(files.path("a", "x.json"), b"one")
+        with pytest.raises(WriteConflictError):
+            files.create(files.path("a", "x.json"), b"two")
+        assert files.read(files.path("a", "x.json")) == b"one" and [n for n in files.names(files.path("a")) if not n.endswith(".crc")] == ["x.json"]
+
+
+def test_passing_faults_are_tried_again(spark, tmp_path):
+    from segspark.errors import TransientError
+    from segspark.sources.fs import Files
+
+    files, calls = Files(spark, f"file://{tmp_path}/f"), []
+
+    def run():
+        calls.append(1)
+        if len(calls) < 3:
+            raise TransientError("busy")
+        return 7
+
+    assert files._try(run) == 7 and len(calls) == 3
+    with pytest.raises(Exception, match="FileNotFound"):
+        files.read(files.path("nothing"))
+
+
 def test_retention(store, clock):
     past, future = NOW - m.DAY_MS, NOW + m.DAY_MS
     for name, at in (("old", past), ("due", NOW), ("new", future)):
