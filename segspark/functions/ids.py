@@ -50,9 +50,10 @@ def guarded(c: Column) -> Column:
     return F.when(ok, v).otherwise(F.raise_error(F.concat(F.lit("not an unsigned 32-bit id: "), F.coalesce(c.cast("string"), F.lit("null")))).cast("long"))
 
 
-def id_frame(spark: SparkSession, ids: DataFrame | Iterable[int], column: str = "id") -> DataFrame:
-    """One column, id, of distinct valid ids, from a DataFrame or from Python integers."""
+def id_frame(spark: SparkSession, ids: DataFrame | Iterable[int], column: str = "id", distinct: bool = True) -> DataFrame:
+    """One column, id, of valid ids (distinct ones, unless told otherwise), from a DataFrame or from Python integers."""
     if isinstance(ids, DataFrame):
-        return ids.select(guarded(F.col(column)).alias("id")).distinct()
+        rows = ids.select(guarded(F.col(column)).alias("id"))
+        return rows.distinct() if distinct else rows
     rows = [(v,) for v in sorted({check_id(v) for v in ids})]
     return spark.createDataFrame(rows, "id long")

@@ -5,9 +5,11 @@ Each works on one segment's log by optimistic commits; selection over the fleet
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
@@ -17,11 +19,10 @@ from pyspark.sql import functions as F
 from segspark.errors import ValidationError, WriteConflictError
 from segspark.functions.ids import check_id
 from segspark.functions.names import check_name, namespace_key
-from segspark.functions.shards import shard_of
+from segspark.functions.shards import shard_column
 from segspark.plans.budget import check_budget
-from segspark.plans.tiers import dirty_chunks
 from segspark.sources.log import State
-from segspark.store import MIN_EXPIRES_AT, SegmentStore, fleet
+from segspark.store import MIN_EXPIRES_AT, SegmentStore, fleet, fleet_dirty
 
 LEASE_MS = 10 * 60_000
 #: A segment that failed this often rests for this long.
@@ -46,10 +47,11 @@ class Outcome:
     dirty: int = 0
 
 
-def compact(store: SegmentStore, name: str, namespace: str | None = None, owner: str | None = None, keep: int = 1, verify: bool = True, step: Callable[[str], None] = lambda _: None) -> Outcome:
+def compact(store: SegmentStore, name: str, namespace: str | None = None, owner: str | None = None, keep: int = 1, verify: bool = True, renew_s: float = LEASE_MS / 3000, step: Callable[[str], None] = lambda _: None) -> Outcome:
     """Fold pending operations into the next generation.
 
-    The commit that makes it current also drops exactly the operations it folded, so there is no moment at which
+    Each attempt writes a folder of its own, which only its commit makes count, and its lease is renewed while it runs, so a
+    worker that outlives its lease changes and deletes nothing of another's. The commit that makes it current also drops exactly the operations it folded, so there is no moment at which
     an answer changes, and a crash anywhere leaves the old state with files that nothing refers to. step is called
     before each stage (for tests of crashes).
     """
@@ -72,14 +74,16 @@ def compact(store: SegmentStore, name: str, namespace: str | None = None, owner:
     except WriteConflictError:
         return no("leased-by-other")
     gen = 0 if pinned.current_gen is None else pinned.current_gen + 1
-    for orphan in [g for g in store.generations(ns, name) if g >= gen]:
-        store.delete_generation(ns, name, orphan)
-    step("stage")
-    key = store.key(pinned)
-    made = store.write_generation(ns, name, gen, store.effective(pinned), key)
-    step("verify")
-    if verify and not store.verify_generation(ns, name, gen, key):
-        store.delete_generation(ns, name, gen)
+    with _renewed(store, ns, name, owner, renew_s):
+        step("stage")
+        key = store.key(pinned)
+        made = store.write_generation(ns, name, gen, store.cold(pinned).select("id"), key, ops=store.pending(pinned))
+        attempt = made["attempt"]
+        step("verify")
+        ok = not verify or store.verify_generation(ns, name, gen, key, attempt)
+    if not ok:
+        store.delete_generation(ns, name, gen, attempt)
+        log.update(ns, name, lambda now: {"status": "active", "lease_owner": None, "lease_expires_at": None} if now.lease_owner == owner else None)
         return no("stage-conflict")
     folded = {p["path"] for p in pinned.pending}
     step("commit")
@@ -91,10 +95,11 @@ def compact(store: SegmentStore, name: str, namespace: str | None = None, owner:
         if lost:
             return None
         rest = tuple(p for p in now.pending if p["path"] not in folded)
-        return {"current_gen": gen, "gen_stats": made, "pending": rest, "status": "active", "lease_owner": None, "lease_expires_at": None, "last_compacted_at": log.now(), "failures": 0}
+        return {"current_gen": gen, "gen_attempt": attempt, "gen_stats": {k: v for k, v in made.items() if k != "attempt"}, "pending": rest, "status": "active", "lease_owner": None, "lease_expires_at": None, "last_compacted_at": log.now(), "failures": 0}
 
     after = log.update(ns, name, change)
     if lost:
+        store.delete_generation(ns, name, gen, attempt)
         return no(lost)
     step("purge")
     for path in folded:
@@ -104,9 +109,30 @@ def compact(store: SegmentStore, name: str, namespace: str | None = None, owner:
     return Outcome(ns, name, True, None, pinned.current_gen, gen, len(folded), len(after.pending), len(folded) + len(after.pending))
 
 
+@contextmanager
+def _renewed(store: SegmentStore, ns: str, name: str, owner: str, every_s: float) -> Iterator[None]:
+    """Keep a lease on a segment alive while the body runs."""
+    done = threading.Event()
+
+    def run() -> None:
+        while not done.wait(every_s):
+            try:
+                store.log.update(ns, name, lambda now: {"lease_expires_at": store.log.now() + LEASE_MS} if now.lease_owner == owner and now.status == "compacting" else None)
+            except Exception:  # the commit at the end finds out whether the lease still holds
+                continue
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        done.set()
+        thread.join()
+
+
 def collect_generations(store: SegmentStore, name: str, namespace: str | None = None, keep: int = 1) -> list[int]:
     """Delete generations below the current one but the newest keep; all of a destroyed segment; none where no
-    generation is current. What went."""
+    generation is current. What went. Attempts that lost against a generation go with it: their writers may still be at work on them."""
     ns = namespace_key(namespace)
     s = store.log.load(ns, name)
     gens = store.generations(ns, name)
@@ -141,30 +167,20 @@ def compactable(registry: DataFrame, now_ms: int, min_dirty: int = 1, limit: int
 
 def run_compaction_cycle(store: SegmentStore, max_segments: int = 64, min_dirty: int = 1, shard: tuple[int, int] | None = None, workers: int = 4) -> list[Outcome]:
     """Compact what is most worth it, by chunks with pending operations. One segment's failure is noted on it and doesn't stop the others."""
-    registry = store.registry()
-    at = [(r["namespace"], r["segment"], r["batches"]) for r in registry.where("status <> 'destroyed' and size(pending) > 0").select("namespace", "segment", F.size("pending").alias("batches")).collect()]
-
-    def dirty(ns: str | None, name: str, batches: int) -> int:
-        try:
-            ops = store.pending(store.log.load(ns, name))
-            return 0 if ops is None else dirty_chunks(ops).first()["dirty"]
-        except Exception:  # its compaction is tried, and the failure noted on it
-            return max(batches, min_dirty)
-
-    with ThreadPoolExecutor(max(1, workers)) as pool:
-        counts = list(pool.map(lambda r: (r[0], r[1], dirty(*r)), [r for r in at if not shard or shard_of(*r[:2], shard[1]) == shard[0]]))
-    held = store.spark.createDataFrame(counts, "ns string, name string, dirty long")
-    registry = registry.join(held, F.col("namespace").eqNullSafe(F.col("ns")) & (F.col("segment") == F.col("name")), "left")
-    registry = registry.withColumn("dirty", F.coalesce("dirty", F.lit(0)))
-    rows = [(r["namespace"], r["segment"]) for r in compactable(registry, store.log.now(), min_dirty, None if shard else max_segments).collect()]
+    registry = store.registry().join(fleet_dirty(store), ["namespace", "segment"], "left")
+    # A segment whose batches can't be read is tried all the same, and the failure noted on it.
+    registry = registry.withColumn("dirty", F.coalesce("dirty", F.when(F.size("pending") > 0, F.lit(min_dirty)).otherwise(0).cast("long")))
     if shard:
-        rows = [r for r in rows if shard_of(*r, shard[1]) == shard[0]][:max_segments]
+        registry = registry.where(shard_column(F.col("namespace"), F.col("segment"), shard[1]) == shard[0])
+    rows = [(r["namespace"], r["segment"]) for r in compactable(registry, store.log.now(), min_dirty, max_segments).collect()]
 
     def one(at: tuple[str, str]) -> Outcome:
+        owner = uuid.uuid4().hex
         try:
-            return compact(store, at[1], at[0])
+            return compact(store, at[1], at[0], owner=owner)
         except Exception as e:
-            store.log.update(*at, lambda s: {"failures": s.failures + 1, "status": "active" if s.status == "compacting" else s.status, "lease_owner": None})
+            # Only what this worker holds is let go of.
+            store.log.update(*at, lambda s: {"failures": s.failures + 1} | ({"status": "active", "lease_owner": None} if s.lease_owner == owner and s.status == "compacting" else {}))
             return Outcome(*at, False, f"error: {e}")
 
     with ThreadPoolExecutor(max(1, workers)) as pool:
@@ -299,7 +315,7 @@ def drop(store: SegmentStore, name: str, namespace: str | None = None, *, confir
     if not s.registered and not gens:
         return {"dropped": had_warm, "reason": "warm-only" if had_warm else "absent", "generationsRemaining": []}
     already = s.status == "destroyed"
-    log.update(ns, name, lambda now: None if now.status == "destroyed" else {"status": "destroyed", "pending": (), "current_gen": None, "gen_stats": None, "wrapped_keys": (), "lease_owner": None, "destroyed_at": log.now()})
+    log.update(ns, name, lambda now: None if now.status == "destroyed" else {"status": "destroyed", "pending": (), "current_gen": None, "gen_attempt": None, "gen_stats": None, "claims": (), "wrapped_keys": (), "lease_owner": None, "destroyed_at": log.now()})
     log.files.delete(warm)
     for _ in range(sweeps):
         for g in store.generations(ns, name):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segspark.crypto import Keyring, seal, unseal
-from segspark.errors import BudgetExceededError, IntegrityError, KeyUnavailableError, ValidationError, WriteConflictError
+from segspark.errors import BudgetExceededError, IntegrityError, KeyUnavailableError, NotFoundError, ValidationError, WriteConflictError
 from segspark.functions import cost
 from segspark.functions.ids import check_id, chunk_key, id_frame
 from segspark.functions.names import check_name, namespace_key
@@ -32,7 +32,7 @@ from segspark.metrics import Safe, Sink
 from segspark.operators import algebra
 from segspark.plans import index as chunks
 from segspark.plans.budget import check_budget, resolve_budget
-from segspark.plans.tiers import overlay
+from segspark.plans.tiers import overlay, resolve
 from segspark.retry import CONFLICTS, with_retry
 from segspark.sources.log import SegmentLog, State
 from segspark.sources.roaring import decode_chunks, encode_chunks
@@ -77,11 +77,12 @@ class SegmentStore:
 
     # Files of a state
 
-    def generation_path(self, ns: str, name: str, gen: int) -> str:
-        return self.log.files.path("cold", f"ns={ns}", f"segment={name}", f"gen={gen}")
+    def generation_path(self, ns: str, name: str, gen: int, attempt: str | None = None) -> str:
+        """Of all attempts to write a generation, or of one: no two writers share a folder, and the state says whose counts."""
+        return self.log.files.path("cold", f"ns={ns}", f"segment={name}", f"gen={gen}", *([f"attempt={attempt}"] if attempt else []))
 
-    def index_path(self, ns: str, name: str, gen: int) -> str:
-        return self.log.files.path("index", f"ns={ns}", f"segment={name}", f"gen={gen}")
+    def index_path(self, ns: str, name: str, gen: int, attempt: str | None = None) -> str:
+        return self.log.files.path("index", f"ns={ns}", f"segment={name}", f"gen={gen}", *([f"attempt={attempt}"] if attempt else []))
 
     def warm_path(self, ns: str, name: str) -> str:
         return self.log.files.path("warm", f"ns={ns}", f"segment={name}")
@@ -110,10 +111,10 @@ class SegmentStore:
         """id, chunk_key, kb of the current generation, or of one of its folders; kb is the folder, so chunk ranges prune folders."""
         if s.current_gen is None or s.status == "destroyed":
             return self.empty("chunk_key int, id long, kb int")
-        return self._generation(s.namespace, s.segment, s.current_gen, self.key(s), kb)
+        return self._generation(s.namespace, s.segment, s.current_gen, s.gen_attempt, self.key(s), kb)
 
-    def _generation(self, ns: str, name: str, gen: int, key: bytes | None, kb: int | None = None) -> DataFrame:
-        path = self.generation_path(ns, name, gen)
+    def _generation(self, ns: str, name: str, gen: int, attempt: str | None, key: bytes | None, kb: int | None = None) -> DataFrame:
+        path = self.generation_path(ns, name, gen, attempt)
         rows = self.spark.read.schema("chunk_key int, sealed binary, kb int" if key else "chunk_key int, id long, kb int").parquet(path)
         if kb is not None:
             rows = rows.where(F.col("kb") == kb)
@@ -125,7 +126,7 @@ class SegmentStore:
     def cold_index(self, s: State) -> DataFrame:
         if s.current_gen is None or s.status == "destroyed":
             return self.empty(INDEX)
-        return self.spark.read.schema(INDEX).parquet(self.index_path(s.namespace, s.segment, s.current_gen))
+        return self.spark.read.schema(INDEX).parquet(self.index_path(s.namespace, s.segment, s.current_gen, s.gen_attempt))
 
     def pending(self, s: State) -> DataFrame | None:
         """id, add, seq of all pending operations; None if there are none. Raises BudgetExceededError beyond the ceiling."""
@@ -167,7 +168,7 @@ class SegmentStore:
         never changes, so planning a combination of clean segments needs no job."""
         if s.current_gen is None or s.status == "destroyed":
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = self.index_path(s.namespace, s.segment, s.current_gen)
+        at = self.index_path(s.namespace, s.segment, s.current_gen, s.gen_attempt)
         with self._lock:
             if at in self._indexes:
                 self._indexes[at] = self._indexes.pop(at)
@@ -208,7 +209,7 @@ class SegmentStore:
     def _live(self, s: State) -> State:
         """Writing to a destroyed segment makes it anew."""
         if s.status == "destroyed":
-            s = self.log.commit(s, status="active", current_gen=None, gen_stats=None, pending=(), wrapped_keys=(), retention=None, destroyed_at=None)
+            s = self.log.commit(s, status="active", current_gen=None, gen_attempt=None, gen_stats=None, pending=(), claims=(), wrapped_keys=(), retention=None, destroyed_at=None)
         return self._with_key(s)
 
     def write_ops(self, ns: str, name: str, ops: DataFrame) -> State | None:
@@ -235,52 +236,85 @@ class SegmentStore:
 
         return with_retry(once, CONFLICTS, lambda e: isinstance(e, WriteConflictError))
 
-    def write_generation(self, ns: str, name: str, gen: int, ids: DataFrame, key: bytes | None = None) -> dict[str, int]:
-        """Write distinct ids as generation gen: files sorted by id in folders of chunk keys (sealed bitmaps of
-        chunks with a key), then the index made from what was written. Fails if the generation is there."""
-        spark, path = self.spark, self.generation_path(ns, name, gen)
+    def write_generation(self, ns: str, name: str, gen: int, ids: DataFrame, key: bytes | None = None, distinct: bool = True, ops: DataFrame | None = None) -> dict[str, Any]:
+        """Write ids, with pending operations (id, add, seq) on top if there are any, as an attempt at generation gen: files sorted by id in folders of chunk keys (sealed bitmaps of
+        chunks with a key), and the index. What it holds, and the attempt's name under "attempt".
+
+        One exchange by folder, in which repeats and operations meet, serves the distinct ids and their order; a folder is at most 2**24 ids
+        and a segment has at most 256. The index is counted on what was written, which needs no exchange of ids.
+        """
+        attempt = uuid.uuid4().hex
+        path, index_path = self.generation_path(ns, name, gen, attempt), self.index_path(ns, name, gen, attempt)
         folder = F.expr(f"int(chunk_key div {KEYS_PER_FOLDER})")
         if key:
-            rows = encode_chunks(ids).withColumnRenamed("bitmap", "payload").withColumn("generation", F.lit(gen))
+            ids = overlay(ids, ops) if ops is not None else ids
+            rows = encode_chunks(ids if distinct else ids.distinct()).withColumnRenamed("bitmap", "payload").withColumn("generation", F.lit(gen))
             seal(rows, key, ns, name).select("chunk_key", "sealed", folder.alias("kb")).write.partitionBy("kb").parquet(path)
+            if any(n.startswith("kb=") for n in self.log.files.names(path)):
+                index = chunks.chunk_index(self._generation(ns, name, gen, attempt, key))
+            else:
+                index = self.empty(INDEX)
+            index.repartition(1).write.parquet(index_path)
         else:
-            # By folder, of which a segment has at most 256 with at most 2**24 ids each: one file a folder, sorted by id.
-            rows = ids.select(chunk_key().alias("chunk_key"), "id").withColumn("kb", folder)
-            rows.repartition("kb").sortWithinPartitions("kb", "id").write.partitionBy("kb").parquet(path)
-        if not any(n.startswith("kb=") for n in self.log.files.names(path)):
-            index = self.empty(INDEX)
-        else:
-            index = chunks.chunk_index(self._generation(ns, name, gen, key))
-        index.repartition(1).write.parquet(self.index_path(ns, name, gen))
-        row = spark.read.schema(INDEX).parquet(self.index_path(ns, name, gen)).agg(F.count("*").alias("chunk_count"), F.coalesce(F.sum("cardinality"), F.lit(0)).alias("cardinality"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("size"), F.coalesce(F.sum("checksum"), F.lit(0)).alias("checksum")).first()
-        return row.asDict()
-
-    def verify_generation(self, ns: str, name: str, gen: int, key: bytes | None = None) -> bool:
-        """Read the generation again: each chunk's cardinality and checksum against the index."""
-        if not self.log.files.exists(self.generation_path(ns, name, gen)):
+            # What is distinct by (kb, id) stands on the exchange by kb; it needs none of its own.
+            kb = F.expr(f"int((id >> 16) div {KEYS_PER_FOLDER})").alias("kb")
+            if ops is not None:
+                base = ids.select("id", F.lit(True).alias("add"), F.lit(-1).cast("long").alias("seq"))
+                rows = base.unionByName(ops.select("id", "add", "seq")).select(kb, "id", "add", "seq").repartition("kb")
+                rows = resolve(rows, "kb").where("add").select("id", "kb")
+            else:
+                rows = ids.select("id", kb).repartition("kb")
+                rows = rows if distinct else rows.dropDuplicates(["kb", "id"])
+            # A sort by one number is several times quicker than one by folder and id, and the order is the same. The writer adds its
+            # own sort by folder, which keeps it; the filter, always true, keeps the optimizer from dropping the first.
+            rows = rows.sortWithinPartitions("id").where(F.spark_partition_id() >= 0).select(chunk_key().alias("chunk_key"), "id", "kb")
+            rows.write.partitionBy("kb").parquet(path)
+            made = self._generation(ns, name, gen, attempt, None) if any(n.startswith("kb=") for n in self.log.files.names(path)) else self.empty("chunk_key int, id long, kb int")
+            chunks.chunk_index(made).repartition(1).write.parquet(index_path)
+        row = self.spark.read.schema(INDEX).parquet(index_path).agg(F.count("*").alias("chunk_count"), F.coalesce(F.sum("cardinality"), F.lit(0)).alias("cardinality"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("size"), F.coalesce(F.sum("checksum"), F.lit(0)).alias("checksum")).first()
+        return row.asDict() | {"attempt": attempt}
+
+    def verify_generation(self, ns: str, name: str, gen: int, key: bytes | None = None, attempt: str | None = None) -> bool:
+        """Read the generation again: each chunk's cardinality and checksum against the index. Without an attempt, the one
+        that the state names."""
+        if attempt is None:
+            s = self.log.load(ns, name)
+            attempt = s.gen_attempt if s.current_gen == gen else None
+        if not self.log.files.exists(self.generation_path(ns, name, gen, attempt)):
             return False
-        stored = self.spark.read.schema(INDEX).parquet(self.index_path(ns, name, gen))
-        made = chunks.chunk_index(self._generation(ns, name, gen, key))
+        stored = self.spark.read.schema(INDEX).parquet(self.index_path(ns, name, gen, attempt))
+        made = chunks.chunk_index(self._generation(ns, name, gen, attempt, key))
         one = stored.select("chunk_key", "cardinality", "checksum", F.lit(1).alias("side")).unionByName(made.select("chunk_key", "cardinality", "checksum", F.lit(2).alias("side")))
         return one.groupBy("chunk_key", "cardinality", "checksum").agg(F.sum("side").alias("sides")).where("sides <> 3").limit(1).count() == 0
 
+    def attempts(self, ns: str, name: str, gen: int) -> list[str]:
+        return [x[8:] for x in self.log.files.names(self.generation_path(ns, name, gen)) if x.startswith("attempt=")]
+
     def generations(self, ns: str, name: str) -> list[int]:
         return sorted(int(x[4:]) for x in self.log.files.names(self.log.files.path("cold", f"ns={ns}", f"segment={name}")) if x.startswith("gen="))
 
-    def delete_generation(self, ns: str, name: str, gen: int) -> None:
-        self.log.files.delete(self.generation_path(ns, name, gen))
-        self.log.files.delete(self.index_path(ns, name, gen))
-
-    def publish(self, ns: str, name: str, gen: int, stats: dict[str, int] | None = None) -> bool:
-        """Make gen current unless a newer one is; whether it is current now."""
-        done = False
+    def delete_generation(self, ns: str, name: str, gen: int, attempt: str | None = None) -> None:
+        self.log.files.delete(self.generation_path(ns, name, gen, attempt))
+        self.log.files.delete(self.index_path(ns, name, gen, attempt))
+
+    def publish(self, ns: str, name: str, gen: int, stats: dict[str, Any] | None = None) -> bool:
+        """Make the attempt of stats at gen current unless that or a newer generation is another's; whether it is current.
+        Without stats there must be one attempt, and counts come from its index."""
+        if stats is None:
+            at = self.attempts(ns, name, gen)
+            if len(at) != 1:
+                raise NotFoundError(f"{ns}/{name}: generation {gen} has {len(at)} attempts")
+            stats = {"attempt": at[0]}
+        done, attempt = False, stats["attempt"]
+        held = {k: v for k, v in stats.items() if k != "attempt"} or None
 
         def change(s: State) -> dict[str, Any] | None:
             nonlocal done
             if s.status == "destroyed":
                 raise ValidationError(f"{ns}/{name} is destroyed")
-            done = s.current_gen is None or s.current_gen <= gen
-            return {"current_gen": gen, "gen_stats": stats} if s.current_gen is None or s.current_gen < gen else None
+            newer = s.current_gen is None or s.current_gen < gen
+            done = newer or (s.current_gen == gen and s.gen_attempt == attempt)
+            return {"current_gen": gen, "gen_attempt": attempt, "gen_stats": held} if newer else None
 
         self.log.update(ns, name, change)
         self.audit.event("publish", namespace=ns, segment=name, generation=gen, current=done)
@@ -288,16 +322,21 @@ class SegmentStore:
 
     def bulk_load(self, name: str, ids: DataFrame | Iterable[int], namespace: str | None = None, column: str = "id") -> dict[str, Any]:
         """Unsorted ids with repeats become the next generation and are published: what the generation holds
-        replaces the cold tier; pending operations stay on top."""
+        replaces the cold tier; pending operations stay on top. Of two loads at once, the later commit wins: a load whose
+        number another took writes its ids again under the next."""
         ns, name = namespace_key(namespace), check_name(name)
-        s = self.log.load(ns, name)
-        if s.status == "destroyed":
-            raise ValidationError(f"{ns}/{name} is destroyed")
-        s = self._with_key(s)
-        gens = self.generations(ns, name)
-        gen = max([-1 if s.current_gen is None else s.current_gen, *gens]) + 1
-        made = self.write_generation(ns, name, gen, id_frame(self.spark, ids, column), self.key(s))
-        return made | {"generation": gen, "current": self.publish(ns, name, gen, made)}
+        for _ in range(CONFLICTS.attempts):
+            s = self.log.load(ns, name)
+            if s.status == "destroyed":
+                raise ValidationError(f"{ns}/{name} is destroyed")
+            s = self._with_key(s)
+            gens = self.generations(ns, name)
+            gen = max([-1 if s.current_gen is None else s.current_gen, *gens]) + 1
+            made = self.write_generation(ns, name, gen, id_frame(self.spark, ids, column, distinct=False), self.key(s), distinct=False)
+            if self.publish(ns, name, gen, made):
+                return made | {"generation": gen, "current": True}
+            self.delete_generation(ns, name, gen, made["attempt"])
+        raise WriteConflictError(f"{ns}/{name}: other loads were first")
 
 
 class Segment:
@@ -480,22 +519,30 @@ class Segment:
     def remove_many(self, ids: DataFrame | Iterable[int]) -> None:
         self._write(ids, False)
 
-    def claim_many(self, ids: DataFrame | Iterable[int]) -> DataFrame:
+    def claim_many(self, ids: DataFrame | Iterable[int], tag: tuple[str, int] | None = None) -> DataFrame:
         """Add ids and return those that weren't there; each id has one winner among all callers.
 
         What is new is computed against a state, and committed as that state's next version: if another writer
-        commits first, it is computed again from nothing.
+        commits first, it is computed again from nothing. A tag (a stream's name and the number of its batch) is committed with
+        the claim, and the same claim again returns the same winners, as a stream does that repeats its last batch.
         """
         wanted = id_frame(self.store.spark, ids)
 
         def once() -> DataFrame:
             s = self.state()
+            for c in s.claims if tag else ():
+                if (c["query"], c["number"]) == tag:
+                    return self._winners(s, c)
             fresh = wanted.join(self.store.effective(s), "id", "left_anti")
-            return self._commit_claim(s, fresh)
+            return self._commit_claim(s, fresh, tag)
 
         return with_retry(once, CONFLICTS, lambda e: isinstance(e, WriteConflictError))
 
-    def _commit_claim(self, s: State, fresh: DataFrame) -> DataFrame:
+    def _winners(self, s: State, c: dict[str, Any]) -> DataFrame:
+        store, key = self.store, self.store.key(s)
+        return store._opened(s, c | {"seq": 0}, key).select("id") if key else store.spark.read.schema(OPS).parquet(c["path"]).select("id")
+
+    def _commit_claim(self, s: State, fresh: DataFrame, tag: tuple[str, int] | None) -> DataFrame:
         store, batch = self.store, uuid.uuid4().hex
         s = store._live(s)
         path = f"{store.warm_path(self.namespace, self.name)}/seq={s.next_seq}/{batch}"
@@ -503,11 +550,22 @@ class Segment:
         entry = {"path": path, "seq": s.next_seq, "n": n, "batch": batch}
         won = store.pending(replace(s, pending=(entry,))).select("id")
         if n:
+            changes: dict[str, Any] = {"pending": (*s.pending, entry), "next_seq": s.next_seq + 1}
+            old, copy = [], None
+            if tag:
+                # A copy of its own, as a compaction may fold the batch before the stream asks again.
+                copy = store.log.files.path("claims", f"{self.namespace}~{self.name}", batch)
+                store._write_batch(s, batch, copy, won.select("id", F.lit(True).alias("add")))
+                old = [c for c in s.claims if c["query"] == tag[0]]
+                changes["claims"] = (*(c for c in s.claims if c["query"] != tag[0]), {"query": tag[0], "number": tag[1], "path": copy, "batch": batch})
             try:
-                store.log.commit(s, pending=(*s.pending, entry), next_seq=s.next_seq + 1)
+                store.log.commit(s, **changes)
             except WriteConflictError:
-                store.log.files.delete(path)
+                for gone in filter(None, (path, copy)):
+                    store.log.files.delete(gone)
                 raise
+            for c in old:
+                store.log.files.delete(c["path"])
         store.metrics.event("claim_many", won=n)
         return won
 
@@ -541,9 +599,9 @@ def fleet(store: SegmentStore, namespace: str | None = None) -> DataFrame:
     keys = ["namespace", "segment"]
     cold, ops = store.empty("namespace string, segment string, id long"), None
     if files.names(files.path("cold")):
-        rows = spark.read.schema("id long, ns string, segment string, gen long, kb int").parquet(files.path("cold")).withColumnRenamed("ns", "namespace")
-        current = clear.where("current_gen is not null").select(*keys, F.col("current_gen").alias("gen"))
-        cold = rows.where("id is not null").join(current, [*keys, "gen"], "left_semi").select(*keys, "id")
+        rows = spark.read.schema("id long, ns string, segment string, gen long, attempt string, kb int").parquet(files.path("cold")).withColumnRenamed("ns", "namespace")
+        current = clear.where("current_gen is not null").select(*keys, F.col("current_gen").alias("gen"), F.col("gen_attempt").alias("attempt"))
+        cold = rows.where("id is not null").join(current, [*keys, "gen", "attempt"], "left_semi").select(*keys, "id")
     if files.names(files.path("warm")):
         rows = spark.read.schema("id long, add boolean, ns string, segment string, seq long").parquet(files.path("warm")).withColumnRenamed("ns", "namespace")
         # A batch's folder, too: a claim that lost its race and then its driver leaves one that doesn't count.
@@ -557,4 +615,17 @@ def fleet(store: SegmentStore, namespace: str | None = None) -> DataFrame:
     return out
 
 
-__all__ = ["Segment", "SegmentStore", "fleet"]
+def fleet_dirty(store: SegmentStore) -> DataFrame:
+    """namespace, segment, dirty: chunks with pending operations of all live segments, sealed ones too (their chunk keys are in
+    clear), in one scan of the batches that the registry names."""
+    spark, files, keys = store.spark, store.log.files, ["namespace", "segment"]
+    if not files.names(files.path("warm")):
+        return store.empty("namespace string, segment string, dirty long")
+    rows = spark.read.schema("id long, chunk_key int, ns string, segment string, seq long").parquet(files.path("warm")).withColumnRenamed("ns", "namespace")
+    rows = rows.withColumn("batch", F.regexp_extract("_metadata.file_path", "/seq=[0-9]+/([0-9a-f]+)/", 1))
+    held = store.registry().where("status <> 'destroyed'").select(*keys, F.explode("pending").alias("p")).select(*keys, "p.seq", "p.batch")
+    chunk = F.coalesce(chunk_key(), F.col("chunk_key")).alias("chunk")
+    return rows.join(held, [*keys, "seq", "batch"], "left_semi").select(*keys, chunk).groupBy(*keys).agg(F.countDistinct("chunk").alias("dirty"))
+
+
+__all__ = ["Segment", "SegmentStore", "fleet", "fleet_dirty"]

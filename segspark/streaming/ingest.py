@@ -50,11 +50,12 @@ def ingest(store: SegmentStore, query: str, segment: str, namespace: str | None
 
 def claim(store: SegmentStore, query: str, segment: str, sink: Callable[[DataFrame, int], None], namespace: str | None = None, column: str = "id") -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: claim each batch's ids and hand the winners to sink. An id that was removed
-    from the segment meanwhile can be claimed again, which dropDuplicates can't do."""
+    from the segment meanwhile can be claimed again, which dropDuplicates can't do. The claim is committed together with the
+    batch's number, so if the sink fails and Spark repeats the batch, the sink gets the same winners again."""
 
     def run(batch: DataFrame, number: int) -> None:
         if _once(store, query, number):
-            won = store.segment(segment, namespace).claim_many(batch.select(F.col(column).alias("id")))
+            won = store.segment(segment, namespace).claim_many(batch.select(F.col(column).alias("id")), tag=(query, number))
             sink(won, number)
             _done(store, query, number, {"segment": segment})
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -293,6 +294,79 @@ def test_passing_faults_are_tried_again(spark, tmp_path):
         files.read(files.path("nothing"))
 
 
+def test_a_worker_that_outlives_its_lease_harms_nobody(store, clock):
+    """A second worker compacts while the first is still writing: both write apart, one is published."""
+    store.bulk_load("s", [1, 2, 3])
+    s = store.segment("s")
+    s.add_many([4])
+    second = []
+
+    def step(at):
+        if at == "verify" and not second:
+            second.append(1)
+            clock.ms += m.LEASE_MS + 1
+            second.append(m.compact(store, "s", owner="two"))
+            s.add(5)
+
+    first = m.compact(store, "s", owner="one", step=step)
+    assert second[1].compacted and not first.compacted and first.reason == "superseded"
+    assert ids(s.ids()) == [1, 2, 3, 4, 5] and s.count() == 5
+    assert store.verify_generation("_default", "s", 1)
+    assert m.check_consistency(store)["inconsistent"] == []
+
+
+def test_leases_are_renewed(store, clock):
+    s = store.segment("s")
+    s.add(1)
+    seen = []
+
+    def step(at):
+        if at == "verify":
+            clock.ms += m.LEASE_MS - 1000
+            time.sleep(0.5)
+            clock.ms += 2000
+            seen.append(m.compact(store, "s", owner="other").reason)
+
+    assert m.compact(store, "s", owner="one", renew_s=0.05, step=step).compacted
+    assert seen == ["leased-by-other"]
+
+
+def test_two_loads_at_once(store, monkeypatch):
+    real, other = store.publish, []
+
+    def publish(ns, name, gen, stats=None):
+        if not other:
+            other.append(1)
+            store.bulk_load("s", [7])
+        return real(ns, name, gen, stats)
+
+    monkeypatch.setattr(store, "publish", publish)
+    assert store.bulk_load("s", [1, 2])["current"]
+    assert ids(store.segment("s").ids()) == [1, 2]
+
+
+def test_a_failed_sink_gets_its_winners_again(store):
+    from segspark.streaming.ingest import claim
+
+    spark, got = store.spark, []
+
+    def sink(df, n):
+        got.append(ids(df))
+        if len(got) == 1:
+            raise RuntimeError("sink")
+
+    run = claim(store, "q", "s", sink)
+    batch = spark.createDataFrame([(1,), (2,), (2,)], "id long")
+    with pytest.raises(RuntimeError):
+        run(batch, 0)
+    m.compact(store, "s")  # the claim's batch is folded meanwhile
+    run(batch, 0)
+    run(batch, 0)  # done by now
+    run(spark.createDataFrame([(2,), (3,)], "id long"), 1)
+    assert got == [[1, 2], [1, 2], [3]]
+    assert len(store.log.load(None, "s").claims) == 1
+
+
 def test_retention(store, clock):
     past, future = NOW - m.DAY_MS, NOW + m.DAY_MS
     for name, at in (("old", past), ("due", NOW), ("new", future)):
