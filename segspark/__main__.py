@@ -1,4 +1,4 @@
-"""python -m segspark {compact,retire,export,check} --root FOLDER ...; settings also from SEGSPARK_* variables."""
+"""python -m segspark {compact,retire,export,check,cycle} --root FOLDER ...; settings also from SEGSPARK_* variables."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from segspark.lifecycle import MaintenanceLoop
+from segspark.lifecycle import MaintenanceLoop, run_cycle
 from segspark.operators.maintenance import check_consistency, export, retire_expired, run_compaction_cycle
 from segspark.store import SegmentStore
 
@@ -17,7 +17,7 @@ from segspark.store import SegmentStore
 def parser() -> argparse.ArgumentParser:
     env = os.environ.get
     p = argparse.ArgumentParser(prog="segspark")
-    p.add_argument("command", choices=("compact", "retire", "export", "check"))
+    p.add_argument("command", choices=("compact", "retire", "export", "check", "cycle"))
     p.add_argument("--root", default=env("SEGSPARK_ROOT"), help="the store's folder")
     p.add_argument("--max-segments", type=int, default=int(env("SEGSPARK_MAX_SEGMENTS", "64")))
     p.add_argument("--min-dirty", type=int, default=int(env("SEGSPARK_MIN_DIRTY", "1")))
@@ -49,6 +49,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             r = retire_expired(store, a.limit, a.dry_run)
             rows = [x.asDict() for x in r["ledger"].collect()]
             return {"eligible": r["eligible"], "limited": r["limited"], "ledger": rows}, not any(x["action"] == "failed" for x in rows)
+        if a.command == "cycle":
+            r = run_cycle(store, a.max_segments, a.min_dirty)
+            return {k: len(v) if isinstance(v, list) else {x: v[x] for x in v if x != "ledger"} if isinstance(v, dict) else v for k, v in r.items()}, True
         if a.command == "export":
             m = export(store, a.target, a.format, a.namespace)
             return m, not m["failed"]

@@ -222,7 +222,20 @@ def set_retention(store: SegmentStore, name: str, expires_at: int, namespace: st
             raise ValidationError(f"{name} is destroyed")
         return {"retention": (s.retention or {}) | {"expiresAt": expires_at}}
 
-    store.log.update(namespace_key(namespace), check_name(name), change)
+    ns, name = namespace_key(namespace), check_name(name)
+    # The mark comes first: one too many is dropped by the sweep, one too few would wait for a scan of the fleet.
+    store.log.files.touch(due_path(store, expires_at // DAY_MS, ns, name))
+    store.log.update(ns, name, change)
+
+
+def due_path(store: SegmentStore, bucket: int, *at: str) -> str:
+    """The due index: a folder for each day with a mark for each segment whose expiry was set to that day."""
+    return store.log.files.path("due", f"{bucket:08d}", *(["~".join(at)] if at else []))
+
+
+def due_marks(store: SegmentStore, now_ms: int, lookback: int = LOOKBACK_BUCKETS) -> list[tuple[int, str, str]]:
+    """(bucket, namespace, segment) marked for today and the days before it; other days aren't listed."""
+    return [(day, *mark.split("~", 1)) for day in due_buckets_at(now_ms, lookback) for mark in store.log.files.names(due_path(store, day))]
 
 
 def get_retention(store: SegmentStore, name: str, namespace: str | None = None) -> tuple[str, int | None]:
@@ -256,43 +269,56 @@ def due(rows: DataFrame, now_ms: int) -> DataFrame:
 LEDGER = "namespace string, segment string, action string, expires_at long, reason string, fault string"
 
 
-def retire_expired(store: SegmentStore, limit: int = RETIRE_LIMIT, dry_run: bool = False, grace_ms: int = TOMBSTONE_GRACE_MS) -> dict[str, Any]:
+def retire_expired(store: SegmentStore, limit: int = RETIRE_LIMIT, dry_run: bool = False, grace_ms: int = TOMBSTONE_GRACE_MS, scan: bool = True, lookback: int = LOOKBACK_BUCKETS) -> dict[str, Any]:
     """Drop segments whose time has come, at most limit attempts, and forget tombstones after their grace.
-    The policy is read again just before each drop. Returns counts and a ledger DataFrame."""
-    now, ledger, eligible = store.log.now(), [], 0
-    registry = store.registry()
-    value = registry["retention"]["expiresAt"]
-    rows = registry.select("namespace", "segment", "status", "destroyed_at", value.cast("long").alias("expires_at"), policy_state(F.col("retention").isNotNull(), F.lit(True), value).alias("policy"))
-    rows = rows.where("policy <> 'none' or status = 'destroyed'").orderBy("expires_at", "namespace", "segment")
+    The policy is read again just before each drop. Returns counts and a ledger DataFrame.
+
+    A scan asks the whole registry, of which only what is due comes to the driver, at most limit rows of each kind; it also
+    finds invalid policies and tombstones, and puts marks that are missing. Without one, only the due index of the last days is read.
+    """
+    now, ledger, eligible, files = store.log.now(), [], 0, store.log.files
     limited = False
-    for r in rows.toLocalIterator():
-        at = (r["namespace"], r["segment"])
-        if r["status"] == "destroyed":
-            if r["destroyed_at"] is not None and r["destroyed_at"] + grace_ms <= now and not dry_run:
-                store.log.files.delete(store.log.files.path("log", *at))
-                ledger.append((*at, "forgot", r["expires_at"], None, None))
-            continue
-        if r["policy"] == "invalid":
-            ledger.append((*at, "skipped", None, "invalid-policy", None))
-            continue
-        if r["expires_at"] > now:
-            continue
+    if scan:
+        registry = store.registry()
+        value = registry["retention"]["expiresAt"]
+        rows = registry.select("namespace", "segment", "status", "destroyed_at", value.cast("long").alias("expires_at"), policy_state(F.col("retention").isNotNull(), F.lit(True), value).alias("policy"))
+        live = rows.where("status <> 'destroyed'")
+        wrong = live.where("policy = 'invalid'").orderBy("namespace", "segment").limit(limit).collect()
+        ledger += [(r["namespace"], r["segment"], "skipped", None, "invalid-policy", None) for r in wrong]
+        found = due(live.where("policy = 'ok'"), now).orderBy("expires_at", "namespace", "segment").limit(limit + 1).collect()
+        at = [(r["expires_at"] // DAY_MS, r["namespace"], r["segment"]) for r in found]
+        gone = rows.where((F.col("status") == "destroyed") & (F.col("destroyed_at") + grace_ms <= now)).orderBy("destroyed_at", "namespace", "segment").limit(limit)
+        for r in gone.collect() if not dry_run else ():
+            s = store.log.load(r["namespace"], r["segment"])
+            if s.status == "destroyed" and store.log.forget(s):
+                ledger.append((r["namespace"], r["segment"], "forgot", r["expires_at"], None, None))
+    else:
+        at = due_marks(store, now, lookback)
+    for bucket, ns, name in at:
         if eligible >= limit:
             limited = True
             break
-        eligible += 1
-        state, expires = get_retention(store, at[1], at[0])
-        if state != "ok" or expires > now:
-            ledger.append((*at, "skipped", expires, "policy-changed", None))
+        s = store.log.load(ns, name)
+        state, expires = read_policy(s.retention)
+        mark = due_path(store, bucket, ns, name)
+        if s.status == "destroyed" or state != "ok" or expires > now:
+            if scan:
+                eligible += 1
+                ledger.append((ns, name, "skipped", expires, "policy-changed", None))
+            elif (s.status == "destroyed" or state != "ok" or expires // DAY_MS != bucket) and not dry_run:
+                files.delete(mark)  # another mark, or none, holds now
             continue
+        eligible += 1
         if dry_run:
-            ledger.append((*at, "would-retire", expires, None, None))
+            ledger.append((ns, name, "would-retire", expires, None, None))
             continue
         try:
-            out = drop(store, at[1], at[0], confirm=at[1])
-            ledger.append((*at, "retired", expires, out["reason"], None))
+            out = drop(store, name, ns, confirm=name)
+            ledger.append((ns, name, "retired", expires, out["reason"], None))
+            files.delete(mark)
         except Exception as e:
-            ledger.append((*at, "failed", expires, None, str(e)))
+            files.touch(mark)
+            ledger.append((ns, name, "failed", expires, None, str(e)))
     return {"eligible": eligible, "limited": limited, "ledger": store.spark.createDataFrame(ledger, LEDGER)}
 
 
@@ -379,18 +405,22 @@ def erase_subject(store: SegmentStore, value: int, namespace: str | None = None,
 # Checks and export
 
 
-def check_consistency(store: SegmentStore) -> dict[str, Any]:
-    """Whether each current generation is there; segments without one and destroyed ones are fine."""
-    checked, inconsistent, errored = 0, [], []
-    for ns, name in store.log.segments():
-        checked += 1
+def check_consistency(store: SegmentStore, most: int = MAX_SCAN_SEGMENTS, workers: int = 16) -> dict[str, Any]:
+    """Whether each current generation is there; segments without one and destroyed ones are fine. A registry of more than
+    most segments is refused; use missing_generations on a listing for those."""
+    rows = drain(store.registry().select("namespace", "segment", "status", "current_gen", "gen_attempt"), most)
+
+    def one(r) -> tuple[str, tuple] | None:
         try:
-            s = store.log.load(ns, name)
-            if s.status != "destroyed" and s.current_gen is not None and s.current_gen not in store.generations(ns, name):
-                inconsistent.append((ns, name, s.current_gen))
+            if r["status"] != "destroyed" and r["current_gen"] is not None and not store.log.files.exists(store.generation_path(r["namespace"], r["segment"], r["current_gen"], r["gen_attempt"])):
+                return "inconsistent", (r["namespace"], r["segment"], r["current_gen"])
         except Exception as e:
-            errored.append((ns, name, str(e)))
-    return {"checked": checked, "inconsistent": inconsistent, "errored": errored}
+            return "errored", (r["namespace"], r["segment"], str(e))
+        return None
+
+    with ThreadPoolExecutor(max(1, workers)) as pool:
+        found = [x for x in pool.map(one, rows) if x]
+    return {"checked": len(rows), "inconsistent": sorted(x for k, x in found if k == "inconsistent"), "errored": sorted(x for k, x in found if k == "errored")}
 
 
 def missing_generations(registry: DataFrame, generations: DataFrame) -> DataFrame:
@@ -406,23 +436,41 @@ def drain(rows: DataFrame, most: int = MAX_SCAN_SEGMENTS) -> list:
     return got
 
 
-def export(store: SegmentStore, target: str, form: str = "ndjson", namespace: str | None = None) -> dict[str, Any]:
-    """Every live segment to target, by namespace and segment: ndjson (an id a line), parquet, or roaring (a portable
-    bitmap for each segment). The manifest counts ids by segment."""
-    rows = fleet(store, namespace)
+def export(store: SegmentStore, target: str, form: str = "ndjson", namespace: str | None = None, most: int = MAX_SCAN_SEGMENTS) -> dict[str, Any]:
+    """Every live segment to target, by namespace and segment: ndjson (an id a line; a large segment's files follow one
+    another in order), parquet, or roaring (one portable file a segment, NAMESPACE/SEGMENT.roaring). The manifest counts what
+    was written. A segment whose generation is missing or whose key isn't at hand is in failed, and the others are written."""
+    if form not in ("ndjson", "parquet", "roaring"):
+        raise ValidationError(f"not a form: {form!r}")
+    keys, failed = ["namespace", "segment"], []
+    lost = {(ns, name) for ns, name, _ in check_consistency(store, most)["inconsistent"]}
+    failed += [{"namespace": ns, "segment": name, "error": "the current generation is missing"} for ns, name in sorted(lost) if namespace in (None, ns)]
+    for r in store.registry().where("status <> 'destroyed' and size(wrapped_keys) > 0").select(*keys).collect():
+        try:
+            store.key(store.log.load(*r))
+        except Exception as e:
+            lost.add(tuple(r))
+            failed.append({"namespace": r["namespace"], "segment": r["segment"], "error": str(e)})
+    rows = fleet(store, namespace, without=lost)
+    n = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
     if form == "ndjson":
-        rows.select("namespace", "segment", F.col("id").cast("string").alias("value")).repartition("namespace", "segment").sortWithinPartitions("namespace", "segment", F.col("value").cast("long")).write.partitionBy("namespace", "segment").text(target)
+        # By ranges of ids too, so that no segment has to fit a task.
+        ranged = rows.repartitionByRange(n, *keys, "id").sortWithinPartitions(*keys, "id")
+        ranged.select(*keys, F.col("id").cast("string").alias("value")).write.partitionBy(*keys).text(target)
+        written = store.spark.read.schema("value string, namespace string, segment string").text(target) if store.log.files.names(target) else store.empty("namespace string, segment string")
+        counts = written.groupBy(*keys).agg(F.count("*").alias("ids"))
     elif form == "parquet":
-        rows.write.partitionBy("namespace", "segment").parquet(target)
-    elif form == "roaring":
-        from segspark.sources.roaring import encode_chunks
-
-        encode_chunks(rows, "namespace", "segment").write.partitionBy("namespace", "segment").parquet(target)
+        rows.write.partitionBy(*keys).parquet(target)
+        counts = store.spark.read.schema("id long, namespace string, segment string").parquet(target).groupBy(*keys).agg(F.count("*").alias("ids"))
     else:
-        raise ValidationError(f"not a form: {form!r}")
-    counts = [r.asDict() for r in rows.groupBy("namespace", "segment").agg(F.count("*").alias("ids")).collect()]
-    store.audit.event("export", target=target, segments=len(counts))
-    return {"segments": sorted(counts, key=lambda r: (r["namespace"], r["segment"])), "failed": [], "totalIds": sum(r["ids"] for r in counts)}
+        from segspark.sources.roaring import encode_chunks, write_files
+
+        chunks = encode_chunks(rows, *keys).repartition(n, *keys).sortWithinPartitions(*keys, "chunk_key")
+        done = write_files(chunks, target, *keys)
+        counts = done.select(*keys, "ids")
+    got = [r.asDict() for r in counts.collect()]
+    store.audit.event("export", target=target, segments=len(got))
+    return {"segments": sorted(got, key=lambda r: (r["namespace"], r["segment"])), "failed": failed, "totalIds": sum(r["ids"] for r in got)}
 
 
 def export_manifest(members: DataFrame) -> DataFrame:

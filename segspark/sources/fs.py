@@ -136,6 +136,10 @@ class Files:
                 raise WriteConflictError(p) from e
             raise
 
+    def touch(self, p: str) -> None:
+        """An empty file, whether it is there or not."""
+        self._try(lambda: self._fs.create(self._path(p), True).close())
+
     def read(self, p: str) -> bytes:
         def once() -> bytes:
             stream = self._fs.open(self._path(p))

@@ -6,6 +6,7 @@ Containers of 65,536 values each are sorted 16-bit arrays (up to 4,096 values),
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -157,3 +158,61 @@ def decode_chunks(chunks: DataFrame, *keys: str) -> DataFrame:
 
     schema = T.StructType([chunks.schema[k] for k in keys] + [T.StructField("id", T.LongType())])
     return chunks.select(*keys, "chunk_key", "bitmap").mapInPandas(run, schema)
+
+
+def join(chunks: list[tuple[int, bytes]]) -> bytes:
+    """One portable bitmap from bitmaps of single chunks (chunk key, bitmap of the lower halves), keys ascending. Containers
+    are copied, not decoded."""
+    parts = []
+    for key, data in chunks:
+        for _, card, runs, at in _parse(data):
+            size = 2 + 4 * struct.unpack_from("<H", data, at)[0] if runs else 2 * card if card <= ARRAY_MAX else BITMAP_BYTES
+            parts.append((key, card, runs, data[at : at + size]))
+    n, runs = len(parts), [r for _, _, r, _ in parts]
+    head = b"".join(struct.pack("<HH", k, card - 1) for k, card, _, _ in parts)
+    top = struct.pack("<I", COOKIE_RUNS | (n - 1) << 16) + np.packbits(runs, bitorder="little").tobytes() if any(runs) else struct.pack("<II", COOKIE, n)
+    offsets, at = [], len(top) + len(head) + 4 * n
+    for *_, data in parts:
+        offsets.append(at)
+        at += len(data)
+    table = struct.pack(f"<{n}I", *offsets) if not any(runs) or n >= NO_OFFSETS_BELOW else b""
+    return b"".join([top, head, table, *(d for *_, d in parts)])
+
+
+def write_files(chunks: DataFrame, target: str, *keys: str) -> DataFrame:
+    """Rows (keys, chunk_key, cardinality, bitmap), sorted by them within partitions that hold whole groups, to one portable file
+    a group, KEY/../KEY.roaring under target; keys, path, ids of each. A file is at most 512 MiB, as a group has at most 65,536
+    chunks of 8 KiB. A file is written under another name and renamed, so a task that is repeated leaves whole files."""
+    from pyarrow import fs
+
+    target = target.rstrip("/")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, base = fs.FileSystem.from_uri(target) if "://" in target or target.startswith("file:") else (fs.LocalFileSystem(), target)
+        held: list[tuple[int, bytes]] = []
+        group, ids = None, 0
+
+        def done() -> pd.DataFrame:
+            path = "/".join([base, *group]) + ".roaring"
+            where.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            staged = f"{path}.{uuid.uuid4().hex}"
+            with where.open_output_stream(staged) as f:
+                f.write(join(held))
+            where.move(staged, path)
+            return pd.DataFrame({k: [g] for k, g in zip(keys, group, strict=True)} | {"path": [path], "ids": [ids]})
+
+        for f in frames:
+            for r in f.itertuples(index=False):
+                at = tuple(getattr(r, k) for k in keys)
+                if group is not None and at != group:
+                    yield done()
+                    held, ids = [], 0
+                group = at
+                held.append((int(r.chunk_key), r.bitmap))
+                ids += int(r.cardinality)
+        if group is not None:
+            yield done()
+
+    schema = T.StructType([T.StructField(k, T.StringType()) for k in keys] + [T.StructField("path", T.StringType()), T.StructField("ids", T.LongType())])
+    made = chunks.select(*keys, "chunk_key", "cardinality", "bitmap").mapInPandas(run, schema)
+    return chunks.sparkSession.createDataFrame(made.collect(), schema)  # a row a file, written once

@@ -584,7 +584,7 @@ class Segment:
         self._into(dest, self.and_not(excludes), "and_not_into")
 
 
-def fleet(store: SegmentStore, namespace: str | None = None) -> DataFrame:
+def fleet(store: SegmentStore, namespace: str | None = None, without: Iterable[tuple[str, str]] = ()) -> DataFrame:
     """namespace, segment, id of all live registered segments, for searches and exports.
 
     Segments in clear text come from one scan over all generations and one over all operations, whose folders are
@@ -595,6 +595,10 @@ def fleet(store: SegmentStore, namespace: str | None = None) -> DataFrame:
     registry = store.registry().where("status <> 'destroyed'")
     if namespace is not None:
         registry = registry.where(F.col("namespace") == namespace_key(namespace))
+    without = sorted(without)
+    if without:
+        left_out = spark.createDataFrame(without, "namespace string, segment string")
+        registry = registry.join(F.broadcast(left_out), ["namespace", "segment"], "left_anti")
     clear = registry.where("size(wrapped_keys) = 0")
     keys = ["namespace", "segment"]
     cold, ops = store.empty("namespace string, segment string, id long"), None

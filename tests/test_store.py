@@ -388,6 +388,39 @@ def test_retention(store, clock):
         m.set_retention(store, "x", 123)
 
 
+def test_sweeps_by_the_due_index(store, clock, monkeypatch):
+    for name, at in (("a", NOW - 2 * m.DAY_MS), ("b", NOW - m.DAY_MS), ("later", NOW + 2 * m.DAY_MS), ("moved", NOW - m.DAY_MS), ("old", NOW - 30 * m.DAY_MS)):
+        store.segment(name).add(1)
+        m.set_retention(store, name, at)
+    m.set_retention(store, "moved", NOW + 5 * m.DAY_MS)
+    assert {x[2] for x in m.due_marks(store, NOW)} == {"a", "b", "moved"}
+    monkeypatch.setattr(type(store), "registry", lambda _: (_ for _ in ()).throw(AssertionError("the fleet isn't asked")))
+    one = m.retire_expired(store, limit=1, scan=False)
+    assert one["limited"] and [r["segment"] for r in one["ledger"].collect()] == ["a"]
+    assert {r["segment"] for r in m.retire_expired(store, scan=False)["ledger"].collect()} == {"b"}
+    assert m.due_marks(store, NOW) == [] and store.segment("moved").count() == 1
+    monkeypatch.undo()
+    # Beyond the days looked back on, a scan finds it.
+    assert {r["segment"] for r in m.retire_expired(store)["ledger"].collect() if r["action"] == "retired"} == {"old"}
+    clock.ms += 2 * m.DAY_MS
+    assert {r["segment"] for r in m.retire_expired(store, scan=False)["ledger"].collect()} == {"later"}
+
+
+def test_cycles_are_leased_and_scan_at_times(store, clock):
+    from segspark.lifecycle import run_cycle
+
+    store.segment("s").add(1)
+    first = run_cycle(store, cycle_ms=1000, repair_every=3)
+    assert (first["cycle"], first["scan"]) == (1, True) and [o.segment for o in first["compaction"]] == ["s"]
+    assert run_cycle(store, cycle_ms=1000, repair_every=3)["skipped"] == "leased-by-other"
+    scans = []
+    for _ in range(3):
+        clock.ms += 1000
+        out = run_cycle(store, cycle_ms=1000, repair_every=3)
+        scans.append((out["cycle"], out["scan"]))
+    assert scans == [(2, False), (3, True), (4, False)]
+
+
 def test_drop_and_destroy(store):
     assert m.drop(store, "none", confirm="none")["reason"] == "absent"
     store.bulk_load("s", [1, 2])
@@ -440,11 +473,19 @@ def test_export_and_registry(store, tmp_path):
     assert out["totalIds"] == 4 and [(r["segment"], r["ids"]) for r in out["segments"]] == [("a", 3), ("b", 1)]
     back = store.spark.read.text(f"file://{tmp_path}/nd").where("segment = 'a'")
     assert sorted(int(r["value"]) for r in back.collect()) == [1, 3, 70000]
-    m.export(store, f"file://{tmp_path}/ro", "roaring")
-    from segspark.sources.roaring import decode_chunks
-
-    chunks = store.spark.read.parquet(f"file://{tmp_path}/ro").where("segment = 'a'")
-    assert ids(decode_chunks(chunks)) == [1, 3, 70000]
+    from segspark.sources.roaring import decode
+
+    store.bulk_load("r", [*range(1000), *range(65536, 75536, 2), 1 << 31])
+    made = m.export(store, f"file://{tmp_path}/ro", "roaring")
+    assert made["totalIds"] == 4 + 6001 and made["failed"] == []
+    assert decode((tmp_path / "ro/_default/a.roaring").read_bytes()).tolist() == [1, 3, 70000] and decode((tmp_path / "ro/n/b.roaring").read_bytes()).tolist() == [2]
+    assert decode((tmp_path / "ro/_default/r.roaring").read_bytes()).tolist() == [*range(1000), *range(65536, 75536, 2), 1 << 31]
+    store.log.files.delete(store.generation_path("_default", "r", 0))
+    for form in ("parquet", "ndjson", "roaring"):
+        part = m.export(store, f"file://{tmp_path}/part-{form}", form)
+        assert [x["segment"] for x in part["failed"]] == ["r"] and part["totalIds"] == 4
+    m.drop(store, "r", confirm="r")
+    store.log.forget(store.log.load(None, "r"))
     assert len(m.drain(store.registry(), 3)) == 3
     with pytest.raises(BudgetExceededError):
         m.drain(store.registry(), 2)
