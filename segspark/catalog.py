@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segspark.errors import ValidationError
 from segspark.functions import bitmaps
 from segspark.functions.cost import fleet_cost
 from segspark.functions.ids import chunk_key, id_of, remainder
@@ -308,7 +309,11 @@ def _dirty(spark: SparkSession, d: str) -> DataFrame:
 
 def _store(spark: SparkSession) -> SegmentStore:
     """A store of its own for a query, in the folder that all executors share."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='segspark-')}"
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValidationError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='segspark-')}"
     return SegmentStore(spark, f"{where.rstrip('/')}/store-{uuid.uuid4().hex}", clock=lambda: NOW / 1000)
 
 
@@ -436,8 +441,9 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("compaction_skips", f"SELECT CASE WHEN status = 'destroyed' THEN 'destroyed' WHEN dirty = 0 THEN 'clean' WHEN failures >= 5 THEN 'quarantined' ELSE 'due' END AS reason, count(*) AS n FROM ({_FLEET}) GROUP BY 1")
 def _skips(spark: SparkSession, d: str) -> DataFrame:
-    reason = F.when(F.col("status") == "destroyed", "destroyed").when(F.col("dirty") == 0, "clean").when(F.col("failures") >= maintenance.QUARANTINE_FAILURES, "quarantined").otherwise("due")
-    return _fleet(spark, d).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    f = _fleet(spark, d)
+    reason = maintenance.skip_reason(F.col("status"), F.col("dirty"), F.col("failures"), F.col("updated_at"), NOW)
+    return f.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
 _EXPIRIES = "SELECT 'o' || o_orderkey AS segment, o_orderkey * 86400000 + 1000000000000 AS expires_at FROM orders"
@@ -461,7 +467,7 @@ def _due(spark: SparkSession, d: str) -> DataFrame:
 @query("due_index_scan", f"SELECT segment FROM ({_EXPIRIES}) WHERE expires_at // 86400000 BETWEEN {NOW} // 86400000 - 7 AND {NOW} // 86400000 AND expires_at <= {NOW}")
 def _due_scan(spark: SparkSession, d: str) -> DataFrame:
     rows = _expiries(spark, d).withColumn("bucket", maintenance.due_bucket(F.col("expires_at")))
-    return maintenance.due(rows.where(F.col("bucket").isin(maintenance.due_buckets_at(NOW))), NOW).select("segment")
+    return maintenance.due_by_index(rows, NOW).select("segment")
 
 
 _POLICY = "CASE k % 6 WHEN 0 THEN NULL WHEN 1 THEN '[1]' WHEN 2 THEN '{\"owner\":\"x\"}' WHEN 3 THEN '{\"expiresAt\":' || (1000000000000 + k) || '}' WHEN 4 THEN '{\"expiresAt\":123}' ELSE '{\"expiresAt\":\"soon\"}' END"
@@ -572,7 +578,14 @@ def _verdict(spark: SparkSession, d: str) -> DataFrame:
     return fleet_cost(_workload(spark, d), "B").groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@query("shard_assignment")
+# FNV-1a over the bytes of "namespace segment", a byte at a time.
+_FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split('ns ' || segment, ''), lambda c: ord(c)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"
+
+
+@query("shard_assignment", f"SELECT segment, {_FNV} % 16 AS shard FROM ({_FLEET})")
 def _shards(spark: SparkSession, d: str) -> DataFrame:
     f = _fleet(spark, d)
     return f.select("segment", shard_column(F.col("namespace"), F.col("segment"), 16).alias("shard"))
+
+
+import segspark.catalog_store  # noqa: E402, F401  its queries register themselves

@@ -43,11 +43,16 @@ def id_of(key: Column, rest: Column) -> Column:
     return key.cast("long") * CHUNK + rest
 
 
+def in_domain(c: Column) -> Column:
+    """Whether a value is an id: not null and an unsigned 32-bit integer."""
+    v = c.cast("long")
+    return v.isNotNull() & v.between(0, MAX_ID)
+
+
 def guarded(c: Column) -> Column:
     """The id as a long; the job fails on a null or on a value outside the domain."""
     v = c.cast("long")
-    ok = v.isNotNull() & v.between(0, MAX_ID)
-    return F.when(ok, v).otherwise(F.raise_error(F.concat(F.lit("not an unsigned 32-bit id: "), F.coalesce(c.cast("string"), F.lit("null")))).cast("long"))
+    return F.when(in_domain(c), v).otherwise(F.raise_error(F.concat(F.lit("not an unsigned 32-bit id: "), F.coalesce(c.cast("string"), F.lit("null")))).cast("long"))
 
 
 def id_frame(spark: SparkSession, ids: DataFrame | Iterable[int], column: str = "id", distinct: bool = True) -> DataFrame:

@@ -165,6 +165,12 @@ def compactable(registry: DataFrame, now_ms: int, min_dirty: int = 1, limit: int
     return rows.limit(limit) if limit is not None else rows
 
 
+def skip_reason(status: Column, dirty: Column, failures: Column, updated_at: Column, now_ms: int) -> Column:
+    """Why a cycle leaves a segment alone; "due" for one that it takes."""
+    rests = (failures >= QUARANTINE_FAILURES) & (updated_at > now_ms - QUARANTINE_MS)
+    return F.when(status == "destroyed", "destroyed").when(dirty == 0, "clean").when(rests, "quarantined").otherwise("due")
+
+
 def run_compaction_cycle(store: SegmentStore, max_segments: int = 64, min_dirty: int = 1, shard: tuple[int, int] | None = None, workers: int = 4) -> list[Outcome]:
     """Compact what is most worth it, by chunks with pending operations. One segment's failure is noted on it and doesn't stop the others."""
     registry = store.registry().join(fleet_dirty(store), ["namespace", "segment"], "left")
@@ -266,6 +272,11 @@ def due(rows: DataFrame, now_ms: int) -> DataFrame:
     return rows.where((F.col("expires_at") >= MIN_EXPIRES_AT) & (F.col("expires_at") <= now_ms))
 
 
+def due_by_index(rows: DataFrame, now_ms: int, lookback: int = LOOKBACK_BUCKETS) -> DataFrame:
+    """Rows with bucket and expires_at that a sweep by the due index takes: a filter on the day, then on the time."""
+    return due(rows.where(F.col("bucket").isin(due_buckets_at(now_ms, lookback))), now_ms)
+
+
 LEDGER = "namespace string, segment string, action string, expires_at long, reason string, fault string"
 
 
@@ -438,7 +449,7 @@ def drain(rows: DataFrame, most: int = MAX_SCAN_SEGMENTS) -> list:
 
 def export(store: SegmentStore, target: str, form: str = "ndjson", namespace: str | None = None, most: int = MAX_SCAN_SEGMENTS) -> dict[str, Any]:
     """Every live segment to target, by namespace and segment: ndjson (an id a line; a large segment's files follow one
-    another in order), parquet, or roaring (one portable file a segment, NAMESPACE/SEGMENT.roaring). The manifest counts what
+    another in order), parquet, or roaring (one portable file a segment, namespace=NAMESPACE/SEGMENT.roaring). The manifest counts what
     was written. A segment whose generation is missing or whose key isn't at hand is in failed, and the others are written."""
     if form not in ("ndjson", "parquet", "roaring"):
         raise ValidationError(f"not a form: {form!r}")

@@ -13,9 +13,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from segspark.errors import IntegrityError, UnsupportedError, ValidationError
 from segspark.sources import roaring
+from segspark.sources.files import written
 
 # Fixed values of the format.
 MAGIC, MAJOR, MINOR = b"CRBM", 1, 0
@@ -167,3 +169,10 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """path, id of all container files under path; the job fails on a damaged one."""
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_read, "path string, id long")
+
+
+def write_files(ids: DataFrame, target: str, keys_per_file: int = 256, generation: int = 0) -> DataFrame:
+    """path, ids of one container file for each range of chunk keys that has ids, at most 16 MiB each; ids are distinct."""
+    part = F.format_string("%05d", F.expr(f"int(chunk_key div {keys_per_file})"))
+    chunks = roaring.encode_chunks(ids).withColumn("part", part).repartition("part").sortWithinPartitions("part", "chunk_key")
+    return written(chunks, target, ".crbm", lambda held: write_chunks(iter(held), generation), "part")

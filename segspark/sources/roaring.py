@@ -6,16 +6,16 @@ Containers of 65,536 values each are sorted 16-bit arrays (up to 4,096 values),
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segspark.errors import IntegrityError
+from segspark.sources.files import written
 
 # Fixed values of the layout.
 COOKIE, COOKIE_RUNS = 12346, 12347
@@ -180,39 +180,21 @@ def join(chunks: list[tuple[int, bytes]]) -> bytes:
 
 
 def write_files(chunks: DataFrame, target: str, *keys: str) -> DataFrame:
-    """Rows (keys, chunk_key, cardinality, bitmap), sorted by them within partitions that hold whole groups, to one portable file
-    a group, KEY/../KEY.roaring under target; keys, path, ids of each. A file is at most 512 MiB, as a group has at most 65,536
-    chunks of 8 KiB. A file is written under another name and renamed, so a task that is repeated leaves whole files."""
-    from pyarrow import fs
+    """Rows of encode_chunks, sorted by keys and chunk within partitions that hold whole groups, to one portable file a group,
+    namespace=KEY/KEY.roaring under target for keys namespace and segment; keys, path, ids of each."""
+    return written(chunks, target, ".roaring", lambda held: join([(k, b) for k, b, _ in held]), *keys)
 
-    target = target.rstrip("/")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where, base = fs.FileSystem.from_uri(target) if "://" in target or target.startswith("file:") else (fs.LocalFileSystem(), target)
-        held: list[tuple[int, bytes]] = []
-        group, ids = None, 0
-
-        def done() -> pd.DataFrame:
-            path = "/".join([base, *group]) + ".roaring"
-            where.create_dir(path.rsplit("/", 1)[0], recursive=True)
-            staged = f"{path}.{uuid.uuid4().hex}"
-            with where.open_output_stream(staged) as f:
-                f.write(join(held))
-            where.move(staged, path)
-            return pd.DataFrame({k: [g] for k, g in zip(keys, group, strict=True)} | {"path": [path], "ids": [ids]})
+def read_files(spark: SparkSession, target: str) -> DataFrame:
+    """namespace, segment, id of the portable files under target, namespace=NAMESPACE/SEGMENT.roaring."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples(index=False):
-                at = tuple(getattr(r, k) for k in keys)
-                if group is not None and at != group:
-                    yield done()
-                    held, ids = [], 0
-                group = at
-                held.append((int(r.chunk_key), r.bitmap))
-                ids += int(r.cardinality)
-        if group is not None:
-            yield done()
-
-    schema = T.StructType([T.StructField(k, T.StringType()) for k in keys] + [T.StructField("path", T.StringType()), T.StructField("ids", T.LongType())])
-    made = chunks.select(*keys, "chunk_key", "cardinality", "bitmap").mapInPandas(run, schema)
-    return chunks.sparkSession.createDataFrame(made.collect(), schema)  # a row a file, written once
+                got = decode(r.content)
+                yield pd.DataFrame({"namespace": [r.namespace] * len(got), "segment": [r.segment] * len(got), "id": got})
+
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.roaring").load(target)
+    parts = F.split("path", "/")
+    named = rows.select(F.regexp_replace(F.element_at(parts, -2), "^namespace=", "").alias("namespace"), F.regexp_replace(F.element_at(parts, -1), r"\.roaring$", "").alias("segment"), "content")
+    return named.mapInPandas(run, "namespace string, segment string, id long")

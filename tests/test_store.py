@@ -478,8 +478,8 @@ def test_export_and_registry(store, tmp_path):
     store.bulk_load("r", [*range(1000), *range(65536, 75536, 2), 1 << 31])
     made = m.export(store, f"file://{tmp_path}/ro", "roaring")
     assert made["totalIds"] == 4 + 6001 and made["failed"] == []
-    assert decode((tmp_path / "ro/_default/a.roaring").read_bytes()).tolist() == [1, 3, 70000] and decode((tmp_path / "ro/n/b.roaring").read_bytes()).tolist() == [2]
-    assert decode((tmp_path / "ro/_default/r.roaring").read_bytes()).tolist() == [*range(1000), *range(65536, 75536, 2), 1 << 31]
+    assert decode((tmp_path / "ro/namespace=_default/a.roaring").read_bytes()).tolist() == [1, 3, 70000] and decode((tmp_path / "ro/namespace=n/b.roaring").read_bytes()).tolist() == [2]
+    assert decode((tmp_path / "ro/namespace=_default/r.roaring").read_bytes()).tolist() == [*range(1000), *range(65536, 75536, 2), 1 << 31]
     store.log.files.delete(store.generation_path("_default", "r", 0))
     for form in ("parquet", "ndjson", "roaring"):
         part = m.export(store, f"file://{tmp_path}/part-{form}", form)
