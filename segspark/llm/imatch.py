@@ -129,7 +129,7 @@ class Band:
 
 
 def successors(d: DataFrame) -> DataFrame:
-    """row, n_chars, next_row by ascending id and row, the first after the last; only keys and lengths move.
+    """row, n_chars, next (row, doc_id) by ascending id and row, the first after the last; only keys and lengths move.
 
     Rows are range-partitioned and each range is a window; the ends of ranges, a row a range, link the ranges. Rows
     of one id are dealt over ranges like any others.
@@ -139,11 +139,12 @@ def successors(d: DataFrame) -> DataFrame:
     own = d.select("doc_id", "row", F.char_length("text").cast("long").alias("n_chars"))
     own = cut(own.repartitionByRange(n, "doc_id", "row").withColumn("range", F.spark_partition_id()))
     w = Window.partitionBy("range").orderBy("doc_id", "row")
-    inner = own.select("range", "row", "n_chars", F.lead("row").over(w).alias("next_row"))
-    heads = own.groupBy("range").agg(F.min(F.struct("doc_id", "row")).alias("head"))
+    at = F.struct("doc_id", "row")
+    inner = own.select("range", "row", "n_chars", F.lead(at).over(w).alias("next"))
+    heads = own.groupBy("range").agg(F.min(at).alias("head"))
     order = Window.orderBy("range")
-    ends = heads.select("range", F.lead("head.row").over(order).alias("after"), F.min("head").over(Window.partitionBy()).getField("row").alias("least"))
-    return inner.join(F.broadcast(ends), "range").select("row", "n_chars", F.coalesce("next_row", "after", "least").alias("next_row"))
+    ends = heads.select("range", F.lead("head").over(order).alias("after"), F.min("head").over(Window.partitionBy()).alias("least"))
+    return inner.join(F.broadcast(ends), "range").select("row", "n_chars", F.coalesce("next", "after", "least").alias("next"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -169,8 +170,9 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     links = cut(successors(d))
     # For each document, the one before it and how much of this one's start that needs: what is sent there, with
     # the rare terms of this one.
-    need = links.select(F.col("next_row").alias("row"), F.col("row").alias("before"), F.floor(F.col("n_chars") / 2).cast("int").alias("need"))
-    own = d.join(band.rare, "row", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<bigint>"))).join(need, "row")
+    need = links.select(F.col("next.row").alias("row"), F.col("next.doc_id").alias("doc_id"), F.col("row").alias("before"), F.floor(F.col("n_chars") / 2).cast("int").alias("need"))
+    # The id comes from there, so that both uses of the texts below share one exchange of (row, text).
+    own = d.select("row", "text").join(band.rare, "row", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<bigint>"))).join(need, "row")
     given = own.select(F.col("before").alias("row"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("start"), F.col("rare").alias("next_rare"))
     n = F.char_length("text")
     both = own.drop("need").join(given, "row").withColumn("n_chars", n.cast("long"))
