@@ -76,17 +76,20 @@ class Files:
     def exists(self, p: str) -> bool:
         return self._try(lambda: self._fs.exists(self._path(p)))
 
-    def names(self, p: str) -> list[str]:
-        """Entries of a folder, sorted; none if it isn't there."""
+    def entries(self, p: str) -> list[tuple[str, int]]:
+        """Name and time of change (ms, the file system's clock) of what is in a folder, by name; none if it isn't there."""
 
-        def once() -> list[str]:
+        def once() -> list[tuple[str, int]]:
             path = self._path(p)
             if not self._fs.exists(path):
                 return []
-            return sorted(s.getPath().getName() for s in self._fs.listStatus(path))
+            return sorted((s.getPath().getName(), s.getModificationTime()) for s in self._fs.listStatus(path))
 
         return self._try(once)
 
+    def names(self, p: str) -> list[str]:
+        return [name for name, _ in self.entries(p)]
+
     def create(self, p: str, data: bytes) -> None:
         """Create p whole or raise WriteConflictError if it is there: the one atomic step commits rest on."""
         {"link": self._link, "rename": self._rename, "conditional": self._conditional}[self.way](p, data)

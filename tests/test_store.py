@@ -182,8 +182,11 @@ def test_commits_are_exclusive(store):
     assert store.log.load(None, "s").failures == 1
 
 
-def test_a_state_held_for_long_is_refused(store):
+def test_a_state_held_for_long_is_refused(store, monkeypatch):
     """Its successor's name was trimmed meanwhile, so the create itself would go through."""
+    from segspark.sources import log
+
+    monkeypatch.setattr(log, "KEPT_MS", 0)
     held = store.log.update(None, "s", lambda s: {"failures": 0})
     for i in range(12):
         store.log.update(None, "s", lambda s, i=i: {"failures": i + 1})
@@ -198,8 +201,23 @@ def test_a_state_held_for_long_is_refused(store):
     assert store.log.load(None, "s").failures == 12 and len(before) <= 4
 
 
+def test_a_scan_of_the_registry_stands_writers(store):
+    for name in "ab":
+        store.segment(name).add(1)
+    scan = store.registry().select("segment", "next_seq")
+    for _ in range(10):
+        store.log.update(None, "a", lambda s: {"failures": s.failures + 1})
+    assert {tuple(r) for r in scan.collect()} == {("a", 1), ("b", 1)}
+    for _ in range(70):
+        store.log.update(None, "b", lambda s: {"failures": s.failures + 1})
+    assert len(store.log._versions(store.log._folder("_default", "b"))) <= 64
+
+
 def test_a_commit_that_others_followed_at_once_holds(store, monkeypatch):
     """Many commits between a writer's create and its look at the log."""
+    from segspark.sources import log
+
+    monkeypatch.setattr(log, "KEPT_MS", 0)
     was, real, once = store.log.update(None, "s", lambda s: {"failures": 1}), store.log.files.create, []
 
     def create(p, data):
@@ -218,6 +236,7 @@ def test_a_slow_claim_has_no_second_winner(store, monkeypatch):
     s, real, slow = store.segment("c"), store.log.commit, []
 
     def commit(was, **changes):
+        monkeypatch.setattr("segspark.sources.log.KEPT_MS", 0)
         if not slow:  # the first caller's job takes long: another claims the same ids, and much is written after that
             slow.append(1)
             slow.append(ids(store.segment("c").claim_many([5, 6])))
