@@ -307,14 +307,14 @@ def _dirty(spark: SparkSession, d: str) -> DataFrame:
     return tiers.dirty_chunks(rows.select(F.col("o_orderpriority").alias("segment"), (F.col("o_orderkey").cast("long") * WIDE).alias("id")), "segment")
 
 
-def _store(spark: SparkSession) -> SegmentStore:
-    """A store of its own for a query, in the folder that all executors share."""
+def _store(spark: SparkSession, wide: bool = False) -> SegmentStore:
+    """A store of its own for a query, in the folder that all executors share. W's ids pass 32 bits from order 1,047,809 on."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValidationError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='segspark-')}"
-    return SegmentStore(spark, f"{where.rstrip('/')}/store-{uuid.uuid4().hex}", clock=lambda: NOW / 1000)
+    return SegmentStore(spark, f"{where.rstrip('/')}/store-{uuid.uuid4().hex}", clock=lambda: NOW / 1000, wide=wide)
 
 
 def _tiered(spark: SparkSession, d: str, priority: str) -> SegmentStore:
@@ -402,7 +402,7 @@ def _andnot_into(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bulk_load_dedup", f"SELECT count(*) AS cardinality, count(DISTINCT id >> 16) AS chunk_count FROM (SELECT DISTINCT l_orderkey * {WIDE} AS id FROM lineitem)")
 def _bulk(spark: SparkSession, d: str) -> DataFrame:
-    store = _store(spark)
+    store = _store(spark, wide=True)
     store.bulk_load("w", _t(spark, d, "lineitem").select((F.col("l_orderkey").cast("long") * WIDE).alias("id")))
     return store.cold_index(store.log.load(None, "w")).agg(F.sum("cardinality").alias("cardinality"), F.count("*").alias("chunk_count"))
 

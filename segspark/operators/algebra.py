@@ -62,10 +62,11 @@ def and_or(base: DataFrame, any_of: Sequence[DataFrame]) -> DataFrame:
     return base.select("id").join(others, "id", "left_semi")
 
 
-def within_chunks(ids: DataFrame, keys: DataFrame) -> DataFrame:
-    """Only ids in the given chunks. There are at most 65,536 chunk keys, so they are broadcast."""
+def within_chunks(ids: DataFrame, keys: DataFrame, few: bool = True) -> DataFrame:
+    """Only ids in the given chunks. There are few chunk keys, at most 65,536 of ids of 32 bits, so they are broadcast."""
     own = ids if "chunk_key" in ids.columns else ids.withColumn("chunk_key", F.shiftright("id", 16).cast("int"))
-    return own.join(F.broadcast(keys.select(F.col("chunk_key").cast("int"))), "chunk_key", "left_semi").select("id")
+    keys = keys.select(F.col("chunk_key").cast("int"))
+    return own.join(F.broadcast(keys) if few else keys, "chunk_key", "left_semi").select("id")
 
 
 def has_batch(probes: DataFrame, ids: DataFrame) -> DataFrame:

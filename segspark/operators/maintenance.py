@@ -394,7 +394,7 @@ def _scope(namespace: str | None, all_namespaces: bool) -> str | None:
 
 def subject_report(store: SegmentStore, value: int, namespace: str | None = None, all_namespaces: bool = False) -> DataFrame:
     """namespace, segment of all live segments that hold the id: one job, the filter reaches every scan."""
-    check_id(value)
+    check_id(value, store.max_id)
     return fleet(store, _scope(namespace, all_namespaces)).where(F.col("id") == value).select("namespace", "segment").distinct()
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from segspark.crypto import Keyring, seal, unseal
 from segspark.errors import BudgetExceededError, IntegrityError, KeyUnavailableError, NotFoundError, ValidationError, WriteConflictError
 from segspark.functions import cost
-from segspark.functions.ids import check_id, chunk_key, id_frame
+from segspark.functions.ids import MAX_ID, MAX_WIDE_ID, check_id, chunk_key, id_frame
 from segspark.functions.names import check_name, namespace_key
 from segspark.metrics import Safe, Sink
 from segspark.operators import algebra
@@ -41,7 +41,8 @@ OPS = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("add
 INDEX = "chunk_key int, cardinality long, bytes long, checksum long"
 #: Chunk keys in one folder of a generation.
 KEYS_PER_FOLDER = 256
-#: Index entries kept on the driver, and chunk keys put in a filter as they are; more are broadcast, 65,536 at most.
+#: Index entries kept on the driver, and chunk keys put in a filter as they are; more are broadcast, 65,536 at most (wide
+#: stores keep neither on the driver).
 MAX_INDEX_ENTRIES, MAX_LISTED_KEYS = 1 << 22, 2000
 #: Ids that one task may sort: 2 MiB.
 SMALL_RESULT = 1 << 18
@@ -52,10 +53,13 @@ MIN_EXPIRES_AT = 1_000_000_000_000
 
 
 class SegmentStore:
-    def __init__(self, spark: SparkSession, root: str, *, clock: Callable[[], float] = time.time, budget: int | bool | None = None, max_pending_bytes: int | None = None, keyring: Keyring | None = None, metrics: Sink | None = None, audit: Sink | None = None):
+    def __init__(self, spark: SparkSession, root: str, *, clock: Callable[[], float] = time.time, budget: int | bool | None = None, max_pending_bytes: int | None = None, keyring: Keyring | None = None, metrics: Sink | None = None, audit: Sink | None = None, wide: bool = False):
         self.spark, self.root = spark, root.rstrip("/")
         self.log = SegmentLog(spark, self.root, clock)
         self.budget = budget
+        #: Ids are below 2**32, or below 2**47 in a wide store. Files are the same, but a wide segment has any number of chunks and
+        #: folders, so its chunk keys stay in tables. All handles on a store should agree; a narrow one refuses wide ids.
+        self.wide, self.max_id = wide, MAX_WIDE_ID if wide else MAX_ID
         #: A ceiling on unmerged operations a read takes on; none by default, as Spark spills. MAX_PENDING_BYTES is a usual one.
         self.max_pending_bytes = max_pending_bytes
         resolve_budget(budget)
@@ -199,8 +203,9 @@ class SegmentStore:
         if ops is None:
             return index.select("chunk_key", "cardinality")
         dirty = ops.select(chunk_key().alias("chunk_key")).distinct()
-        clean = index.select("chunk_key", "cardinality").join(F.broadcast(dirty), "chunk_key", "left_anti")
-        own = self.cold(s).join(F.broadcast(dirty), "chunk_key", "left_semi").select("id")
+        dirty = dirty if self.wide else F.broadcast(dirty)
+        clean = index.select("chunk_key", "cardinality").join(dirty, "chunk_key", "left_anti")
+        own = self.cold(s).join(dirty, "chunk_key", "left_semi").select("id")
         merged = overlay(own, ops).groupBy(chunk_key().alias("chunk_key")).agg(F.count("*").alias("cardinality"))
         return clean.unionByName(merged)
 
@@ -241,7 +246,7 @@ class SegmentStore:
         chunks with a key), and the index. What it holds, and the attempt's name under "attempt".
 
         One exchange by folder, in which repeats and operations meet, serves the distinct ids and their order; a folder is at most 2**24 ids
-        and a segment has at most 256. The index is counted on what was written, which needs no exchange of ids.
+        and a segment has at most 256, or 2**23 in a wide store. The index is counted on what was written, which needs no exchange of ids.
         """
         attempt = uuid.uuid4().hex
         path, index_path = self.generation_path(ns, name, gen, attempt), self.index_path(ns, name, gen, attempt)
@@ -254,7 +259,7 @@ class SegmentStore:
                 index = chunks.chunk_index(self._generation(ns, name, gen, attempt, key))
             else:
                 index = self.empty(INDEX)
-            index.repartition(1).write.parquet(index_path)
+            self._write_index(index, index_path)
         else:
             # What is distinct by (kb, id) stands on the exchange by kb; it needs none of its own.
             kb = F.expr(f"int((id >> 16) div {KEYS_PER_FOLDER})").alias("kb")
@@ -270,10 +275,13 @@ class SegmentStore:
             rows = rows.sortWithinPartitions("id").where(F.spark_partition_id() >= 0).select(chunk_key().alias("chunk_key"), "id", "kb")
             rows.write.partitionBy("kb").parquet(path)
             made = self._generation(ns, name, gen, attempt, None) if any(n.startswith("kb=") for n in self.log.files.names(path)) else self.empty("chunk_key int, id long, kb int")
-            chunks.chunk_index(made).repartition(1).write.parquet(index_path)
+            self._write_index(chunks.chunk_index(made), index_path)
         row = self.spark.read.schema(INDEX).parquet(index_path).agg(F.count("*").alias("chunk_count"), F.coalesce(F.sum("cardinality"), F.lit(0)).alias("cardinality"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("size"), F.coalesce(F.sum("checksum"), F.lit(0)).alias("checksum")).first()
         return row.asDict() | {"attempt": attempt}
 
+    def _write_index(self, index: DataFrame, path: str) -> None:
+        (index if self.wide else index.repartition(1)).write.parquet(path)
+
     def verify_generation(self, ns: str, name: str, gen: int, key: bytes | None = None, attempt: str | None = None) -> bool:
         """Read the generation again: each chunk's cardinality and checksum against the index. Without an attempt, the one
         that the state names."""
@@ -332,7 +340,7 @@ class SegmentStore:
             s = self._with_key(s)
             gens = self.generations(ns, name)
             gen = max([-1 if s.current_gen is None else s.current_gen, *gens]) + 1
-            made = self.write_generation(ns, name, gen, id_frame(self.spark, ids, column, distinct=False), self.key(s), distinct=False)
+            made = self.write_generation(ns, name, gen, id_frame(self.spark, ids, column, distinct=False, most=self.max_id), self.key(s), distinct=False)
             if self.publish(ns, name, gen, made):
                 return made | {"generation": gen, "current": True}
             self.delete_generation(ns, name, gen, made["attempt"])
@@ -361,7 +369,7 @@ class Segment:
         return self.store.empty() if self.expired else self.store.effective(self.state())
 
     def has(self, value: int) -> bool:
-        check_id(value)
+        check_id(value, self.store.max_id)
         if self.expired:
             return False
         s = self.state()
@@ -427,7 +435,7 @@ class Segment:
         """Which chunks are touched is known before any id is read; over the budget, nothing is."""
         states, outs = [o.state() for o in operands], [e.state() for e in exclude]
         limit = resolve_budget(budget, self.store.budget)
-        plan = self._combine_clean if not any(s.pending for s in [*states, *outs]) else self._combine_dirty
+        plan = self._combine_clean if not self.store.wide and not any(s.pending for s in [*states, *outs]) else self._combine_dirty
         ids, drops, most = plan(states, outs, any_of, limit, what, [*operands], [*exclude])
         out = algebra.union(ids, drops) if any_of else algebra.intersect(ids, drops)
         # A result that is known to be small is sorted in one task: no pass to sample ranges.
@@ -468,11 +476,12 @@ class Segment:
         if len(indexes) > 1:
             # Only chunks that all operands have can hold common ids: at most 65,536 keys, broadcast, prune the rest.
             keys = chunks.common_keys(indexes)
-            ids, drops = ([algebra.within_chunks(x, keys) for x in xs] for xs in (ids, drops))
+            ids, drops = ([algebra.within_chunks(x, keys, few=not store.wide) for x in xs] for xs in (ids, drops))
         return ids, drops, min(size)
 
     def _hint(self, s: State) -> int:
-        return int(self.store.local_index(s)[1].sum()) + sum(p["n"] for p in s.pending)
+        cold = s.gen_stats["cardinality"] if s.gen_stats else self.store.cold_index(s).agg(F.coalesce(F.sum("cardinality"), F.lit(0))).first()[0]
+        return cold + sum(p["n"] for p in s.pending)
 
     def intersect(self, others: Sequence[Segment] = (), exclude: Sequence[Segment] = (), budget: int | bool | None = None) -> DataFrame:
         """Ids in this and all others, ascending; nothing if any of them has expired."""
@@ -494,7 +503,7 @@ class Segment:
 
     def intersect_efficiency(self, others: Sequence[Segment]) -> dict[str, int]:
         states = [s.state() for s in [self, *others]]
-        if any(s.pending for s in states):
+        if self.store.wide or any(s.pending for s in states):
             return chunks.efficiency([s.chunk_keys() for s in [self, *others]]).first().asDict()
         _, n = np.unique(np.concatenate([self.store.local_index(s)[0] for s in states]), return_counts=True)
         return {"fetched": int((n == len(states)).sum()), "skipped": int((n < len(states)).sum())}
@@ -502,7 +511,7 @@ class Segment:
     # Writes
 
     def _write(self, ids: DataFrame | Iterable[int], add: bool) -> State | None:
-        rows = id_frame(self.store.spark, ids).withColumn("add", F.lit(add))
+        rows = id_frame(self.store.spark, ids, most=self.store.max_id).withColumn("add", F.lit(add))
         self.store.metrics.event("add_many" if add else "remove_many")
         return self.store.write_ops(self.namespace, self.name, rows)
 
@@ -526,7 +535,7 @@ class Segment:
         commits first, it is computed again from nothing. A tag (a stream's name and the number of its batch) is committed with
         the claim, and the same claim again returns the same winners, as a stream does that repeats its last batch.
         """
-        wanted = id_frame(self.store.spark, ids)
+        wanted = id_frame(self.store.spark, ids, most=self.store.max_id)
 
         def once() -> DataFrame:
             s = self.state()

@@ -41,7 +41,7 @@ def ingest(store: SegmentStore, query: str, segment: str, namespace: str | None
         if op is None:
             handle.add_many(batch.select(F.col(column).alias("id")))
         else:
-            last = batch.groupBy(guarded(F.col(column)).alias("id")).agg(F.max_by(F.col(op) == "add", "seq").alias("add"))
+            last = batch.groupBy(guarded(F.col(column), store.max_id).alias("id")).agg(F.max_by(F.col(op) == "add", "seq").alias("add"))
             store.write_ops(handle.namespace, handle.name, last)
         _done(store, query, number, {"segment": segment})
 
