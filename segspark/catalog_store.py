@@ -126,7 +126,7 @@ _DIRTY = f"SELECT lower(replace(o_orderpriority, ' ', '_')) AS segment, count(DI
 
 
 def _wide_ops(spark: SparkSession, d: str) -> SegmentStore:
-    store, rows = _store(spark), _t(spark, d, "orders")
+    store, rows = _store(spark, wide=True), _t(spark, d, "orders")
     for p in PRIORITIES:
         store.segment(_name(p)).add_many(rows.where(F.col("o_orderpriority") == p).select((F.col("o_orderkey").cast("long") * WIDE).alias("id")))
     return store
