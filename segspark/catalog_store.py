@@ -260,7 +260,7 @@ def _container(spark: SparkSession, d: str) -> DataFrame:
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     path = f"{_store(spark).root}-lines"
     interchange.write_lines(_wide(spark, d), path)
-    return interchange.read_lines(spark, path)
+    return interchange.read_lines(spark, path, wide=True)
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.functions.ids import guarded
+from segspark.functions.ids import MAX_ID, MAX_WIDE_ID, guarded
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One id a line; blank lines are nothing, others must be ids."""
+def read_lines(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
+    """One id a line; blank lines are nothing, others must be ids, of a wide store (below 2**47) if wide."""
     rows = spark.read.text(path).where(F.trim("value") != "")
-    return rows.select(guarded(F.trim("value").try_cast("long")).alias("id"))
+    return rows.select(guarded(F.trim("value").try_cast("long"), MAX_WIDE_ID if wide else MAX_ID).alias("id"))
 
 
 def write_lines(ids: DataFrame, path: str) -> None:
