@@ -20,6 +20,8 @@ from segspark.sources.files import written
 # Fixed values of the layout.
 COOKIE, COOKIE_RUNS = 12346, 12347
 ARRAY_MAX, BITMAP_BYTES, NO_OFFSETS_BELOW = 4096, 8192, 4
+#: Ids of a chunk at most, and of the chunks decoded at a time at least.
+CHUNK_IDS = 1 << 16
 
 
 def _container(low: np.ndarray) -> tuple[bytes, bool]:
@@ -136,15 +138,44 @@ def has(data: bytes, value: int) -> bool:
 
 def encode_chunks(ids: DataFrame, *keys: str) -> DataFrame:
     """keys, chunk_key, cardinality, bitmap: a portable bitmap of each chunk's lower halves. A chunk is at most
-    65,536 ids, so a group is bounded."""
+    65,536 ids, so a group is bounded; chunks of a few ids each go through Python many at a time."""
+    own = [*keys, "chunk_key"]
 
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        head = {k: [f[k].iloc[0]] for k in (*keys, "chunk_key")}
-        return pd.DataFrame(head | {"cardinality": [f["id"].nunique()], "bitmap": [encode(f["id"].to_numpy() & 0xFFFF)]})
+    def made(f: pd.DataFrame) -> pd.DataFrame:
+        """Whole groups, one after another."""
+        first = np.flatnonzero(_turns(f, own))
+        lows = [np.unique(x) for x in np.split(f["id"].to_numpy() & 0xFFFF, first[1:])]
+        return f[own].iloc[first].assign(cardinality=[len(x) for x in lows], bitmap=[encode(x) for x in lows])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # rows of the last group, which may go on in the next frame
+        for f in frames:
+            if not len(f):
+                continue
+            seam = pd.concat([held[-1].iloc[-1:], f]) if held else f
+            first = np.flatnonzero(_turns(seam, own)[1 if held else 0 :])
+            if held and not len(first):
+                held.append(f)
+                continue
+            if whole := [*held, *([f.iloc[: first[-1]]] if first[-1] else [])]:
+                yield made(pd.concat(whole))
+            held = [f.iloc[first[-1] :]]
+        if held:
+            yield made(pd.concat(held))
 
     rows = ids.select(*keys, F.shiftright("id", 16).cast("int").alias("chunk_key"), "id")
-    schema = T.StructType([rows.schema[k] for k in (*keys, "chunk_key")] + [T.StructField("cardinality", T.LongType()), T.StructField("bitmap", T.BinaryType())])
-    return rows.groupBy(*keys, "chunk_key").applyInPandas(one, schema)
+    schema = T.StructType([rows.schema[k] for k in own] + [T.StructField("cardinality", T.LongType()), T.StructField("bitmap", T.BinaryType())])
+    return rows.repartition(*own).sortWithinPartitions(*own).mapInPandas(run, schema)
+
+
+def _turns(f: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    """Whether a row's columns differ from those of the row before; True for the first row. Nulls are equal."""
+    out = np.zeros(len(f), bool)
+    for c in columns:
+        v, none = f[c].to_numpy(), f[c].isna().to_numpy()
+        out[1:] |= (none[1:] != none[:-1]) | ((v[1:] != v[:-1]) & ~none[1:])
+    out[:1] = True
+    return out
 
 
 def decode_chunks(chunks: DataFrame, *keys: str) -> DataFrame:
@@ -152,9 +183,20 @@ def decode_chunks(chunks: DataFrame, *keys: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for r in f.itertuples(index=False):
-                low = decode(r.bitmap)
-                yield pd.DataFrame({k: [getattr(r, k)] * len(low) for k in keys} | {"id": low + (int(r.chunk_key) << 16)})
+            held, n, start = [], 0, 0
+
+            def done(stop: int, f=f) -> pd.DataFrame:
+                counts = [len(x) for x in held]
+                return pd.DataFrame({k: np.repeat(f[k].to_numpy()[start:stop], counts) for k in keys} | {"id": np.concatenate(held)})
+
+            for i, (key, data) in enumerate(zip(f["chunk_key"], f["bitmap"], strict=True)):
+                held.append(decode(data) + (int(key) << 16))
+                n += len(held[-1])
+                if n >= CHUNK_IDS:
+                    yield done(i + 1)
+                    held, n, start = [], 0, i + 1
+            if held:
+                yield done(len(f))
 
     schema = T.StructType([chunks.schema[k] for k in keys] + [T.StructField("id", T.LongType())])
     return chunks.select(*keys, "chunk_key", "bitmap").mapInPandas(run, schema)
