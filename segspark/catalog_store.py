@@ -302,7 +302,7 @@ def _stream_claim(spark: SparkSession, d: str) -> DataFrame:
 def _sealed_store(spark: SparkSession, d: str) -> DataFrame:
     """A store with a keyring: a load, pending operations and a compaction, all of them sealed on disk."""
     ring = Keyring(spark, {"main": b"m" * 32})
-    store = SegmentStore(spark, _store(spark).root, clock=lambda: NOW / 1000, keyring=ring)
+    store = SegmentStore(spark, _store(spark).root, clock=lambda: NOW / 1000, keyring=ring, wide=True)
     store.bulk_load("s", _wide(spark, d, "F"))
     store.segment("s").add_many(_wide(spark, d, "O"))
     maintenance.compact(store, "s")

@@ -24,7 +24,7 @@ def many(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["bulk_load_dedup", "fleet_dirty", "compaction_cycle", "lines_round_trip", "container_round_trip"])
+@pytest.mark.parametrize("name", ["bulk_load_dedup", "fleet_dirty", "compaction_cycle", "lines_round_trip", "container_round_trip", "sealed_store"])
 def test_query_beyond_32_bits_matches_sql(spark, many, name):
     con = duckdb.connect()
     for t in ("orders", "lineitem"):
