@@ -39,26 +39,33 @@ SHARD_LIMIT = 1 << 18
 BRUTE = 1 << 18
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """SimHash of word shingles; 0 for no words. A-Z are lower-cased, words split at ASCII white space."""
+def hashes(text: str | None, width: int = 3) -> np.ndarray:
+    """The hash of each word shingle, repeats included; none for no words. A-Z are lower-cased, words split at ASCII white space."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     hashed = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return hashed(b" ".join(words), 42)
     joined, at, starts = b" ".join(words), 0, []
     for w in words:
         starts.append(at)
         at += len(w) + 1
     ends = [s - 1 for s in starts[width:]] + [len(joined)]
-    h = np.fromiter((hashed(joined[a:b], 42) for a, b in zip(starts, ends)), np.uint64, len(ends))  # noqa: B905  one start a shingle
+    return np.fromiter((hashed(joined[a:b], 42) for a, b in zip(starts, ends)), np.uint64, len(ends))  # noqa: B905  one start a shingle
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; 0 for none."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 14):
         ones += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """SimHash of word shingles; 0 for no words."""
+    return majority(hashes(text, width))
+
+
 def _fingerprints(width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -208,13 +215,22 @@ def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield links
 
 
+def near_fingerprints(classes: DataFrame) -> DataFrame:
+    """Links (u, v) of distinct fingerprints, column fp, at 3 or fewer differing bits: a spanning forest of each shard's, whose
+    components are those of all links."""
+    g = spread(classes.count())
+    shards = classes.select("fp").mapInPandas(_shards(g), "shard long, fp long, home boolean")
+    groups = dealt(shards, SHARD_LIMIT).repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
+    return cut(groups.mapInPandas(_links, "u long, v long"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, similarity: float | None = None) -> DataFrame:
     """doc_id, component_id and, without similarity, fp (signed long); one row for each row of docs.
 
     With a similarity, documents link at that Jaccard similarity of their shingles or more, which is checked on the
-    shingles. Fingerprints can't propose such pairs (at 0.8 they differ in 10 bits on average and in up to 20, where
-    unrelated texts lie too), so segspark.llm.similar does, by minima of the same shingle hashes; its docstring has
-    the cases. Without one, fingerprints at 3 or fewer differing bits link, those of texts without words (0) like any other;
+    shingles. Links of fingerprints propose pairs; they can't propose all (at 0.8 fingerprints differ in 10 bits on average
+    and in up to 20, where unrelated texts lie too), so minima of the same shingle hashes propose the rest; the
+    docstring of segspark.llm.similar has the cases. Without one, fingerprints at 3 or fewer differing bits link, those of texts without words (0) like any other;
     component_id is the smallest doc_id reachable over links. Null texts count as empty, a null id as -1; very long
     texts are read whole. Rows with the same id are in the component of each of their texts' smallest id. Other columns are
     ignored, whatever their names. No rows give no rows.
@@ -225,10 +241,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, similarity: float | None =
         return similar_documents(docs, width, similarity)
     fps = cut(fingerprints(docs, width))
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    g = spread(classes.count())
-    shards = classes.select("fp").mapInPandas(_shards(g), "shard long, fp long, home boolean")
-    groups = dealt(shards, SHARD_LIMIT).repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
-    links = cut(groups.mapInPandas(_links, "u long, v long"))
+    links = near_fingerprints(classes)
     roots = cut(components(links).withColumnRenamed("node", "fp"))
     linked = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -1,10 +1,10 @@
-"""Near copies by the Jaccard similarity of word shingles, for simhash.near_duplicates with a similarity: MinHash bands
-propose pairs, the shingles decide.
+"""Near copies by the Jaccard similarity of word shingles, for simhash.near_duplicates with a similarity: SimHash over
+vantage-point shards and, for what it can't reach, MinHash bands propose pairs, the shingles decide.
 
-A document is the set of 64-bit hashes of its shingles; equal sets are one entry. BANDS band keys of ROWS minima each
+Entries with equal fingerprints, and those whose fingerprints the shards link at 3 or fewer bits, are proposed first. A document is the set of 64-bit hashes of its shingles; equal sets are one entry. BANDS band keys of ROWS minima each
 go with an entry; two entries are compared if they share a band and their sizes allow the similarity. A pair
 at a similarity of 0.8 shares none with a chance of (1 - 0.8 ** 4) ** 32 < 5e-8, one above it less. (Fingerprint
-bits can't propose these pairs: at 0.8 they differ in 10 of 64 on average, in up to 20 at times, and unrelated texts come as near.)
+bits can't propose these pairs: alone can't propose all these pairs: at 0.8 they differ in 10 of 64 on average, in up to 20 at times, and unrelated texts come as near.)
 
 Bands are searched in two rounds. First every entry is compared with the smallest entry of each of its bands, so
 a large group of near copies takes a row an entry and band, not all pairs. Then in bands whose entries are still in
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from segspark.llm.common import cut, documents, release, stored
 from segspark.llm.components import components
-from segspark.llm.simhash import Forest
+from segspark.llm.simhash import Forest, hashes, majority, near_fingerprints
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -33,17 +33,8 @@ BLOCK, ENTRIES = 1 << 12, 1500
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The sorted different hashes of word shingles; none for no words. Words are those of simhash.fingerprint."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashed = xxhash.xxh64_intdigest
-    joined, at, starts = b" ".join(words), 0, []
-    for w in words:
-        starts.append(at)
-        at += len(w) + 1
-    ends = [*(s - 1 for s in starts[width:]), len(joined)]
-    return np.unique(np.fromiter((hashed(joined[a:b], 42) for a, b in zip(starts, ends)), np.uint64, len(ends)))  # noqa: B905  one start a shingle
+    """The sorted different hashes of word shingles; none for no words. They are those of simhash.fingerprint."""
+    return np.unique(hashes(text, width))
 
 
 def set_key(s: np.ndarray) -> int:
@@ -84,13 +75,15 @@ def _entries(width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _maps()
         for f in frames:
-            keys, sizes, least = [], [], np.zeros((len(f), BANDS * ROWS), np.uint32)
+            keys, fps, sizes, least = [], [], [], np.zeros((len(f), BANDS * ROWS), np.uint32)
             for i, t in enumerate(f["text"]):
-                s = shingles(t, width)
+                h = hashes(t, width)
+                s = np.unique(h)
+                fps.append(majority(h))
                 keys.append(set_key(s))
                 sizes.append(len(s))
                 least[i] = minima(s, a, b)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "key": keys, "n": sizes, "bands": list(band_keys(least))})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "key": keys, "fp": np.array(fps, np.uint64).view(np.int64), "n": sizes, "bands": list(band_keys(least))})
 
     return run
 
@@ -190,6 +183,23 @@ def _rest(docs: DataFrame, classes: DataFrame, placed: DataFrame, width: int, si
     return cut(rows.mapInPandas(_forests(similarity), "u long, v long"))
 
 
+def _fits(m, n, similarity: float):
+    """Whether sets of m and n shingles can be as similar."""
+    return F.least(m, n) / F.greatest(m, n) >= F.lit(similarity)
+
+
+def fingerprint_pairs(classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of keys that SimHash proposes, of sizes that allow the similarity: entries (key, n, fp) with the smallest key
+    of their fingerprint, and these with one another where fingerprints link."""
+    worded = classes.where("n > 0").select("key", "n", "fp")
+    firsts = cut(worded.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("first")))
+    u, v = (firsts.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_first")) for x in "uv")
+    equal = worded.join(firsts, "fp").where(F.col("key") != F.col("first.key")).select("first", F.struct("key", "n").alias("other"))
+    linked = near_fingerprints(firsts).join(u, "u").join(v, "v").select(F.col("u_first").alias("first"), F.col("v_first").alias("other"))
+    pairs = equal.union(linked).where(_fits(F.col("first.n"), F.col("other.n"), similarity))
+    return pairs.select(F.least("first.key", "other.key").alias("u"), F.greatest("first.key", "other.key").alias("v"))
+
+
 def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id; one row for each row of docs.
 
@@ -199,13 +209,13 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: float = S
     with the same id are in the component of each of their texts' smallest id. Other columns are ignored, whatever their
     names. No rows give no rows. Below 0.8 more pairs share no band: at 0.7 a chance of 2e-4.
     """
-    rows = stored(documents(docs).mapInPandas(_entries(width), "doc_id long, key long, n int, bands array<long>"), "bands")
-    classes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    rows = stored(documents(docs).mapInPandas(_entries(width), "doc_id long, key long, fp long, n int, bands array<long>"), "bands")
+    classes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
     entries = classes.where("n > 0").select(F.explode("bands").alias("band"), "key", "n")
     hubs = entries.groupBy("band").agg(F.min(F.struct("key", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     shared = cut(entries.join(hubs, "band").select("band", "key", "n", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")))
-    fits = lambda m, n: F.least(m, n) / F.greatest(m, n) >= F.lit(similarity)
-    first = cut(shared.where((F.col("key") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("u"), F.col("key").alias("v")).distinct())
+    banded = shared.where((F.col("key") != F.col("hub")) & _fits(F.col("n"), F.col("hub_n"), similarity)).select(F.col("hub").alias("u"), F.col("key").alias("v"))
+    first = cut(fingerprint_pairs(classes, similarity).union(banded).distinct())
     release(docs.sparkSession)
     links = _star(docs, classes, first, width, similarity)
     roots = cut(components(links))

@@ -6,6 +6,7 @@ from itertools import combinations
 import corpus_pipeline as pipeline
 from segspark.llm import similar
 from segspark.llm.common import read
+from segspark.llm.simhash import fingerprint
 from tests.llm.test_simhash import roots
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -64,3 +65,21 @@ def test_groups_against_brute_force(spark, monkeypatch):
     odd = spark.createDataFrame([(3, "a b c", "", "", 0), (None, "A b c", "", "", 0), (3, "x y", "", "", 0), (3, "x y", "", "", 0)], SCHEMA)
     assert sorted((r["doc_id"], r["component_id"]) for r in similar.similar_documents(odd).collect()) == [(-1, -1), (3, -1), (3, 3), (3, 3)]
     assert similar.similar_documents(df.where("false")).count() == 0
+
+
+def test_stage_proposes_by_simhash(spark, monkeypatch):
+    """Through the stage, fingerprints go through the vantage-point shards, and all within 3 bits are joined by proposals."""
+    rng, seen = random.Random(8), {}
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base = [[word() for _ in range(400)] for _ in range(8)]
+    texts = [" ".join([*b[:i], word(), *b[i + 1 :]]) for b in base for i in (50, 150, 250, 350)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    ask = similar.fingerprint_pairs
+    monkeypatch.setattr(similar, "fingerprint_pairs", lambda c, s: seen.setdefault("pairs", ask(c, s)))
+    assert {r["doc_id"] for r in pipeline.near_dedup(spark, df, "").collect()} == {i for i in range(32) if i % 4 == 0}
+    key = [similar.set_key(similar.shingles(t)) for t in texts]
+    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if (fingerprint(texts[a], 5) ^ fingerprint(texts[b], 5)).bit_count() <= 3]
+    assert near
+    named = {k: i for i, k in enumerate(key)}
+    joined = roots([(named[r["u"]], named[r["v"]]) for r in seen["pairs"].collect()], range(len(texts)))
+    assert joined == roots(near, range(len(texts)))
