@@ -39,8 +39,10 @@ from segspark.sources.roaring import decode_chunks, encode_chunks
 
 OPS = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("add", T.BooleanType(), False)])
 INDEX = "chunk_key int, cardinality long, bytes long, checksum long"
-#: Chunk keys in one folder of a generation.
+#: Chunk keys in one folder of a generation; a multiple of them where a wide segment's ids are so sparse that such folders would hold
+#: fewer than LEAST_FOLDER_IDS on average: then a folder holds FOLDER_IDS or so, and there are MOST_FOLDERS at most.
 KEYS_PER_FOLDER = 256
+LEAST_FOLDER_IDS, FOLDER_IDS, MOST_FOLDERS = 1 << 16, 1 << 20, 32
 #: Index entries kept on the driver, and chunk keys put in a filter as they are; more are broadcast, 65,536 at most (wide
 #: stores keep neither on the driver).
 MAX_INDEX_ENTRIES, MAX_LISTED_KEYS = 1 << 22, 2000
@@ -124,9 +126,15 @@ class SegmentStore:
             rows = rows.where(F.col("kb") == kb)
         if key:
             opened = unseal(rows.withColumn("generation", F.lit(gen)), key, ns, name).withColumnRenamed("payload", "bitmap")
-            rows = decode_chunks(opened).select(chunk_key().alias("chunk_key"), "id", F.expr(f"int((id >> 16) div {KEYS_PER_FOLDER})").alias("kb"))
+            rows = decode_chunks(opened, "kb").select(chunk_key().alias("chunk_key"), "id", "kb")
         return rows
 
+    def folder_keys(self, s: State) -> int | None:
+        """Chunk keys in a folder of the current generation; None where that isn't known: a wide one published without stats."""
+        if s.gen_stats is None:
+            return None if self.wide else KEYS_PER_FOLDER
+        return s.gen_stats.get("folder_keys", KEYS_PER_FOLDER)
+
     def cold_index(self, s: State) -> DataFrame:
         if s.current_gen is None or s.status == "destroyed":
             return self.empty(INDEX)
@@ -189,7 +197,8 @@ class SegmentStore:
         """id of the given chunks: their folders prune files, the keys prune row groups and rows."""
         rows, own = self.cold(s), self.local_index(s)[0]
         if len(keys) < len(own):
-            rows = rows.where(F.col("kb").isin(np.unique(keys // KEYS_PER_FOLDER).tolist()))
+            if per := self.folder_keys(s):
+                rows = rows.where(F.col("kb").isin(np.unique(keys // per).tolist()))
             if len(keys) <= MAX_LISTED_KEYS:
                 rows = rows.where(F.col("chunk_key").isin(keys.tolist()))
             else:
@@ -245,16 +254,18 @@ class SegmentStore:
         """Write ids, with pending operations (id, add, seq) on top if there are any, as an attempt at generation gen: files sorted by id in folders of chunk keys (sealed bitmaps of
         chunks with a key), and the index. What it holds, and the attempt's name under "attempt".
 
-        One exchange by folder, in which repeats and operations meet, serves the distinct ids and their order; a folder is at most 2**24 ids
-        and a segment has at most 256, or 2**23 in a wide store. The index is counted on what was written, which needs no exchange of ids.
+        One exchange by 256 chunk keys, in which repeats and operations meet, serves the distinct ids and their order; these are at most
+        2**24 ids, and a folder, but where a wide store's folders are wider: such a folder's ids come from several tasks, a file each, so
+        no task grows with it. The index is counted on what was written, which needs no exchange of ids.
         """
         attempt = uuid.uuid4().hex
         path, index_path = self.generation_path(ns, name, gen, attempt), self.index_path(ns, name, gen, attempt)
-        folder = F.expr(f"int(chunk_key div {KEYS_PER_FOLDER})")
+        per = self._folder_keys(ids if ops is None else ids.select("id").unionByName(ops.select("id")))
+        folder = F.expr(f"int(chunk_key div {per})").alias("kb")
         if key:
             ids = overlay(ids, ops) if ops is not None else ids
             rows = encode_chunks(ids if distinct else ids.distinct()).withColumnRenamed("bitmap", "payload").withColumn("generation", F.lit(gen))
-            seal(rows, key, ns, name).select("chunk_key", "sealed", folder.alias("kb")).write.partitionBy("kb").parquet(path)
+            seal(rows, key, ns, name).select("chunk_key", "sealed", folder).write.partitionBy("kb").parquet(path)
             if any(n.startswith("kb=") for n in self.log.files.names(path)):
                 index = chunks.chunk_index(self._generation(ns, name, gen, attempt, key))
             else:
@@ -272,12 +283,24 @@ class SegmentStore:
                 rows = rows if distinct else rows.dropDuplicates(["kb", "id"])
             # A sort by one number is several times quicker than one by folder and id, and the order is the same. The writer adds its
             # own sort by folder, which keeps it; the filter, always true, keeps the optimizer from dropping the first.
-            rows = rows.sortWithinPartitions("id").where(F.spark_partition_id() >= 0).select(chunk_key().alias("chunk_key"), "id", "kb")
-            rows.write.partitionBy("kb").parquet(path)
+            rows = rows.sortWithinPartitions("id").where(F.spark_partition_id() >= 0).select(chunk_key().alias("chunk_key"), "id")
+            rows.select("chunk_key", "id", folder).write.partitionBy("kb").parquet(path)
             made = self._generation(ns, name, gen, attempt, None) if any(n.startswith("kb=") for n in self.log.files.names(path)) else self.empty("chunk_key int, id long, kb int")
             self._write_index(chunks.chunk_index(made), index_path)
         row = self.spark.read.schema(INDEX).parquet(index_path).agg(F.count("*").alias("chunk_count"), F.coalesce(F.sum("cardinality"), F.lit(0)).alias("cardinality"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("size"), F.coalesce(F.sum("checksum"), F.lit(0)).alias("checksum")).first()
-        return row.asDict() | {"attempt": attempt}
+        return row.asDict() | ({"folder_keys": per} if per != KEYS_PER_FOLDER else {}) | {"attempt": attempt}
+
+    def _folder_keys(self, ids: DataFrame) -> int:
+        """Chunk keys in a folder for these ids; in a wide store, a pass over them finds how sparse they are."""
+        if not self.wide:
+            return KEYS_PER_FOLDER
+        n, top = ids.agg(F.approx_count_distinct("id"), F.max("id")).first()
+        folders, per = ((top or 0) >> 16) // KEYS_PER_FOLDER + 1, KEYS_PER_FOLDER
+        if n < folders * LEAST_FOLDER_IDS:
+            most = min(MOST_FOLDERS, max(1, n // FOLDER_IDS))
+            while -(-folders * KEYS_PER_FOLDER // per) > most:
+                per *= 2
+        return per
 
     def _write_index(self, index: DataFrame, path: str) -> None:
         (index if self.wide else index.repartition(1)).write.parquet(path)
@@ -378,7 +401,8 @@ class Segment:
             last = ops.where(F.col("id") == value).agg(F.max_by("add", "seq")).first()[0]
             if last is not None:
                 return bool(last)
-        kb = (value >> 16) // KEYS_PER_FOLDER
+        per = self.store.folder_keys(s)
+        kb = (value >> 16) // per if per else None
         return bool(self.store.cold(s, kb).where(F.col("id") == value).limit(1).count())
 
     def has_batch(self, probes: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from segspark import catalog
+from segspark import store as stores
+from segspark.crypto import Keyring
 from segspark.errors import ValidationError
 from segspark.operators import maintenance as m
 from segspark.store import SegmentStore
@@ -57,3 +59,39 @@ def test_wide_store(spark, tmp_path):
             a.add_many(bad)
     with pytest.raises(ValidationError):
         SegmentStore(spark, store.root).segment("a").add(BIG)
+
+
+@pytest.mark.parametrize("sealed", [False, True])
+def test_sparse_ids_share_folders(spark, tmp_path, monkeypatch, sealed):
+    """600 ids, none of which share 256 chunk keys, aren't in 600 folders, and each is found in its own."""
+    store = SegmentStore(spark, f"file://{tmp_path}/store", wide=True, keyring=Keyring(spark, {"main": b"m" * 32}) if sealed else None)
+    a, sparse = store.segment("a"), [i << 25 for i in range(600)]
+    want = [*sparse[1:], sparse[-1] + 7]
+
+    def folders() -> int:
+        s = a.state()
+        return sum(n.startswith("kb=") for n in store.log.files.names(store.generation_path("_default", "a", s.current_gen, s.gen_attempt)))
+
+    store.bulk_load("a", [*sparse[:-1], 1 << 20])
+    assert folders() == 1
+    a.add_many([*sparse[300:], sparse[-1] + 7])
+    a.remove_many([0, 1 << 20])
+    monkeypatch.setattr(stores, "FOLDER_IDS", 100)
+    assert m.compact(store, "a").compacted and 2 <= folders() <= 6
+    assert store.verify_generation("_default", "a", 1, store.key(a.state())) and ids(a.ids()) == want and a.count() == 600
+    assert [a.has(x) for x in (0, sparse[1], sparse[300], sparse[-1] + 7, sparse[-1] + 8)] == [False, True, True, True, False]
+    # Published without counts: how wide the folders are isn't known.
+    store.write_generation("_default", "a", 2, store.cold(a.state()).select("id"), store.key(a.state()))
+    assert store.publish("_default", "a", 2) and store.folder_keys(a.state()) is None
+    assert [a.has(x) for x in (0, sparse[1], sparse[-1] + 7)] == [False, True, True]
+
+
+def test_folders_of_256_chunk_keys(spark, tmp_path, monkeypatch):
+    """Where ids are dense, and in generations from before folders could be wider."""
+    store = SegmentStore(spark, f"file://{tmp_path}/store", wide=True)
+    store.bulk_load("dense", spark.range(200_000))
+    monkeypatch.setattr(SegmentStore, "_folder_keys", lambda *_: stores.KEYS_PER_FOLDER)
+    store.bulk_load("old", [5, 1 << 30, BIG + 5])
+    dense, old = store.segment("dense"), store.segment("old")
+    assert [store.folder_keys(x.state()) for x in (dense, old)] == [256, 256]
+    assert [old.has(x) for x in (5, 6, 1 << 30, BIG + 5)] == [True, False, True, True] and dense.has(199_999)
